@@ -7,11 +7,12 @@ brute-force test on a fixture in ``tests/``).
 
 from __future__ import annotations
 
+from hourbook.plans.ingest_queries import INGEST_QUERIES, ingest_sql
 from hourbook.plans.oracle import report_sql
 from hourbook.plans.reports import REPORT_QUERIES
 
-QUERIES = dict(REPORT_QUERIES)
-ORACLE_SQL = dict(report_sql())
+QUERIES = {**REPORT_QUERIES, **INGEST_QUERIES}
+ORACLE_SQL = {**report_sql(), **ingest_sql()}
 
-missing = set(ORACLE_SQL) - set(QUERIES)
-assert not missing, f"oracle without query: {missing}"
+_missing = set(ORACLE_SQL) - set(QUERIES)
+assert not _missing, f"oracle without query: {_missing}"

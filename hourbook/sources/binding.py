@@ -133,3 +133,113 @@ def bound_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("project"),
         F.col("s_name").alias("developer"),
     ).select(*ISSUE_COLUMNS)
+
+
+# --- raw tracker exports derived from the same tables --------------------------
+def _tracker_text(ntz_col, extra_ms=None):
+    """Tracker timestamp text of a wall clock, with the fixed RAW_OFFSET."""
+    ts = ntz_col.cast("timestamp")
+    if extra_ms is not None:
+        ts = F.timestamp_millis(F.unix_millis(ts) + extra_ms)
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit(RAW_OFFSET))
+
+
+def _versioned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem rows with worklog id and a version number within the id.
+
+    (l_orderkey, l_linenumber) repeats; the repeats are successive versions
+    of one worklog, ordered by (ship date, part, supplier, price), which is
+    unique. ``_version`` milliseconds are added to the update time, so
+    versions of an id never tie and never cross days.
+    """
+    from pyspark.sql import Window
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+        "l_extendedprice", "l_shipdate")
+    wid = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    w = Window.partitionBy("_wid").orderBy("l_shipdate", "l_partkey", "l_suppkey",
+                                           "l_extendedprice")
+    return li.withColumn("_wid", wid).withColumn("_version", F.row_number().over(w))
+
+
+def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change feed rows (already flattened): one per worklog version."""
+    lines = _versioned_lines(spark, sf_dir)
+    ms = F.unix_millis(F.col("l_shipdate").cast("timestamp")) + F.col("_version") \
+        - F.lit(_offset_ms())
+    return lines.select(
+        F.col("_wid").alias("worklogId"),
+        ms.alias("updatedTime"),
+        X.millis_to_ts(ms).alias("updated_at"),
+        F.array().cast("array<string>").alias("properties"))
+
+
+def _offset_ms() -> int:
+    sign = -1 if RAW_OFFSET.startswith("-") else 1
+    return sign * (int(RAW_OFFSET[1:3]) * 60 + int(RAW_OFFSET[3:5])) * 60_000
+
+
+def raw_worklogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worklog entries shaped like the tracker's JSON (schema RAW_WORKLOG)."""
+    lines = _versioned_lines(spark, sf_dir)
+    supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    j = lines.join(supplier, lines.l_suppkey == supplier.s_suppkey, "left")
+    seconds = (F.col("l_quantity") * SECONDS_PER_QUANTITY).cast("int")
+    started = _tracker_text(F.col("l_shipdate"))
+    updated = _tracker_text(F.col("l_shipdate"), F.col("_version"))
+    author = F.struct(
+        F.lit(None).cast("string").alias("self"),
+        F.col("l_suppkey").cast("string").alias("accountId"),
+        F.col("s_name").alias("displayName"),
+        F.lit(True).alias("active"),
+        F.lit("UTC").alias("timeZone"),
+        F.lit("atlassian").alias("accountType"))
+    return j.select(
+        F.lit(None).cast("string").alias("self"),
+        author.alias("author"),
+        started.alias("created"),
+        updated.alias("updated"),
+        started.alias("started"),
+        F.concat((seconds / 60).cast("int").cast("string"), F.lit("m")).alias("timeSpent"),
+        seconds.alias("timeSpentSeconds"),
+        F.col("_wid").cast("string").alias("id"),
+        F.col("l_orderkey").cast("string").alias("issueId"))
+
+
+def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issue snapshots shaped like the tracker's JSON (schema RAW_ISSUE).
+
+    Sub-tasks: every later order of a customer is a sub-task of the
+    customer's first order (one aggregate + join; no window over a
+    customer, so a customer with a third of all orders is still split
+    across tasks by the partial aggregation).
+    """
+    orders = _orders_enriched(spark, sf_dir)
+    lines = _lines_per_order(spark, sf_dir).select("l_orderkey", "last_ship", "qty")
+    first = (read_table(spark, sf_dir, "orders").groupBy("o_custkey")
+             .agg(F.min("o_orderkey").alias("first_key"))
+             .withColumnRenamed("o_custkey", "f_custkey"))
+    j = (orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
+         .join(first, F.col("o_custkey") == F.col("f_custkey"), "left"))
+    resolved = F.col("o_orderstatus") == RESOLVED_STATUS
+    change = F.coalesce(F.col("last_ship"), F.col("o_orderdate"))
+    is_sub = F.col("first_key").isNotNull() & (F.col("first_key") != F.col("o_orderkey"))
+    parent = F.when(is_sub, F.struct(
+        F.col("first_key").cast("string").alias("id"),
+        _issue_key(F.col("n_name"), F.col("first_key")).alias("key")))
+    fields = F.struct(
+        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("summary"),
+        _tracker_text(F.col("o_orderdate")).alias("created"),
+        F.when(resolved, _tracker_text(change)).alias("resolutiondate"),
+        _tracker_text(change).alias("statuscategorychangedate"),
+        F.struct(F.col("c_mktsegment").alias("name")).alias("issuetype"),
+        F.struct(F.col("o_orderpriority").alias("name")).alias("priority"),
+        F.struct(F.col("o_orderstatus").alias("name")).alias("status"),
+        parent.alias("parent"),
+        (F.col("qty") * SECONDS_PER_QUANTITY).cast("int").alias("aggregatetimespent"),
+        (F.col("o_totalprice") / ESTIMATE_DIVISOR).cast("int")
+        .alias("aggregatetimeoriginalestimate"))
+    return j.select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        _issue_key(F.col("n_name"), F.col("o_orderkey")).alias("key"),
+        fields.alias("fields"))
