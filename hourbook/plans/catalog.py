@@ -7,12 +7,13 @@ brute-force test on a fixture in ``tests/``).
 
 from __future__ import annotations
 
-from hourbook.plans.ingest_queries import INGEST_QUERIES, ingest_sql
+from hourbook.plans.ingest_queries import (INGEST_QUERIES, REFRESH_QUERIES, ingest_sql,
+                                           refresh_sql)
 from hourbook.plans.oracle import report_sql
 from hourbook.plans.reports import REPORT_QUERIES
 
-QUERIES = {**REPORT_QUERIES, **INGEST_QUERIES}
-ORACLE_SQL = {**report_sql(), **ingest_sql()}
+QUERIES = {**REPORT_QUERIES, **INGEST_QUERIES, **REFRESH_QUERIES}
+ORACLE_SQL = {**report_sql(), **ingest_sql(), **refresh_sql()}
 
 _missing = set(ORACLE_SQL) - set(QUERIES)
 assert not _missing, f"oracle without query: {_missing}"

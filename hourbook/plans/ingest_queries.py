@@ -274,3 +274,72 @@ def ingest_sql() -> dict[str, str]:
             f"SELECT {WL_COLS} FROM wl_rows WHERE lower(author) IN "
             "('supplier#000000010', 'supplier#000000020')"),
     }
+
+
+# --- resolution refresh (J3, F6, P3, K3) over the bound issue table ------------------
+# Fixed value: on the bound data, partly shipped orders ('P') count as done.
+REFRESH_DONE = ("p",)
+
+
+def _refresh(spark, sf_dir):
+    from hourbook.plans.refresh import refresh_frames
+    return refresh_frames(B.bound_issue(spark, sf_dir), B.raw_issues(spark, sf_dir),
+                          REFRESH_DONE)
+
+
+def q_refresh_unresolved(spark, sf_dir):
+    """Stored unresolved issues matched to their latest snapshot by key."""
+    from hourbook.plans.refresh import latest_per_key
+    unresolved = FL.non_resolved_issues(B.bound_issue(spark, sf_dir))
+    pairs = J.refresh_unresolved(unresolved, latest_per_key(B.raw_issues(spark, sf_dir)))
+    return pairs.select(F.col("s.id").alias("id"), F.col("s.key").alias("key"),
+                        F.col("n.fields.status.name").alias("snapshotStatus"))
+
+
+def q_merge_resolution(spark, sf_dir):
+    """Refreshed rows of the issues that reached a done status."""
+    return _public(_refresh(spark, sf_dir).updates)
+
+
+def q_apply_issue_updates(spark, sf_dir):
+    """K3: the whole issue table after the refresh."""
+    return _public(_refresh(spark, sf_dir).issue)
+
+
+REFRESH_QUERIES = {
+    "refresh_unresolved": q_refresh_unresolved,
+    "merge_resolution": q_merge_resolution,
+    "apply_issue_updates": q_apply_issue_updates,
+}
+
+
+def refresh_sql() -> dict[str, str]:
+    from hourbook.plans.oracle import ISSUE_CTE
+    cte = f"WITH {ISSUE_CTE},\n{RAW_CTE}"
+    merged = f"""
+merged AS (
+  SELECT s.id, s.key, r.type, r.summary, r.priority, r.status, s.createDate,
+         coalesce(r.resolution, lpo2.change) AS updateDate,
+         coalesce(r.resolution, lpo2.change) AS resolvedDate,
+         TRUE AS isResolved,
+         CAST(ceil((epoch_us(coalesce(r.resolution, lpo2.change)) - {OFFSET_MS * 1000}
+                    - epoch_us(s.createDate)) / 86400000000.0) AS INTEGER) AS daysToResolve,
+         coalesce(r.spent, 0) AS aggregateTimeSpent,
+         coalesce(r.estimate, 0) AS aggregateTimeOriginalEstimate,
+         split_part(r.key, '-', 1) AS project,
+         s.developer
+  FROM issue s
+  JOIN ri r ON r.key = s.key
+  JOIN (SELECT o.o_orderkey AS oid, coalesce(lpo.last_ship, o.o_orderdate) AS change
+        FROM orders o LEFT JOIN lpo ON lpo.l_orderkey = o.o_orderkey) lpo2 ON lpo2.oid = r.id
+  WHERE NOT s.isResolved AND lower(r.status) IN ('p'))"""
+    return {
+        "refresh_unresolved": f"""{cte}
+SELECT s.id, s.key, r.status AS snapshotStatus
+FROM issue s JOIN ri r ON r.key = s.key WHERE NOT s.isResolved""",
+        "merge_resolution": f"{cte},{merged}\nSELECT {IS_COLS} FROM merged",
+        "apply_issue_updates": f"""{cte},{merged}
+SELECT {IS_COLS} FROM merged
+UNION ALL
+SELECT {IS_COLS} FROM issue WHERE id NOT IN (SELECT id FROM merged)""",
+    }
