@@ -1,0 +1,108 @@
+"""Snapshot store (K1-K5 writes), the batch jobs and the streaming jobs
+(T1, T2) on the landed fixture exports."""
+
+import datetime as dt
+import json
+import os
+
+from pyspark.sql import functions as F
+
+from hourbook.plans import jobs as JB
+from hourbook.sources.store import SnapshotStore, write_report
+from hourbook.sources.tracker_json import read_issues, read_worklog_details, read_worklog_updates
+from hourbook.streaming.jobs import refresh_resolutions, stream_worklogs
+from hourbook.operators import aggregates as A
+
+
+def _inputs(spark, land):
+    return (read_worklog_updates(spark, os.path.join(land, "feed")),
+            read_worklog_details(spark, os.path.join(land, "worklogs")),
+            read_issues(spark, os.path.join(land, "issues")))
+
+
+def _table(store, name):
+    df = store.read(name)
+    return {r.id: r for r in df.collect()} if df is not None else {}
+
+
+def test_ingest_commit_and_replay(spark, land_copy, scratch):
+    store = SnapshotStore(spark, os.path.join(scratch, "store"))
+    assert store.latest_commit() is None and store.read("worklog") is None
+    out = JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=0)
+    assert out["version"] == 1 and out["worklog_partitions"] == 1
+    wl, iss = _table(store, "worklog"), _table(store, "issue")
+    assert sorted(wl) == [1111, 1112, 1113] and sorted(iss) == [6000, 6002, 6003]
+    assert store.cursor() == {"max_worklog_id": 1113, "last_timestamp": 1559600429929}
+    # same epoch again: skipped; next epoch with the same data: cursor admits nothing
+    assert JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=0)["skipped"]
+    again = JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=1)
+    assert again.get("rows") == 0 and store.latest_commit()["version"] == 1
+    # with edits admitted, the same rows are upserted: table unchanged, new version
+    edit = JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=2, admit_edits=True)
+    assert edit["version"] == 2
+    assert _table(store, "worklog").keys() == wl.keys()
+    assert {k: tuple(v) for k, v in _table(store, "issue").items()} == \
+        {k: tuple(v) for k, v in iss.items()}
+
+
+def test_partition_copy_on_write(spark, land_copy, scratch):
+    """A batch landing in a new month rewrites only that month."""
+    store = SnapshotStore(spark, os.path.join(scratch, "store"))
+    JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=0)
+    entry = {"id": "2001", "issueId": "6003", "author": {"displayName": "Oscar"},
+             "started": "2019-06-03T09:00:00.000-0500", "updated": "2019-06-03T09:00:00.000-0500",
+             "timeSpentSeconds": 3600}
+    with open(os.path.join(land_copy, "worklogs", "details-0002.json"), "w") as f:
+        json.dump([entry], f)
+    with open(os.path.join(land_copy, "feed", "page-0002.json"), "w") as f:
+        json.dump({"values": [{"worklogId": 2001, "updatedTime": 1559600500000}],
+                   "since": 1559600429929, "until": 1559600500000, "lastPage": True}, f)
+    out = JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=1)
+    manifest = store.latest_commit()["manifest"]
+    assert manifest["worklog"] == {"2019-05": 1, "2019-06": 2}
+    assert out["worklog_partitions"] == 1
+    iss = _table(store, "issue")
+    assert iss[6003].developer == "Oscar" and iss[6000].developer == "Big Bird"
+    assert len(_table(store, "worklog")) == 4
+
+
+def test_refresh_job(spark, land_copy, scratch):
+    store = SnapshotStore(spark, os.path.join(scratch, "store"))
+    feed, details, issues = _inputs(spark, land_copy)
+    JB.run_ingest(store, feed, details, issues, batch_id=0)
+    out = JB.run_refresh(store, issues, batch_id=0, done_statuses=["done", "closed"])
+    assert out["issue_partitions"] == 1
+    iss = _table(store, "issue")
+    assert iss[6000].isResolved and iss[6000].daysToResolve == 2
+    assert not iss[6003].isResolved
+    assert JB.run_refresh(store, issues, batch_id=0, done_statuses=["closed"])["skipped"]
+
+
+def test_write_report(spark, scratch):
+    df = spark.createDataFrame([("a", 1.5)], "groupBy string, timeSpentHrs double")
+    path = os.path.join(scratch, "report")
+    write_report(df, path)
+    assert spark.read.json(path).first().timeSpentHrs == 1.5
+
+
+def test_streams_available_now(spark, land_copy, scratch):
+    store_root = os.path.join(scratch, "store")
+    ck1, ck2 = os.path.join(scratch, "ck1"), os.path.join(scratch, "ck2")
+    q = stream_worklogs(spark, land_copy, store_root, available_now=True, checkpoint=ck1)
+    q.awaitTermination(300)
+    store = SnapshotStore(spark, store_root)
+    assert sorted(_table(store, "worklog")) == [1111, 1112, 1113]
+    # a second run over the same checkpoint finds nothing new
+    q = stream_worklogs(spark, land_copy, store_root, available_now=True, checkpoint=ck1)
+    q.awaitTermination(300)
+    assert store.latest_commit()["version"] == 1
+    q = refresh_resolutions(spark, land_copy, store_root, ["closed"], available_now=True,
+                            checkpoint=ck2)
+    q.awaitTermination(300)
+    iss = _table(store, "issue")
+    assert iss[6000].isResolved and iss[6000].resolvedDate == dt.datetime(2019, 5, 13, 9, 9, 8, 237000)
+    # reports run over the stored table
+    by = A.worklogs_group_by(store.read("worklog"), "weekday", dt.datetime(2019, 5, 1),
+                             dt.datetime(2019, 5, 31)).collect()
+    assert {r.groupBy: r.timeSpentHrs for r in by} == {"Thursday": 0.56, "Friday": 1.5}
+    assert store.read("worklog").where(F.col("month") == "2019-05").count() == 3
