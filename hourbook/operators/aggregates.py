@@ -211,11 +211,22 @@ def hours_per_week_pivot(worklog: DataFrame, as_of, weeks: int = 6) -> DataFrame
 # A7 -----------------------------------------------------------------------------
 def with_average_row(df: DataFrame, columns: Sequence[str], label_col: str,
                      label: str = "Average") -> DataFrame:
-    """Append a footer row holding the unweighted mean (2 places) of each of
-    ``columns`` over the report rows; other columns are NULL. The report is
-    small (one row per group), and the mean is a global partial aggregate."""
-    footer = df.agg(*[X.round2(F.avg(c)).alias(c) for c in columns]) \
-        .withColumn(label_col, F.lit(label))
+    """Append a footer row holding the unweighted mean of each of
+    ``columns`` over the report rows, rounded half away from zero to 2
+    places; other columns are NULL.
+
+    The report values have 2 places, so the mean is taken in integer cents
+    (exact, independent of summation order). The report is small (one row
+    per group) and the footer is a global partial aggregate.
+    """
+    sums = []
+    for i, c in enumerate(columns):
+        cents = F.round(F.col(c) * 100).cast("long")
+        sums += [F.sum(cents).alias(f"_s{i}"), F.count(F.col(c)).alias(f"_n{i}")]
+    means = [F.expr(f"CASE WHEN _n{i} > 0 THEN signum(_s{i}) * "
+                    f"((2 * abs(_s{i}) + _n{i}) div (2 * _n{i})) / 100.0 END").alias(c)
+             for i, c in enumerate(columns)]
+    footer = df.agg(*sums).select(*means).withColumn(label_col, F.lit(label))
     return df.unionByName(footer, allowMissingColumns=True)
 
 

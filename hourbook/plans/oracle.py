@@ -184,6 +184,13 @@ FROM (SELECT *, CAST(date_diff('day', CAST(date_trunc('week', date) AS DATE), {s
 GROUP BY author"""
 
 
+def avg_cents(col: str) -> str:
+    """Mean of 2-place values, half away from zero, via integer cents."""
+    c = f"CAST(round({col} * 100) AS BIGINT)"
+    return (f"CASE WHEN count({col}) > 0 THEN sign(sum({c})) * "
+            f"((2 * abs(sum({c})) + count({col})) // (2 * count({col}))) / 100.0 END")
+
+
 def week_before(as_of: dt.datetime) -> tuple[dt.datetime, dt.datetime]:
     ws = R.iso_week_start(as_of - dt.timedelta(days=7))
     return ws, ws + dt.timedelta(days=7)
@@ -255,7 +262,7 @@ def report_sql() -> dict[str, str]:
 SELECT developer, count, accuracy FROM a
 UNION ALL
 SELECT 'Average' AS developer, CAST(NULL AS INTEGER) AS count,
-       round(avg(accuracy) * 100) / 100 AS accuracy FROM a"""),
+       {avg_cents("accuracy")} AS accuracy FROM a"""),
         "overall_accuracy": with_issue(f"""
 SELECT CAST(count(*) AS INTEGER) AS count, {ACCURACY_EXPR} AS accuracy
 FROM issue
@@ -274,7 +281,7 @@ GROUP BY author, CAST(date AS DATE)"""),
 SELECT * FROM a
 UNION ALL
 SELECT 'Average' AS Developer,
-  {", ".join(f"round(avg({c}) * 100) / 100 AS {c}" for c in A.WEEK_COLUMNS)}
+  {", ".join(f"{avg_cents(c)} AS {c}" for c in A.WEEK_COLUMNS)}
 FROM a"""),
         "hours_per_week_pivot": with_worklog(a6_body(P.AS_OF_NEW_YEAR, weeks=6)),
         "worklogs_per_weekday": a8_sql(P.AS_OF),
