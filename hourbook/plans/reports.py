@@ -7,19 +7,36 @@ the blueprint.
 
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hourbook.functions import ranges as R
 from hourbook.operators import aggregates as A
 from hourbook.operators import filters as FL
+from hourbook.operators.projections import validate_issue_group, validate_worklog_group
 from hourbook.plans import params as P
 from hourbook.sources.binding import bound_issue, bound_worklog
 from hourbook.sources.tables import scan_issues, scan_worklogs
 
 
+# Columns each report reads; the binding joins only what they need.
+ISSUE_A1 = ("updateDate", "isResolved", "daysToResolve", "aggregateTimeSpent",
+            "aggregateTimeOriginalEstimate")
+ISSUE_A2 = ("updateDate", "isResolved", "aggregateTimeSpent",
+            "aggregateTimeOriginalEstimate", "developer")
+WL_HOURS = ("date", "timeSpentHours")
+WL_DEV = ("author", "date", "timeSpentHours")
+WL_WEEKDAY = ("author", "date", "weekDay", "timeSpentHours")
+
+
+def _wl(spark, sf_dir, cols):
+    return bound_worklog(spark, sf_dir, columns=cols)
+
+
+def _is(spark, sf_dir, cols):
+    return bound_issue(spark, sf_dir, columns=cols)
+
+
 # --- scans (S4, S5) ------------------------------------------------------------
 def q_scan_worklogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_worklogs(bound_worklog(spark, sf_dir)).drop("started_at")
@@ -32,49 +49,54 @@ def q_scan_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- filters ---------------------------------------------------------------------
 def q_in_date_range(spark, sf_dir):
     """F4 on worklog.date: the week of the timesheet (closed interval)."""
-    wl = bound_worklog(spark, sf_dir)
+    wl = _wl(spark, sf_dir, ("id", "author", "date", "timeSpentHours"))
     return FL.in_date_range(wl, "date", P.SHEET_START, P.SHEET_STOP).select(
         "id", "author", "date", "timeSpentHours")
 
 
 def q_non_resolved_issues(spark, sf_dir):
-    return FL.non_resolved_issues(bound_issue(spark, sf_dir)).select(
+    cols = ("id", "key", "status", "createDate", "updateDate", "developer", "isResolved")
+    return FL.non_resolved_issues(_is(spark, sf_dir, cols)).select(
         "id", "key", "status", "createDate", "updateDate", "developer")
 
 
 def q_done_status_issues(spark, sf_dir):
-    return FL.done_status_issues(bound_issue(spark, sf_dir), ["f"]).select(
+    return FL.done_status_issues(_is(spark, sf_dir, ("id", "key", "status")), ["f"]).select(
         "id", "key", "status")
 
 
 def q_filter_users(spark, sf_dir):
     """F3 with a mixed-case user list (case-insensitive match)."""
     users = ["supplier#000000001", "SUPPLIER#000000002", "Supplier#000000003"]
-    return FL.filter_users(bound_worklog(spark, sf_dir), users).select(
+    wl = _wl(spark, sf_dir, ("id", "author", "timeSpentHours"))
+    return FL.filter_users(wl, users).select(
         "id", "author", "timeSpentHours")
 
 
 def q_recent_weeks(spark, sf_dir):
-    return FL.recent_weeks(bound_worklog(spark, sf_dir), P.AS_OF_NEW_YEAR).select(
+    return FL.recent_weeks(_wl(spark, sf_dir, ("id", "author", "date")), P.AS_OF_NEW_YEAR).select(
         "id", "author", "date")
 
 
 def q_preset_range(spark, sf_dir):
     """F9 'last_month' preset feeding F4, then A3 by type."""
     s, e = R.preset_range("last_month", P.AS_OF)
-    return A.worklogs_group_by(bound_worklog(spark, sf_dir), "type", s, e)
+    cols = WL_HOURS + (validate_worklog_group("type"),)
+    return A.worklogs_group_by(_wl(spark, sf_dir, cols), "type", s, e)
 
 
 def q_api_default_range(spark, sf_dir):
     """F10 default range (midnight 7 days ago + 8 days) feeding A3 by weekday."""
     s, e = R.api_range(as_of=P.AS_OF)
-    return A.worklogs_group_by(bound_worklog(spark, sf_dir), "weekday", s, e)
+    cols = WL_HOURS + (validate_worklog_group("weekday"),)
+    return A.worklogs_group_by(_wl(spark, sf_dir, cols), "weekday", s, e)
 
 
 # --- A1 ------------------------------------------------------------------------------
 def _a1(group: str, hours: str = "resolved"):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return A.issues_grouped_by(bound_issue(spark, sf_dir), group,
+        cols = ISSUE_A1 + (validate_issue_group(group),)
+        return A.issues_grouped_by(_is(spark, sf_dir, cols), group,
                                    P.ALL_START, P.ALL_STOP, hours=hours)
     q.__name__ = f"issues_grouped_by_{group}"
     return q
@@ -82,22 +104,23 @@ def _a1(group: str, hours: str = "resolved"):
 
 # --- A2, A7, R6 -------------------------------------------------------------------------
 def q_issue_accuracy(spark, sf_dir):
-    return A.issue_accuracy(bound_issue(spark, sf_dir), P.ALL_START, P.ALL_STOP)
+    return A.issue_accuracy(_is(spark, sf_dir, ISSUE_A2), P.ALL_START, P.ALL_STOP)
 
 
 def q_issue_accuracy_with_average(spark, sf_dir):
-    acc = A.issue_accuracy(bound_issue(spark, sf_dir), P.ALL_START, P.ALL_STOP)
+    acc = A.issue_accuracy(_is(spark, sf_dir, ISSUE_A2), P.ALL_START, P.ALL_STOP)
     return A.with_average_row(acc, ["accuracy"], "developer")
 
 
 def q_overall_accuracy(spark, sf_dir):
-    return A.overall_accuracy(bound_issue(spark, sf_dir), P.ALL_START, P.ALL_STOP)
+    return A.overall_accuracy(_is(spark, sf_dir, ISSUE_A2), P.ALL_START, P.ALL_STOP)
 
 
 # --- A3 --------------------------------------------------------------------------------
 def _a3(group: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return A.worklogs_group_by(bound_worklog(spark, sf_dir), group,
+        cols = WL_HOURS + (validate_worklog_group(group),)
+        return A.worklogs_group_by(_wl(spark, sf_dir, cols), group,
                                    P.ALL_START, P.ALL_STOP)
     q.__name__ = f"worklogs_group_by_{group}"
     return q
@@ -105,48 +128,48 @@ def _a3(group: str):
 
 # --- A4, J4, A5 --------------------------------------------------------------------------
 def q_worklogs_per_dev_day(spark, sf_dir):
-    return A.worklogs_per_dev_day(bound_worklog(spark, sf_dir), P.ALL_START, P.ALL_STOP)
+    return A.worklogs_per_dev_day(_wl(spark, sf_dir, WL_DEV), P.ALL_START, P.ALL_STOP)
 
 
 def q_developer_day_grid(spark, sf_dir):
-    return A.developer_day_grid(bound_worklog(spark, sf_dir), P.GRID_START, P.GRID_STOP)
+    return A.developer_day_grid(_wl(spark, sf_dir, WL_DEV), P.GRID_START, P.GRID_STOP)
 
 
 def q_worklogs_per_dev(spark, sf_dir):
-    return A.worklogs_per_dev(bound_worklog(spark, sf_dir), P.SHEET_START, P.SHEET_STOP)
+    return A.worklogs_per_dev(_wl(spark, sf_dir, WL_DEV), P.SHEET_START, P.SHEET_STOP)
 
 
 def q_worklogs_per_dev_same_day(spark, sf_dir):
     """A5 with start = stop: no day columns, total 0.00."""
-    return A.worklogs_per_dev(bound_worklog(spark, sf_dir), P.SHEET_STOP, P.SHEET_STOP)
+    return A.worklogs_per_dev(_wl(spark, sf_dir, WL_DEV), P.SHEET_STOP, P.SHEET_STOP)
 
 
 # --- A6, A7, R7 ------------------------------------------------------------------------------
 def q_worklogs_per_dev_week(spark, sf_dir):
-    return A.worklogs_per_dev_week(bound_worklog(spark, sf_dir), P.AS_OF_NEW_YEAR)
+    return A.worklogs_per_dev_week(_wl(spark, sf_dir, WL_DEV), P.AS_OF_NEW_YEAR)
 
 
 def q_worklogs_per_dev_week_with_average(spark, sf_dir):
-    weekly = A.worklogs_per_dev_week(bound_worklog(spark, sf_dir), P.AS_OF_NEW_YEAR)
+    weekly = A.worklogs_per_dev_week(_wl(spark, sf_dir, WL_DEV), P.AS_OF_NEW_YEAR)
     return A.with_average_row(weekly, list(A.WEEK_COLUMNS), "Developer")
 
 
 def q_hours_per_week_pivot(spark, sf_dir):
-    return A.hours_per_week_pivot(bound_worklog(spark, sf_dir), P.AS_OF_NEW_YEAR)
+    return A.hours_per_week_pivot(_wl(spark, sf_dir, WL_DEV), P.AS_OF_NEW_YEAR)
 
 
 # --- A8, A9 --------------------------------------------------------------------------------------
 def q_worklogs_per_weekday(spark, sf_dir):
-    return A.worklogs_per_weekday(bound_worklog(spark, sf_dir), P.AS_OF)
+    return A.worklogs_per_weekday(_wl(spark, sf_dir, WL_WEEKDAY), P.AS_OF)
 
 
 def q_worklogs_per_dev_weekday(spark, sf_dir):
-    return A.worklogs_per_dev_weekday(bound_worklog(spark, sf_dir), P.AS_OF)
+    return A.worklogs_per_dev_weekday(_wl(spark, sf_dir, WL_WEEKDAY), P.AS_OF)
 
 
 # --- O1 ----------------------------------------------------------------------------------------------
 def q_sort_report(spark, sf_dir):
-    acc = A.issue_accuracy(bound_issue(spark, sf_dir), P.ALL_START, P.ALL_STOP)
+    acc = A.issue_accuracy(_is(spark, sf_dir, ISSUE_A2), P.ALL_START, P.ALL_STOP)
     return A.sort_report(acc)
 
 
@@ -185,4 +208,3 @@ REPORT_QUERIES = {
     "hours_per_week_pivot": q_hours_per_week_pivot,
 }
 
-_ = (dt, F)

@@ -32,62 +32,102 @@ RESOLVED_STATUS = "F"               # order status that marks an issue resolved
 RAW_OFFSET = "+0200"
 
 
-def _orders_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders + customer segment + customer nation name."""
+# Dimension tables each canonical column needs beyond lineitem + orders
+# (worklog) or orders + per-order line aggregate (issue). A query asks only
+# for its columns, so joins whose columns it never reads are not planned:
+# Catalyst cannot drop a left join itself, as it does not know the
+# dimension keys are unique.
+WORKLOG_NEEDS = {
+    "author": {"supplier"},
+    "project": {"customer", "nation"},
+    "issueKey": {"customer", "nation"},
+    "parentIssueKey": {"customer", "nation"},
+    "issueType": {"customer"},
+    "parentIssueType": {"customer"},
+}
+ISSUE_NEEDS = {
+    "developer": {"supplier"},
+    "key": {"customer", "nation"},
+    "project": {"customer", "nation"},
+    "type": {"customer"},
+}
+
+
+def _needs(table: dict, columns) -> set:
+    out = set()
+    for c in columns:
+        out |= table.get(c, set())
+    if "nation" in out:
+        out.add("customer")
+    return out
+
+
+def _orders_enriched(spark: SparkSession, sf_dir: str, need: set | None = None) -> DataFrame:
+    """orders + customer segment + customer nation name (as needed)."""
+    need = {"customer", "nation"} if need is None else need
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
         "o_orderdate", "o_orderpriority")
+    if "customer" not in need:
+        return orders
     customer = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_mktsegment")
+    out = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
+    if "nation" not in need:
+        return out
     # nation is the fixed 25-row TPC-H dimension: a proven size bound.
     nation = F.broadcast(read_table(spark, sf_dir, "nation").select(
         "n_nationkey", "n_name"))
-    return (orders
-            .join(customer, orders.o_custkey == customer.c_custkey, "left")
-            .join(nation, F.col("c_nationkey") == nation.n_nationkey, "left"))
+    return out.join(nation, F.col("c_nationkey") == nation.n_nationkey, "left")
 
 
 def _issue_key(project_col, id_col):
     return F.concat_ws("-", project_col, id_col.cast("string"))
 
 
-def bound_worklog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``worklog`` table derived from lineitem/orders/customer/nation/supplier."""
+def bound_worklog(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+    """``worklog`` table derived from lineitem/orders/customer/nation/supplier;
+    ``columns`` limits the output (and the joins) to what a query reads."""
+    cols = list(WORKLOG_COLUMNS) if columns is None else \
+        [c for c in WORKLOG_COLUMNS if c in set(columns)]
+    need = _needs(WORKLOG_NEEDS, cols)
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_shipdate")
-    supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    orders = _orders_enriched(spark, sf_dir)
+    joined = li
+    if "supplier" in need:
+        supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+        joined = joined.join(supplier, li.l_suppkey == supplier.s_suppkey, "left")
+    orders = _orders_enriched(spark, sf_dir, need)
+    joined = joined.join(orders, F.col("l_orderkey") == orders.o_orderkey, "inner")
     seconds = (F.col("l_quantity") * SECONDS_PER_QUANTITY).cast("int")
-    key = _issue_key(F.col("n_name"), F.col("l_orderkey"))
     summary = F.concat(F.lit("Order "), F.col("l_orderkey").cast("string"))
-    joined = (li.join(supplier, li.l_suppkey == supplier.s_suppkey, "left")
-              .join(orders, F.col("l_orderkey") == orders.o_orderkey, "inner"))
-    return joined.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-        F.col("s_name").alias("author"),
-        F.col("l_shipdate").alias("date"),
-        X.ntz_to_instant("l_shipdate").alias("started_at"),
-        X.iso_week("l_shipdate").alias("weekNumber"),
-        X.weekday_name("l_shipdate").alias("weekDay"),
-        seconds.alias("timeSpentSeconds"),
-        X.seconds_to_hours(seconds).alias("timeSpentHours"),
-        F.col("n_name").alias("project"),
-        F.col("l_orderkey").alias("issueId"),
-        key.alias("issueKey"),
-        F.col("c_mktsegment").alias("issueType"),
-        summary.alias("issueSummary"),
-        F.col("o_orderpriority").alias("issuePriority"),
-        F.col("o_orderstatus").alias("issueStatus"),
-        F.col("l_orderkey").alias("parentIssueId"),
-        key.alias("parentIssueKey"),
-        F.col("c_mktsegment").alias("parentIssueType"),
-        summary.alias("parentIssueSummary"),
-        F.col("o_orderpriority").alias("parentIssuePriority"),
-        F.col("o_orderstatus").alias("parentIssueStatus"),
-    ).select(*WORKLOG_COLUMNS)
-
-
-def _lines_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exprs = {
+        "id": F.col("l_orderkey") * 10 + F.col("l_linenumber"),
+        "author": F.col("s_name"),
+        "date": F.col("l_shipdate"),
+        "started_at": X.ntz_to_instant("l_shipdate"),
+        "weekNumber": X.iso_week("l_shipdate"),
+        "weekDay": X.weekday_name("l_shipdate"),
+        "timeSpentSeconds": seconds,
+        "timeSpentHours": X.seconds_to_hours(seconds),
+        "project": F.col("n_name"),
+        "issueId": F.col("l_orderkey"),
+        "issueKey": _issue_key(F.col("n_name"), F.col("l_orderkey")),
+        "issueType": F.col("c_mktsegment"),
+        "issueSummary": summary,
+        "issuePriority": F.col("o_orderpriority"),
+        "issueStatus": F.col("o_orderstatus"),
+        "parentIssueId": F.col("l_orderkey"),
+        "parentIssueKey": _issue_key(F.col("n_name"), F.col("l_orderkey")),
+        "parentIssueType": F.col("c_mktsegment"),
+        "parentIssueSummary": summary,
+        "parentIssuePriority": F.col("o_orderpriority"),
+        "parentIssueStatus": F.col("o_orderstatus"),
+    }
+    return joined.select(*[exprs[c].alias(c) for c in cols])
+
+
+def _lines_per_order(spark: SparkSession, sf_dir: str, with_developer: bool = True) -> DataFrame:
     """Per order: last ship date, total quantity, supplier of the latest line.
 
     Aggregated *before* the supplier join, so the join sees one row per
@@ -95,44 +135,49 @@ def _lines_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_shipdate")
-    per_order = li.groupBy("l_orderkey").agg(
-        F.max("l_shipdate").alias("last_ship"),
-        F.sum("l_quantity").alias("qty"),
-        F.max_by("l_suppkey", F.struct("l_shipdate", "l_linenumber", "l_suppkey"))
-        .alias("last_suppkey"))
+    aggs = [F.max("l_shipdate").alias("last_ship"), F.sum("l_quantity").alias("qty")]
+    if with_developer:
+        aggs.append(F.max_by("l_suppkey", F.struct("l_shipdate", "l_linenumber", "l_suppkey"))
+                    .alias("last_suppkey"))
+    per_order = li.groupBy("l_orderkey").agg(*aggs)
+    if not with_developer:
+        return per_order
     supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     return per_order.join(supplier, per_order.last_suppkey == supplier.s_suppkey, "left")
 
 
-def bound_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``issue`` table: one row per order (orders without lines included)."""
-    orders = _orders_enriched(spark, sf_dir)
-    lines = _lines_per_order(spark, sf_dir)
+def bound_issue(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+    """``issue`` table: one row per order (orders without lines included);
+    ``columns`` limits the output (and the joins) to what a query reads."""
+    cols = list(ISSUE_COLUMNS) if columns is None else \
+        [c for c in ISSUE_COLUMNS if c in set(columns)]
+    need = _needs(ISSUE_NEEDS, cols)
+    orders = _orders_enriched(spark, sf_dir, need)
+    lines = _lines_per_order(spark, sf_dir, with_developer="supplier" in need)
     j = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
     resolved = F.col("o_orderstatus") == RESOLVED_STATUS
     update = F.coalesce(F.col("last_ship"), F.col("o_orderdate"))
     created_at = X.ntz_to_instant("o_orderdate")
-    return j.select(
-        F.col("o_orderkey").alias("id"),
-        _issue_key(F.col("n_name"), F.col("o_orderkey")).alias("key"),
-        F.col("c_mktsegment").alias("type"),
-        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("summary"),
-        F.col("o_orderpriority").alias("priority"),
-        F.col("o_orderstatus").alias("status"),
-        F.col("o_orderdate").alias("createDate"),
-        created_at.alias("created_at"),
-        update.alias("updateDate"),
-        F.when(resolved, update).alias("resolvedDate"),
-        resolved.alias("isResolved"),
-        F.when(resolved, X.days_between_ceil(created_at, X.ntz_to_instant(update)))
-        .otherwise(F.lit(0)).alias("daysToResolve"),
-        X.zero_if_null((F.col("qty") * SECONDS_PER_QUANTITY).cast("int"))
-        .alias("aggregateTimeSpent"),
-        (F.col("o_totalprice") / ESTIMATE_DIVISOR).cast("int")
-        .alias("aggregateTimeOriginalEstimate"),
-        F.col("n_name").alias("project"),
-        F.col("s_name").alias("developer"),
-    ).select(*ISSUE_COLUMNS)
+    exprs = {
+        "id": F.col("o_orderkey"),
+        "key": _issue_key(F.col("n_name"), F.col("o_orderkey")),
+        "type": F.col("c_mktsegment"),
+        "summary": F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")),
+        "priority": F.col("o_orderpriority"),
+        "status": F.col("o_orderstatus"),
+        "createDate": F.col("o_orderdate"),
+        "created_at": created_at,
+        "updateDate": update,
+        "resolvedDate": F.when(resolved, update),
+        "isResolved": resolved,
+        "daysToResolve": F.when(resolved, X.days_between_ceil(created_at, X.ntz_to_instant(update)))
+        .otherwise(F.lit(0)),
+        "aggregateTimeSpent": X.zero_if_null((F.col("qty") * SECONDS_PER_QUANTITY).cast("int")),
+        "aggregateTimeOriginalEstimate": (F.col("o_totalprice") / ESTIMATE_DIVISOR).cast("int"),
+        "project": F.col("n_name"),
+        "developer": F.col("s_name"),
+    }
+    return j.select(*[exprs[c].alias(c) for c in cols])
 
 
 # --- raw tracker exports derived from the same tables --------------------------
@@ -215,7 +260,7 @@ def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     across tasks by the partial aggregation).
     """
     orders = _orders_enriched(spark, sf_dir)
-    lines = _lines_per_order(spark, sf_dir).select("l_orderkey", "last_ship", "qty")
+    lines = _lines_per_order(spark, sf_dir, with_developer=False)
     first = (read_table(spark, sf_dir, "orders").groupBy("o_custkey")
              .agg(F.min("o_orderkey").alias("first_key"))
              .withColumnRenamed("o_custkey", "f_custkey"))
