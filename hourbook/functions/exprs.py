@@ -20,6 +20,8 @@ DAY_LABEL_FORMAT = "MMM dd"
 # Day label used once a timesheet spans more than a year
 LONG_DAY_LABEL_FORMAT = "yyyy-MM-dd"
 SECONDS_PER_HOUR = 3600.0
+# Weekday names in dayofweek() order (1 = Sunday).
+WEEKDAY_NAMES = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
 MICROS_PER_DAY = 86_400_000_000.0
 
 
@@ -51,8 +53,9 @@ def iso_week(ts) -> Column:
 
 
 def weekday_name(ts) -> Column:
-    """Full English weekday name, Monday..Sunday."""
-    return F.date_format(_c(ts), "EEEE")
+    """Full English weekday name, Monday..Sunday (an array lookup on
+    ``dayofweek``: no per-row date formatting)."""
+    return F.element_at(F.array(*[F.lit(n) for n in WEEKDAY_NAMES]), F.dayofweek(_c(ts)))
 
 
 # X4, X10 --------------------------------------------------------------------
@@ -70,9 +73,19 @@ def seconds_to_hours(seconds) -> Column:
     return round2(_c(seconds).cast("double") / SECONDS_PER_HOUR)
 
 
+def cents(x) -> Column:
+    """A 2-place value as integer hundredths (exact: x*100 is within 1e-9 of
+    an integer, so ``rint`` cannot hit a tie)."""
+    return F.rint(_c(x) * 100).cast("long")
+
+
 def exact_sum(hours) -> Column:
-    """Order-independent sum of 2-place hours, returned as DOUBLE."""
-    return F.sum(_c(hours).cast("decimal(18,2)")).cast("double")
+    """Order-independent sum of 2-place hours, returned as DOUBLE.
+
+    Summed as integer hundredths (the same value as a DECIMAL(18,2) sum,
+    without a BigDecimal per row); NULL when there are no values.
+    """
+    return F.sum(cents(hours)) / F.lit(100.0)
 
 
 # X5, X6 ---------------------------------------------------------------------

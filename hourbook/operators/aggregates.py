@@ -167,15 +167,15 @@ def worklogs_per_dev(worklog: DataFrame, start, stop,
     values = [d.isoformat() for d in days]
     wide = (a4.withColumn("day", F.col("day").cast("string"))
             .groupBy("developer").pivot("day", values)
-            .agg(F.sum(F.col("timeSpentHrs").cast("decimal(18,2)"))))
+            .agg(F.sum(X.cents("timeSpentHrs"))))
     cells = [X.zero_if_null(F.col(f"`{v}`")) for v in values]
     total = cells[0]
     for c in cells[1:]:
         total = total + c
     return wide.select(
         F.col("developer").alias(DEVELOPER_COL),
-        X.fixed2(total).alias(TOTAL_COL),
-        *[X.fixed2(c).alias(lbl) for c, lbl in zip(cells, labels)])
+        X.fixed2(total / 100.0).alias(TOTAL_COL),
+        *[X.fixed2(c / 100.0).alias(lbl) for c, lbl in zip(cells, labels)])
 
 
 # A6 / R7 --------------------------------------------------------------------------
@@ -258,9 +258,9 @@ def worklogs_per_dev_weekday(worklog: DataFrame, as_of) -> DataFrame:
     df = _week_before(worklog, as_of)
     wide = (df.groupBy(F.col("author").alias("Developer"))
             .pivot("weekDay", list(WORKDAYS))
-            .agg(F.sum(F.col("timeSpentHours").cast("decimal(18,2)"))))
+            .agg(F.sum(X.cents("timeSpentHours"))))
     return wide.select("Developer", *[
-        X.zero_if_null(F.col(d)).cast("double").alias(d) for d in WORKDAYS])
+        (X.zero_if_null(F.col(d)) / 100.0).alias(d) for d in WORKDAYS])
 
 
 # O1 -------------------------------------------------------------------------------
