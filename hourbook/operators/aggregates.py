@@ -270,3 +270,87 @@ def sort_report(df: DataFrame, *columns: str) -> DataFrame:
         columns = tuple(c for c in ("developer", "Developer", DEVELOPER_COL)
                         if c in df.columns)[:1]
     return df.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in columns])
+
+
+# Reports described in the tracker's documentation -------------------------------
+# Fixed values of the workweek bands (R4): full week = 40 h.
+FULL_WEEK_HOURS = 40.0
+WORKWEEK_BANDS = ((40.0, "under 40%"), (60.0, "40-60%"))   # else "60% and more"
+TOP_BAND = "60% and more"
+
+
+def open_issues_older_than(issue: DataFrame, as_of, days: int) -> DataFrame:
+    """Unresolved issues created more than ``days`` days before as_of,
+    with their age in days."""
+    limit = R.midnight(as_of) - dt.timedelta(days=days)
+    today = F.lit(R.midnight(as_of).date().isoformat()).cast("date")
+    return (issue.where(~F.col("isResolved") & (F.col("createDate") < ts_lit(limit)))
+            .select("id", "key", "type", "status", "developer", "createDate",
+                    F.datediff(today, F.to_date("createDate")).alias("ageDays")))
+
+
+def resolve_days_trend(issue: DataFrame, as_of, weeks: int = 6) -> DataFrame:
+    """R2: per issue type and ISO week of resolution, the number of issues
+    resolved and their truncated mean days-to-resolve, for the ``weeks``
+    weeks up to the week of as_of."""
+    wk0 = R.iso_week_start(as_of)
+    start = wk0 - dt.timedelta(weeks=weeks - 1)
+    stop = wk0 + dt.timedelta(weeks=1)
+    df = issue.where(F.col("isResolved") & (F.col("resolvedDate") >= ts_lit(start))
+                     & (F.col("resolvedDate") < ts_lit(stop)))
+    return (df.groupBy(F.col("type"), X.week_start("resolvedDate").alias("week"))
+            .agg(F.count(F.lit(1)).cast("int").alias("resolved"),
+                 X.trunc_avg("daysToResolve").alias("daysToResolve")))
+
+
+def developers_without_hours(worklog: DataFrame, start, stop) -> DataFrame:
+    """(developer, day) pairs of the timesheet grid with no hours logged:
+    the grid of J4 anti-joined with the long form A4."""
+    days = _grid_days(start, stop)
+    long = worklogs_per_dev_day(worklog, start, stop)
+    if not days:
+        return long.select("developer", "day").limit(0)
+    devs = long.select("developer").distinct()
+    grid = devs.select(
+        "developer",
+        F.explode(F.sequence(F.lit(days[0].isoformat()).cast("date"),
+                             F.lit(days[-1].isoformat()).cast("date"),
+                             F.expr("INTERVAL 1 DAY"))).alias("day"))
+    return grid.join(long.where(F.col("timeSpentHrs") > 0).select("developer", "day"),
+                     ["developer", "day"], "left_anti")
+
+
+def _until_week_end(df: DataFrame, as_of) -> DataFrame:
+    """Rows before the Monday after as_of's ISO week."""
+    end = R.iso_week_start(as_of) + dt.timedelta(weeks=1)
+    return df.where(F.col("date") < ts_lit(end))
+
+
+def workweek_percent(worklog: DataFrame, as_of, weeks: int = 5) -> DataFrame:
+    """Per developer and ISO week (from the A6 window), hours logged,
+    share of a 40-hour week (2 places) and its band."""
+    df = _until_week_end(recent_weeks(worklog, as_of, days=7 * weeks), as_of)
+    wk = (df.groupBy(F.col("author").alias("developer"), X.week_start("date").alias("week"))
+          .agg(X.exact_sum("timeSpentHours").alias("hours")))
+    pct = X.round2(F.col("hours") / FULL_WEEK_HOURS * 100.0)
+    band = F.when(F.col("percent") < WORKWEEK_BANDS[0][0], WORKWEEK_BANDS[0][1]) \
+        .when(F.col("percent") < WORKWEEK_BANDS[1][0], WORKWEEK_BANDS[1][1]) \
+        .otherwise(TOP_BAND)
+    return wk.withColumn("percent", pct).withColumn("band", band)
+
+
+def week_over_week_change(worklog: DataFrame, as_of, weeks: int = 6) -> DataFrame:
+    """Per developer and ISO week, hours and the change from the
+    developer's previous week with hours (NULL for the first).
+
+    The window runs over the weekly totals (at most ``weeks`` rows per
+    developer), not over worklog rows, so a very busy developer costs no
+    more than any other.
+    """
+    from pyspark.sql import Window
+    df = _until_week_end(recent_weeks(worklog, as_of, days=7 * weeks), as_of)
+    wk = (df.groupBy(F.col("author").alias("developer"), X.week_start("date").alias("week"))
+          .agg(F.sum(X.cents("timeSpentHours")).alias("_c")))
+    w = Window.partitionBy("developer").orderBy("week")
+    return wk.select("developer", "week", (F.col("_c") / 100.0).alias("hours"),
+                     ((F.col("_c") - F.lag("_c").over(w)) / 100.0).alias("change"))

@@ -235,6 +235,59 @@ SELECT grid.developer, grid.day, CAST(coalesce(a4.timeSpentHrs, 0) AS DOUBLE) AS
 FROM grid LEFT JOIN a4 ON a4.developer IS NOT DISTINCT FROM grid.developer AND a4.day = grid.day""")
 
 
+def extra_sql() -> dict[str, str]:
+    """R1-R5."""
+    as_of, ny = P.AS_OF, P.AS_OF_NEW_YEAR
+    limit = R.midnight(as_of) - dt.timedelta(days=P.OPEN_OLDER_THAN_DAYS)
+    wk0 = R.iso_week_start(ny)
+    r2_start, r2_stop = wk0 - dt.timedelta(weeks=5), wk0 + dt.timedelta(weeks=1)
+    recent = R.midnight(ny) - dt.timedelta(days=35)
+    recent6 = R.midnight(ny) - dt.timedelta(days=42)
+    weekly = lambda since: f"""
+  SELECT author AS developer, CAST(date_trunc('week', date) AS DATE) AS week,
+         sum(CAST(round(timeSpentHours * 100) AS BIGINT)) AS c
+  FROM worklog WHERE date >= {sql_ts(since)} AND date < {sql_ts(wk0 + dt.timedelta(weeks=1))}
+  GROUP BY author, CAST(date_trunc('week', date) AS DATE)"""
+    return {
+        "open_issues_older_than": with_issue(f"""
+SELECT id, key, type, status, developer, createDate,
+       CAST(date_diff('day', CAST(createDate AS DATE), {sql_date(as_of)}) AS INTEGER) AS ageDays
+FROM issue WHERE NOT isResolved AND createDate < {sql_ts(limit)}"""),
+        "resolve_days_trend": with_issue(f"""
+SELECT type, CAST(date_trunc('week', resolvedDate) AS DATE) AS week,
+       CAST(count(*) AS INTEGER) AS resolved,
+       CAST(trunc(avg(daysToResolve)) AS INTEGER) AS daysToResolve
+FROM issue WHERE isResolved AND resolvedDate >= {sql_ts(r2_start)} AND resolvedDate < {sql_ts(r2_stop)}
+GROUP BY type, CAST(date_trunc('week', resolvedDate) AS DATE)"""),
+        "developers_without_hours": with_worklog(f"""
+, a4 AS (
+  SELECT author AS developer, CAST(date AS DATE) AS day, sum(timeSpentHours) AS h
+  FROM worklog WHERE {between("date", P.SHEET_START, P.SHEET_STOP)}
+  GROUP BY author, CAST(date AS DATE)),
+grid AS (
+  SELECT developer, CAST(g.day AS DATE) AS day
+  FROM (SELECT DISTINCT developer FROM a4) dv,
+       generate_series({sql_ts(P.SHEET_START)}, {sql_ts(P.SHEET_STOP - dt.timedelta(days=1))},
+                       INTERVAL 1 DAY) AS g(day))
+SELECT developer, day FROM grid
+WHERE NOT EXISTS (SELECT 1 FROM a4 WHERE a4.developer IS NOT DISTINCT FROM grid.developer
+                  AND a4.day = grid.day AND a4.h > 0)"""),
+        "workweek_percent": with_worklog(f"""
+, wk AS ({weekly(recent)}),
+p AS (SELECT developer, week, c / 100.0 AS hours,
+             round(c / 100.0 / 40.0 * 100.0 * 100) / 100 AS percent FROM wk)
+SELECT developer, week, hours, percent,
+       CASE WHEN percent < 40.0 THEN 'under 40%' WHEN percent < 60.0 THEN '40-60%'
+            ELSE '60% and more' END AS band
+FROM p"""),
+        "week_over_week_change": with_worklog(f"""
+, wk AS ({weekly(recent6)})
+SELECT developer, week, c / 100.0 AS hours,
+       (c - lag(c) OVER (PARTITION BY developer ORDER BY week)) / 100.0 AS change
+FROM wk"""),
+    }
+
+
 def report_sql() -> dict[str, str]:
     s_last_month, e_last_month = R.preset_range("last_month", P.AS_OF)
     s_api, e_api = R.api_range(as_of=P.AS_OF)
@@ -288,6 +341,7 @@ FROM a"""),
         "worklogs_per_dev_weekday": a9_sql(P.AS_OF),
         "sort_report": with_issue(a2_body() + "\nORDER BY developer NULLS FIRST"),
     }
+    out.update(extra_sql())
     for g in ISSUE_GROUP_COL:
         out[f"issues_grouped_by_{g}"] = a1_sql(g)
     out["issues_grouped_by_priority_all_hours"] = a1_sql("priority", hours="all")

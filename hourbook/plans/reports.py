@@ -173,6 +173,29 @@ def q_sort_report(spark, sf_dir):
     return A.sort_report(acc)
 
 
+# --- R1-R5 ------------------------------------------------------------------------------
+def q_open_issues_older_than(spark, sf_dir):
+    cols = ("id", "key", "type", "status", "developer", "createDate", "isResolved")
+    return A.open_issues_older_than(_is(spark, sf_dir, cols), P.AS_OF, P.OPEN_OLDER_THAN_DAYS)
+
+
+def q_resolve_days_trend(spark, sf_dir):
+    cols = ("type", "isResolved", "resolvedDate", "daysToResolve")
+    return A.resolve_days_trend(_is(spark, sf_dir, cols), P.AS_OF_NEW_YEAR)
+
+
+def q_developers_without_hours(spark, sf_dir):
+    return A.developers_without_hours(_wl(spark, sf_dir, WL_DEV), P.SHEET_START, P.SHEET_STOP)
+
+
+def q_workweek_percent(spark, sf_dir):
+    return A.workweek_percent(_wl(spark, sf_dir, WL_DEV), P.AS_OF_NEW_YEAR)
+
+
+def q_week_over_week_change(spark, sf_dir):
+    return A.week_over_week_change(_wl(spark, sf_dir, WL_DEV), P.AS_OF_NEW_YEAR)
+
+
 REPORT_QUERIES = {
     "scan_worklogs": q_scan_worklogs,
     "scan_issues": q_scan_issues,
@@ -206,5 +229,10 @@ REPORT_QUERIES = {
     "sort_report": q_sort_report,
     "overall_accuracy": q_overall_accuracy,
     "hours_per_week_pivot": q_hours_per_week_pivot,
+    "open_issues_older_than": q_open_issues_older_than,
+    "resolve_days_trend": q_resolve_days_trend,
+    "developers_without_hours": q_developers_without_hours,
+    "workweek_percent": q_workweek_percent,
+    "week_over_week_change": q_week_over_week_change,
 }
 
