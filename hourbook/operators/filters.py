@@ -73,8 +73,27 @@ def filter_users(df: DataFrame, users: Iterable[str] | DataFrame | None,
 
 
 def in_date_range(df: DataFrame, column: str, start, stop) -> DataFrame:
-    """closed interval start <= column <= stop (wall clock)."""
-    return df.where(F.col(column).between(_ts_lit(start), _ts_lit(stop)))
+    """closed interval start <= column <= stop (wall clock).
+
+    On a stored ``worklog`` (partitioned by ``month`` of ``date``) the same
+    range is also stated on ``month``, so Spark prunes whole partitions
+    before it opens a file.
+    """
+    out = df.where(F.col(column).between(_ts_lit(start), _ts_lit(stop)))
+    if column == "date" and "month" in df.columns and not isinstance(start, Column) \
+            and not isinstance(stop, Column):
+        lo = _as_datetime(start).strftime("%Y-%m")
+        hi = _as_datetime(stop).strftime("%Y-%m")
+        out = out.where(F.col("month").between(F.lit(lo), F.lit(hi)))
+    return out
+
+
+def _as_datetime(value) -> dt.datetime:
+    if isinstance(value, dt.datetime):
+        return value
+    if isinstance(value, dt.date):
+        return dt.datetime.combine(value, dt.time())
+    return dt.datetime.fromisoformat(str(value))
 
 
 def non_resolved_issues(issue: DataFrame, min_age: str | None = None,
@@ -98,7 +117,10 @@ def recent_weeks(worklog: DataFrame, as_of: dt.date, days: int = RECENT_WEEKS_DA
                  column: str = "date") -> DataFrame:
     """F8: rows dated on or after midnight of ``as_of`` minus 35 days."""
     start = dt.datetime.combine(_as_date(as_of), dt.time()) - dt.timedelta(days=days)
-    return worklog.where(F.col(column) >= _ts_lit(start))
+    out = worklog.where(F.col(column) >= _ts_lit(start))
+    if column == "date" and "month" in worklog.columns:
+        out = out.where(F.col("month") >= F.lit(start.strftime("%Y-%m")))
+    return out
 
 
 def _as_date(value) -> dt.date:
