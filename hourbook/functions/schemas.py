@@ -124,3 +124,12 @@ ISSUE = T.StructType([
 ])
 
 ISSUE_COLUMNS = [f.name for f in ISSUE.fields]
+
+
+# --- stored forms: the table plus the version of the row's last writer --------
+# (_seq_ts = update instant of the worklog entry that wrote it, in ms;
+#  _seq_id = that entry's id), so "latest wins" does not depend on how the
+# input was cut into batches or in which order batches arrived.
+SEQ_FIELDS = [_f("_seq_ts", L), _f("_seq_id", L)]
+WORKLOG_STORED = T.StructType(WORKLOG.fields + SEQ_FIELDS)
+ISSUE_STORED = T.StructType(ISSUE.fields + SEQ_FIELDS)

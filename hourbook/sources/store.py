@@ -33,7 +33,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourbook.functions.schemas import ISSUE, WORKLOG
+from hourbook.functions.schemas import ISSUE_STORED, WORKLOG_STORED
 
 # Fixed value: hash buckets of the issue table (files per full rewrite).
 ISSUE_BUCKETS = 64
@@ -56,8 +56,8 @@ def _bucket(df: DataFrame) -> Column:
 
 
 TABLES = {
-    "worklog": TableSpec("worklog", WORKLOG, "month", _month),
-    "issue": TableSpec("issue", ISSUE, "bucket", _bucket),
+    "worklog": TableSpec("worklog", WORKLOG_STORED, "month", _month),
+    "issue": TableSpec("issue", ISSUE_STORED, "bucket", _bucket),
 }
 
 
