@@ -70,11 +70,13 @@ def latest_issue_snapshots(snapshots: DataFrame) -> DataFrame:
     """Latest snapshot per issue id (by ``_snapshot_ts``, ``_snapshot_file``).
 
     ``max_by`` is partial-aggregated map-side, so an issue with very many
-    snapshots costs one row per task in the shuffle.
+    snapshots costs one row per task in the shuffle. Snapshots without
+    version columns (not read by ``read_issues``) carry no order to choose
+    by; they are taken as one per id and returned unchanged.
     """
     order = [c for c in ("_snapshot_ts", "_snapshot_file") if c in snapshots.columns]
     if not order:
-        return snapshots.dropDuplicates(["id"])
+        return snapshots
     cols = [c for c in snapshots.columns]
     latest = (snapshots.groupBy("id")
               .agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_s")))
