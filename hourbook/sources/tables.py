@@ -9,9 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from hourbook.functions.schemas import ISSUE_COLUMNS, WORKLOG_COLUMNS
 
 
+# Relations already opened in this session: a table used several times in
+# one plan (orders, lineitem) is listed and its footer read once.
+_OPENED: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table (``{sf_dir}/{name}.parquet``)."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """One driver table (``{sf_dir}/{name}.parquet``); for static inputs only
+    (an opened relation keeps its file listing)."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (id(spark), path)
+    df = _OPENED.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _OPENED[key] = df
+    return df
 
 
 def scan_worklogs(worklog: DataFrame) -> DataFrame:
