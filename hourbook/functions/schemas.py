@@ -130,6 +130,8 @@ ISSUE_COLUMNS = [f.name for f in ISSUE.fields]
 # (_seq_ts = update instant of the worklog entry that wrote it, in ms;
 #  _seq_id = that entry's id), so "latest wins" does not depend on how the
 # input was cut into batches or in which order batches arrived.
+# dateInserted: when the row was first written (kept by later updates).
 SEQ_FIELDS = [_f("_seq_ts", L), _f("_seq_id", L)]
-WORKLOG_STORED = T.StructType(WORKLOG.fields + SEQ_FIELDS)
-ISSUE_STORED = T.StructType(ISSUE.fields + SEQ_FIELDS)
+INSERTED = _f("dateInserted", TS)
+WORKLOG_STORED = T.StructType(WORKLOG.fields + [INSERTED] + SEQ_FIELDS)
+ISSUE_STORED = T.StructType(ISSUE.fields + [INSERTED] + SEQ_FIELDS)

@@ -102,7 +102,8 @@ def non_resolved_issues(issue: DataFrame, min_age: str | None = None,
     rows inserted at least that long before ``as_of`` (needs dateInserted)."""
     out = issue.where(~F.col("isResolved"))
     if min_age:
-        now = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
+        now = (F.lit(as_of.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp")
+               if as_of else F.current_timestamp())
         out = out.where(F.col("dateInserted") <= now - F.expr(f"INTERVAL {min_age}"))
     return out
 
