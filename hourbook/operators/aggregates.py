@@ -132,7 +132,7 @@ def developer_day_grid(worklog: DataFrame, start, stop) -> DataFrame:
     long = worklogs_per_dev_day(worklog, start, stop)
     devs = long.select("developer").distinct()
     if not days:
-        return long.limit(0)
+        return long.where(F.lit(False))
     first, last = days[0].isoformat(), days[-1].isoformat()
     grid = devs.select(
         "developer",
@@ -309,7 +309,7 @@ def developers_without_hours(worklog: DataFrame, start, stop) -> DataFrame:
     days = _grid_days(start, stop)
     long = worklogs_per_dev_day(worklog, start, stop)
     if not days:
-        return long.select("developer", "day").limit(0)
+        return long.select("developer", "day").where(F.lit(False))
     devs = long.select("developer").distinct()
     grid = devs.select(
         "developer",

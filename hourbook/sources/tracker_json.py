@@ -42,14 +42,24 @@ def read_worklog_updates(spark: SparkSession, path: str,
     return rows
 
 
+def _reader(spark: SparkSession, schema, modified_after: str | None):
+    r = spark.read.schema(schema).option("multiLine", True)
+    if modified_after:
+        # file-listing filter: older files are never opened
+        r = r.option("modifiedAfter", modified_after)
+    return r
+
+
 def read_worklog_details(spark: SparkSession, path: str,
-                         ids: DataFrame | None = None) -> DataFrame:
+                         ids: DataFrame | None = None,
+                         modified_after: str | None = None) -> DataFrame:
     """Raw worklog entries; with ``ids`` (column ``worklogId``) only those.
 
     Each file is a JSON array (one response); Spark turns every element
     into a row. Arrays are read whole per file, so files stay response-sized.
+    ``modified_after`` ("YYYY-MM-DDTHH:MM:SS", UTC) skips older files.
     """
-    raw = spark.read.schema(RAW_WORKLOG).option("multiLine", True).json(path)
+    raw = _reader(spark, RAW_WORKLOG, modified_after).json(path)
     if ids is not None:
         raw = (raw.withColumn("_wid", X.to_id("id"))
                .join(ids.select(F.col("worklogId").alias("_wid")), "_wid", "left_semi")
@@ -57,9 +67,10 @@ def read_worklog_details(spark: SparkSession, path: str,
     return raw
 
 
-def read_issues(spark: SparkSession, path: str) -> DataFrame:
-    """S3: raw issue snapshots with their version (file time, file name)."""
-    raw = spark.read.schema(RAW_ISSUE).option("multiLine", True).json(path)
+def read_issues(spark: SparkSession, path: str, modified_after: str | None = None) -> DataFrame:
+    """S3: raw issue snapshots with their version (file time, file name);
+    ``modified_after`` skips files landed earlier."""
+    raw = _reader(spark, RAW_ISSUE, modified_after).json(path)
     return raw.select(
         "*",
         F.col("_metadata.file_modification_time").alias("_snapshot_ts"),
