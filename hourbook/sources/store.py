@@ -78,8 +78,8 @@ class SnapshotStore:
             commits = self.spark.read.text(self._commit_dir())
         except AnalysisException:
             return None
-        row = commits.orderBy(F.col("version").desc()).select("value").limit(1).collect()
-        return json.loads(row[0]["value"]) if row else None
+        row = commits.agg(F.max_by("value", "version").alias("value")).first()
+        return json.loads(row["value"]) if row is not None and row["value"] else None
 
     def applied(self, job: str, commit: dict | None = None) -> int | None:
         """Last batch of ``job`` that is committed (None: never ran)."""
