@@ -27,6 +27,7 @@ ISSUE_A2 = ("updateDate", "isResolved", "aggregateTimeSpent",
 WL_HOURS = ("date", "timeSpentHours")
 WL_DEV = ("author", "date", "timeSpentHours")
 WL_WEEKDAY = ("author", "date", "weekDay", "timeSpentHours")
+WL_DAYS = ("date", "weekDay", "timeSpentHours")
 
 
 def _wl(spark, sf_dir, cols):
@@ -160,7 +161,7 @@ def q_hours_per_week_pivot(spark, sf_dir):
 
 # --- A8, A9 --------------------------------------------------------------------------------------
 def q_worklogs_per_weekday(spark, sf_dir):
-    return A.worklogs_per_weekday(_wl(spark, sf_dir, WL_WEEKDAY), P.AS_OF)
+    return A.worklogs_per_weekday(_wl(spark, sf_dir, WL_DAYS), P.AS_OF)
 
 
 def q_worklogs_per_dev_weekday(spark, sf_dir):
