@@ -45,6 +45,7 @@ class TableSpec:
     schema: object
     part_col: str
     part_expr: object = field(compare=False)     # Callable[[DataFrame], Column]
+    by_id: bool = False                          # partition is a function of id
 
 
 def _month(df: DataFrame) -> Column:
@@ -57,7 +58,7 @@ def _bucket(df: DataFrame) -> Column:
 
 TABLES = {
     "worklog": TableSpec("worklog", WORKLOG_STORED, "month", _month),
-    "issue": TableSpec("issue", ISSUE_STORED, "bucket", _bucket),
+    "issue": TableSpec("issue", ISSUE_STORED, "bucket", _bucket, by_id=True),
 }
 
 
@@ -116,13 +117,18 @@ class SnapshotStore:
 
     # --- writes --------------------------------------------------------------------
     def touched_partitions(self, name: str, batch_rows: DataFrame,
-                           stored: DataFrame | None) -> list[str]:
+                           stored: DataFrame | None, ids_new: bool = False) -> list[str]:
         """Partitions a batch lands in, plus partitions of stored rows with
-        the same ids (a row whose date moved leaves its old month). Bounded by
-        the number of partitions, so it is collected."""
+        the same ids (a worklog whose date moved leaves its old month).
+
+        The stored lookup is skipped when the partition is a function of the
+        id (issue buckets) or when every batch id is known to be new (the F1
+        cursor admits only ids above every stored id), so a batch never
+        scans the whole table. The list is bounded by the partition count.
+        """
         spec = TABLES[name]
         keys = batch_rows.select(spec.part_expr(batch_rows).alias("_p"))
-        if stored is not None:
+        if stored is not None and not spec.by_id and not ids_new:
             old = (stored.join(batch_rows.select("id").distinct(), "id", "left_semi")
                    .select(F.col(spec.part_col).alias("_p")))
             keys = keys.unionByName(old)
