@@ -31,6 +31,7 @@ class IngestFrames:
     bad_ids: DataFrame               # entries whose id is not a number
     orphaned: DataFrame              # sub-tasks whose parent is missing
     feed: DataFrame                  # feed rows admitted by since/cursor
+    joined: DataFrame                # entries with issue and parent (J1 + J2)
 
 
 def select_new_entries(feed: DataFrame, details: DataFrame, *,
@@ -68,7 +69,8 @@ def ingest_frames(feed: DataFrame, details: DataFrame, issue_snapshots: DataFram
         missing_issue=J.worklogs_missing_issue(entries, latest),
         bad_ids=entries.where(X.to_id("id").isNull()),
         orphaned=J.orphaned_subtasks(pairs),
-        feed=f)
+        feed=f,
+        joined=joined)
 
 
 def next_cursor(feed_rows: DataFrame, worklog_rows: DataFrame) -> dict | None:
