@@ -169,9 +169,9 @@ def worklogs_per_dev(worklog: DataFrame, start, stop,
             .groupBy("developer").pivot("day", values)
             .agg(F.sum(X.cents("timeSpentHrs"))))
     cells = [X.zero_if_null(F.col(f"`{v}`")) for v in values]
-    total = cells[0]
-    for c in cells[1:]:
-        total = total + c
+    # one flat fold over the day cells (a chain of 366 additions would nest
+    # the expression tree 366 deep)
+    total = F.aggregate(F.array(*cells), F.lit(0).cast("long"), lambda acc, x: acc + x)
     return wide.select(
         F.col("developer").alias(DEVELOPER_COL),
         X.fixed2(total / 100.0).alias(TOTAL_COL),

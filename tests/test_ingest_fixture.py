@@ -166,3 +166,30 @@ def test_replay_is_idempotent(spark):
     cols = [c for c in once.columns]
     assert sorted(map(tuple, once.select(cols).collect())) == \
         sorted(map(tuple, twice.select(cols).collect()))
+
+
+def test_lookup_by_key_or_id(spark):
+    from hourbook.sources.tracker_json import lookup_by_key_or_id
+    snaps = latest_issue_snapshots(read_issues(spark, os.path.join(LAND, "issues")))
+    wanted = spark.createDataFrame([("ABC-1234",), ("6002",), ("NOPE-1",)], "key string")
+    assert sorted(r.id for r in lookup_by_key_or_id(snaps, wanted).collect()) == ["6000", "6002"]
+
+
+def test_long_user_list_uses_semi_join(spark):
+    from hourbook.operators import filters as FL
+    users = [f"user{i}" for i in range(FL.MAX_INLINE_LIST + 5)] + ["BIG bird"]
+    fr = frames(spark, users=users)
+    assert fr.worklog_rows.count() == 3
+    plan = fr.worklog_rows._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan
+
+
+def test_refresh_reports_missing_snapshot_and_duplicate_keys(spark):
+    stored = _stored_issue(spark)
+    dup = stored.where("id = 6000").withColumn("id", F.lit(7000).cast("long"))
+    stored2 = stored.unionByName(dup)
+    snaps = read_issues(spark, os.path.join(LAND, "issues")).where("id <> '6003'")
+    fr = refresh_frames(stored2, snaps, ["closed"])
+    assert [r.id for r in fr.without_snapshot.collect()] == [6003]          # D19
+    assert [(r.key, r.ids) for r in fr.duplicate_keys.collect()] == [("ABC-1234", 2)]   # D26
+    assert sorted(r.id for r in fr.updates.collect()) == [6000, 7000]

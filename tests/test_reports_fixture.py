@@ -186,3 +186,11 @@ def test_weekday_reports(spark, worklog):
 def test_sort_report(spark, issue):
     out = A.sort_report(A.issue_accuracy(issue, START, STOP)).collect()
     assert [r.developer for r in out] == ["bob.smith", "mary.jane"]
+
+
+def test_long_timesheet_labels(spark, worklog):
+    wide = A.worklogs_per_dev(worklog, dt.datetime(2020, 2, 15), dt.datetime(2021, 2, 15))
+    cols = wide.columns[2:]
+    assert len(cols) == 366 and cols[0] == "2020-02-15" and cols[-1] == "2021-02-14"
+    rows = {r[A.DEVELOPER_COL]: r for r in wide.collect()}
+    assert rows["bob.smith"]["2021-02-08"] == "1.50" and rows["bob.smith"]["2021-01-20"] == "2.00"
