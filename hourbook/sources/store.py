@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 
 from hourbook.functions.schemas import ISSUE_STORED, WORKLOG_STORED
 
-# Fixed value: hash buckets of the issue table (files per full rewrite).
+# Hash buckets of the issue table (files per full rewrite);
+# row cap of one written file.
 ISSUE_BUCKETS = 64
+MAX_RECORDS_PER_FILE = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -146,9 +148,15 @@ class SnapshotStore:
                .withColumn(spec.part_col, spec.part_expr(content))
                .where(F.col(spec.part_col).isin(touched))
                .withColumn("v", F.lit(int(batch))))
-        # one shuffle by partition key: each task writes whole partitions
-        (out.repartition(spec.part_col)
+        # one shuffle on (partition, hash of id): a partition is spread over
+        # up to shuffle.partitions tasks, so a month holding a third of the
+        # batch is not written by one task; each task writes at most one
+        # file per partition (and files are capped in rows).
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        salt = F.pmod(F.xxhash64(F.col("id")), F.lit(n))
+        (out.repartition(n, F.col(spec.part_col), salt)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
          .partitionBy(spec.part_col, "v").parquet(f"{self.root}/{name}"))
         try:
             written = (self.spark.read.option("basePath", f"{self.root}/{name}")
