@@ -216,7 +216,8 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_wid").alias("worklogId"),
         ms.alias("updatedTime"),
         X.millis_to_ts(ms).alias("updated_at"),
-        F.array().cast("array<string>").alias("properties"))
+        F.array().cast("array<string>").alias("properties"),
+        F.col("_version"))
 
 
 def _offset_ms() -> int:

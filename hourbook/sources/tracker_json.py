@@ -8,6 +8,10 @@ Land layout (one folder per export kind, any number of files):
 
 Every page in ``feed/`` is processed (D15). Issue snapshots are versioned
 by file modification time, then file name; the latest per id wins.
+
+Files are raw API responses (one JSON document per file, ``multi_line=True``)
+or JSON lines (one record per line, ``multi_line=False``); JSON lines are
+splittable, so large landed files are read by many tasks.
 """
 
 from __future__ import annotations
@@ -33,17 +37,17 @@ def feed_rows(pages: DataFrame) -> DataFrame:
 
 
 def read_worklog_updates(spark: SparkSession, path: str,
-                         since_ms: int | None = None) -> DataFrame:
+                         since_ms: int | None = None, multi_line: bool = True) -> DataFrame:
     """Feed rows, optionally only those updated at or after ``since_ms``."""
-    pages = spark.read.schema(FEED_PAGE).option("multiLine", True).json(path)
+    pages = spark.read.schema(FEED_PAGE).option("multiLine", multi_line).json(path)
     rows = feed_rows(pages)
     if since_ms is not None and since_ms > 0:
         rows = rows.where(F.col("updatedTime") >= F.lit(int(since_ms)))
     return rows
 
 
-def _reader(spark: SparkSession, schema, modified_after: str | None):
-    r = spark.read.schema(schema).option("multiLine", True)
+def _reader(spark: SparkSession, schema, modified_after: str | None, multi_line: bool = True):
+    r = spark.read.schema(schema).option("multiLine", multi_line)
     if modified_after:
         # file-listing filter: older files are never opened
         r = r.option("modifiedAfter", modified_after)
@@ -52,14 +56,15 @@ def _reader(spark: SparkSession, schema, modified_after: str | None):
 
 def read_worklog_details(spark: SparkSession, path: str,
                          ids: DataFrame | None = None,
-                         modified_after: str | None = None) -> DataFrame:
+                         modified_after: str | None = None,
+                         multi_line: bool = True) -> DataFrame:
     """Raw worklog entries; with ``ids`` (column ``worklogId``) only those.
 
     Each file is a JSON array (one response); Spark turns every element
     into a row. Arrays are read whole per file, so files stay response-sized.
     ``modified_after`` ("YYYY-MM-DDTHH:MM:SS", UTC) skips older files.
     """
-    raw = _reader(spark, RAW_WORKLOG, modified_after).json(path)
+    raw = _reader(spark, RAW_WORKLOG, modified_after, multi_line).json(path)
     if ids is not None:
         raw = (raw.withColumn("_wid", X.to_id("id"))
                .join(ids.select(F.col("worklogId").alias("_wid")), "_wid", "left_semi")
@@ -67,10 +72,11 @@ def read_worklog_details(spark: SparkSession, path: str,
     return raw
 
 
-def read_issues(spark: SparkSession, path: str, modified_after: str | None = None) -> DataFrame:
+def read_issues(spark: SparkSession, path: str, modified_after: str | None = None,
+                multi_line: bool = True) -> DataFrame:
     """S3: raw issue snapshots with their version (file time, file name);
     ``modified_after`` skips files landed earlier."""
-    raw = _reader(spark, RAW_ISSUE, modified_after).json(path)
+    raw = _reader(spark, RAW_ISSUE, modified_after, multi_line).json(path)
     return raw.select(
         "*",
         F.col("_metadata.file_modification_time").alias("_snapshot_ts"),
