@@ -73,16 +73,30 @@ def ingest_frames(feed: DataFrame, details: DataFrame, issue_snapshots: DataFram
         joined=joined)
 
 
-def next_cursor(feed_rows: DataFrame, worklog_rows: DataFrame) -> dict | None:
-    """K4 value after a fully processed batch: max written worklog id and the
-    max page ``until`` (or update time). None when nothing was admitted."""
+def cursor_frame(feed_rows: DataFrame, worklog_rows: DataFrame) -> DataFrame:
+    """K4 as one row: the max written worklog id, the max page ``until`` (or
+    update time) of the admitted feed rows, and how many were admitted.
+
+    One aggregate over the union of both inputs (no join of the two).
+    """
     until = "pageUntil" if "pageUntil" in feed_rows.columns else "updatedTime"
-    f = feed_rows.agg(F.max(F.coalesce(F.col(until), F.col("updatedTime"))).alias("t"),
-                      F.count(F.lit(1)).alias("n")).first()
-    if f is None or f["n"] == 0:
+    f = feed_rows.select(F.lit(None).cast("long").alias("_id"),
+                         F.coalesce(F.col(until), F.col("updatedTime")).alias("_t"),
+                         F.lit(1).alias("_n"))
+    w = worklog_rows.select(F.col("id").alias("_id"), F.lit(None).cast("long").alias("_t"),
+                            F.lit(0).alias("_n"))
+    return f.unionByName(w).agg(F.max("_id").alias("max_worklog_id"),
+                                F.max("_t").alias("last_timestamp"),
+                                F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("admitted"))
+
+
+def next_cursor(feed_rows: DataFrame, worklog_rows: DataFrame) -> dict | None:
+    """K4 value after a fully processed batch (one small row on the driver);
+    None when the feed admitted nothing."""
+    row = cursor_frame(feed_rows, worklog_rows).first()
+    if row is None or row["admitted"] == 0:
         return None
-    m = worklog_rows.agg(F.max("id").alias("m")).first()
-    return {"max_worklog_id": m["m"], "last_timestamp": f["t"]}
+    return {"max_worklog_id": row["max_worklog_id"], "last_timestamp": row["last_timestamp"]}
 
 
 def upsert_batch(stored_worklog: DataFrame | None, stored_issue: DataFrame | None,

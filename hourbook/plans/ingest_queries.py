@@ -124,7 +124,14 @@ def q_filter_users_ingest(spark, sf_dir):
     return _public(_frames(spark, sf_dir, users=users).worklog_rows)
 
 
+def q_advance_cursor(spark, sf_dir):
+    """K4: the cursor after a run that admitted the ids above FEED_CURSOR."""
+    fr = _frames(spark, sf_dir, max_worklog_id=FEED_CURSOR)
+    return I.cursor_frame(fr.feed, fr.worklog_rows)
+
+
 INGEST_QUERIES = {
+    "advance_cursor": q_advance_cursor,
     "read_worklog_updates": q_read_worklog_updates,
     "new_worklogs": q_new_worklogs,
     "read_worklog_details": q_read_worklog_details,
@@ -247,6 +254,10 @@ def ingest_sql() -> dict[str, str]:
     return {
         "read_worklog_updates": _raw(
             f"SELECT worklogId, updatedTime FROM feed WHERE updatedTime >= {since}"),
+        "advance_cursor": _raw(
+            f"SELECT (SELECT max(id) FROM wl_rows WHERE id > {FEED_CURSOR}) AS max_worklog_id, "
+            f"(SELECT max(updatedTime) FROM feed WHERE worklogId > {FEED_CURSOR}) AS last_timestamp, "
+            f"(SELECT count(*) FROM feed WHERE worklogId > {FEED_CURSOR}) AS admitted"),
         "new_worklogs": _raw(
             f"SELECT worklogId, updatedTime FROM feed WHERE worklogId > {FEED_CURSOR}"),
         "read_worklog_details": _raw(
