@@ -347,4 +347,5 @@ FROM a"""),
     out["issues_grouped_by_priority_all_hours"] = a1_sql("priority", hours="all")
     for g in WORKLOG_GROUP_COL:
         out[f"worklogs_group_by_{g}"] = a3_sql(g)
+    out["write_report"] = a3_sql("priority")
     return out

@@ -197,6 +197,19 @@ def q_week_over_week_change(spark, sf_dir):
     return A.week_over_week_change(_wl(spark, sf_dir, WL_DEV), P.AS_OF_NEW_YEAR)
 
 
+# --- K5 ---------------------------------------------------------------------------------
+def q_write_report(spark, sf_dir):
+    """K5: the A3 priority report written as JSON lines and read back."""
+    import os
+    import uuid
+    from hourbook.session import checkpoint_dir
+    from hourbook.sources.store import write_report
+    rep = _a3("priority")(spark, sf_dir)
+    path = os.path.join(checkpoint_dir(spark), f"hourbook-report-{uuid.uuid4().hex[:12]}")
+    write_report(rep, path)
+    return spark.read.schema(rep.schema).json(path)
+
+
 REPORT_QUERIES = {
     "scan_worklogs": q_scan_worklogs,
     "scan_issues": q_scan_issues,
@@ -235,5 +248,6 @@ REPORT_QUERIES = {
     "developers_without_hours": q_developers_without_hours,
     "workweek_percent": q_workweek_percent,
     "week_over_week_change": q_week_over_week_change,
+    "write_report": q_write_report,
 }
 
