@@ -75,15 +75,37 @@ class SnapshotStore:
     def _commit_dir(self) -> str:
         return f"{self.root}/_commits"
 
-    def latest_commit(self) -> dict | None:
-        """The newest commit record (one small row), or None."""
+    def _read_record(self, path: str) -> dict | None:
         try:
-            commits = self.spark.read.text(self._commit_dir())
+            row = self.spark.read.text(path).first()
         except AnalysisException:
             return None
-        row = commits.agg(F.max_by("value", "version").alias("value")).first()
         return json.loads(row["value"]) if row is not None and row["value"] else None
 
+    def latest_commit(self) -> dict | None:
+        """The newest commit record (one small row), or None.
+
+        ``_latest`` holds a copy of the newest record; it is written after
+        the record itself, so it can only lag: the next versions are probed
+        until one is missing. Without the hint (first commit, or a crash
+        while it was rewritten) all records are read once.
+        """
+        rec = self._read_record(f"{self.root}/_latest")
+        if rec is None:
+            try:
+                commits = self.spark.read.text(self._commit_dir())
+            except AnalysisException:
+                return None
+            row = commits.agg(F.max_by("value", "version").alias("value")).first()
+            rec = json.loads(row["value"]) if row is not None and row["value"] else None
+            if rec is None:
+                return None
+        while True:
+            nxt = self._read_record(f"{self._commit_dir()}/version={int(rec['version']) + 1}")
+            if nxt is None:
+                return rec
+            rec = nxt
+
     def applied(self, job: str, commit: dict | None = None) -> int | None:
         """Last batch of ``job`` that is committed (None: never ran)."""
         c = commit if commit is not None else self.latest_commit()
@@ -192,8 +214,10 @@ class SnapshotStore:
         jobs[job] = int(batch)
         record = {"version": version, "jobs": jobs, "manifest": manifest,
                   "cursor": cursor if cursor is not None else prev.get("cursor")}
-        (self.spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string")
-         .coalesce(1).write.mode("overwrite").text(f"{self._commit_dir()}/version={version}"))
+        text = self.spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string")
+        text.coalesce(1).write.mode("overwrite").text(f"{self._commit_dir()}/version={version}")
+        # the hint for readers, written after the record it copies
+        text.coalesce(1).write.mode("overwrite").text(f"{self.root}/_latest")
         return record
 
 

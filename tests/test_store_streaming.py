@@ -162,3 +162,17 @@ def test_refresh_min_age(spark, land_copy, scratch):
     assert late["issue_partitions"] == 1
     iss = _table(store, "issue")
     assert iss[6000].isResolved and iss[6000].dateInserted == t0
+
+
+def test_stale_latest_hint(spark, land_copy, scratch):
+    """The _latest hint may lag (crash after a commit): readers probe forward."""
+    store = SnapshotStore(spark, os.path.join(scratch, "store"))
+    feed, details, issues = _inputs(spark, land_copy)
+    JB.run_ingest(store, feed, details, issues, batch_id=0)
+    first = store.latest_commit()
+    JB.run_refresh(store, issues, batch_id=0, done_statuses=["closed"])
+    assert store.latest_commit()["version"] == 2
+    stale = spark.createDataFrame([(json.dumps(first, sort_keys=True),)], "value string")
+    stale.coalesce(1).write.mode("overwrite").text(os.path.join(store.root, "_latest"))
+    assert store.latest_commit()["version"] == 2
+    assert _table(store, "issue")[6000].isResolved
