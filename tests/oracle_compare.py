@@ -47,6 +47,12 @@ def normalize(rows, cols):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
+# Spark type -> DuckDB type of the same values
+DUCK_TYPES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+              "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "DateType()": "DATE",
+              "TimestampNTZType()": "TIMESTAMP", "TimestampType()": "TIMESTAMP WITH TIME ZONE"}
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -60,6 +66,11 @@ def compare(spark, con, name, fn, sql, sf_dir):
     problems = []
     if sorted(scols) != sorted(dcols):
         problems.append(f"columns spark={scols} duck={dcols}")
+    dtypes = {c: str(t) for c, t in zip(dcols, rel.types)}
+    wrong = {f.name: (str(f.dataType), dtypes.get(f.name)) for f in sdf.schema.fields
+             if DUCK_TYPES.get(str(f.dataType), str(f.dataType)) != dtypes.get(f.name)}
+    if wrong:
+        problems.append(f"types {wrong}")
     if len(srows) != len(drows):
         problems.append(f"rows spark={len(srows)} duck={len(drows)}")
     if not problems:
