@@ -117,11 +117,17 @@ class SnapshotStore:
         return None if c is None else c.get("cursor")
 
     # --- reads ---------------------------------------------------------------------
-    def read(self, name: str, commit: dict | None = None) -> DataFrame | None:
-        """Current content of a table (None before its first commit)."""
+    def read(self, name: str, commit: dict | None = None,
+             partitions: list[str] | None = None) -> DataFrame | None:
+        """Current content of a table (None before its first commit, or when
+        none of ``partitions`` holds rows). Only the leaf folders of the
+        wanted partitions are listed."""
         spec = TABLES[name]
         commit = commit if commit is not None else self.latest_commit()
         parts = (commit or {}).get("manifest", {}).get(name) or {}
+        if partitions is not None:
+            wanted = set(partitions)
+            parts = {p: v for p, v in parts.items() if p in wanted}
         if not parts:
             return None
         base = f"{self.root}/{name}"
