@@ -239,7 +239,7 @@ def raw_worklogs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_name").alias("displayName"),
         F.lit(True).alias("active"),
         F.lit("UTC").alias("timeZone"),
-        F.lit("atlassian").alias("accountType"))
+        F.lit("user").alias("accountType"))
     return j.select(
         F.lit(None).cast("string").alias("self"),
         author.alias("author"),
