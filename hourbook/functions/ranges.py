@@ -106,8 +106,10 @@ def api_range(start: str | None = None, stop: str | None = None,
     """report API range. Default: midnight 7 days before ``as_of`` to
     that midnight + 8 days; ``start``/``stop`` override with YYYYMMDD
     (midnight at the start of that day). Raises ValueError on bad text."""
-    base = midnight(as_of) - dt.timedelta(days=DEFAULT_BACK_DAYS)
-    s, e = base, base + dt.timedelta(days=DEFAULT_SPAN_DAYS)
+    if start is None or stop is None:
+        base = midnight(as_of if as_of is not None else dt.datetime.now()) \
+            - dt.timedelta(days=DEFAULT_BACK_DAYS)
+        s, e = base, base + dt.timedelta(days=DEFAULT_SPAN_DAYS)
     if start is not None:
         s = dt.datetime.strptime(start, PARAM_FORMAT)
     if stop is not None:

@@ -109,3 +109,7 @@ def test_lookback_clamps_month_end():
     ms = R.lookback_start_ms(dt.datetime(2021, 6, 30, 12, 0))
     assert dt.datetime.fromtimestamp(ms / 1000, dt.timezone.utc).replace(tzinfo=None) == \
         dt.datetime(2021, 2, 28, 12, 0)
+
+
+def test_api_range_without_as_of():
+    assert R.api_range("20190506", "20190513") == (dt.datetime(2019, 5, 6), dt.datetime(2019, 5, 13))
