@@ -113,3 +113,16 @@ def test_lookback_clamps_month_end():
 
 def test_api_range_without_as_of():
     assert R.api_range("20190506", "20190513") == (dt.datetime(2019, 5, 6), dt.datetime(2019, 5, 13))
+
+
+def test_range_edges():
+    # month-end: last month of March 31 is all of February (leap year)
+    s, e = R.preset_range("last_month", dt.datetime(2020, 3, 31, 9, 0))
+    assert s == dt.datetime(2020, 2, 1) and e.date() == dt.date(2020, 2, 29)
+    # 'lastweek' with an explicit end keeps the given end
+    s, e = R.explicit_range("lastweek", "2021-02-12", dt.datetime(2021, 2, 10))
+    assert s == dt.datetime(2021, 2, 1) and e == dt.datetime(2021, 2, 12)
+    # both sides missing: this ISO week; across New Year the week starts in December
+    s, e = R.explicit_range(None, None, dt.datetime(2021, 1, 1))
+    assert s == dt.datetime(2020, 12, 28) and e.date() == dt.date(2021, 1, 3)
+    assert R.iso_week_start(dt.date(2021, 1, 3)) == dt.datetime(2020, 12, 28)
