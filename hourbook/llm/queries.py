@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+_tokenizers
 
-from hourbook.llm import quality_rules, sharding, simhash
+from hourbook.llm import mixing, packing, quality_rules, sharding, simhash
 from hourbook.llm.common import documents
 
 
@@ -17,6 +19,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(documents(spark, sf_dir), path, end_id=1, cut="drop")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir)).drop("row_number")
 
@@ -25,12 +32,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure_documents(documents(spark, sf_dir))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(documents(spark, sf_dir)).taken()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_simhash_near_dedup,
+        op6_best_fit_packing,
         op8_sharding,
         op9_quality_rules,
+        op10_mixing,
     )
 }
 
