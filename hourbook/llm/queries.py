@@ -8,7 +8,6 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-_tokenizers
 
 from hourbook.llm import mixing, packing, quality_rules, sharding, simhash
 from hourbook.llm.common import documents
