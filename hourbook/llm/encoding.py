@@ -1,30 +1,51 @@
 """Token ids of whole texts with a tokenizer file, for use inside tasks.
 
-Most of a tokenizer's time goes into words it has met before.  Both kinds of
-tokenizer here never join characters across certain white space, so a text
-can be cut there, each distinct piece encoded once by the library, and the
-ids of a text put together from its pieces:
+Most of a tokenizer's time goes into words it has met before.  The tokenizers
+here never join characters across certain places, so a text can be cut there,
+each distinct piece encoded once by the library, and the ids of a text put
+together from its pieces:
 
-``lead``: byte-level BPE whose pre-tokenizer puts one space in front of the
-next word.  Where every space stands alone between other characters, a token
-starts at each space.  Texts with any other white space next to a space are
-encoded whole.
+``lead``: byte-level BPE whose pre-tokenizer puts one space in front of the next
+word.  Where every space stands alone between other characters, a token starts
+at each space; where no white space stands beside other white space, a line
+feed is a token of its own.  Texts that don't meet the first are encoded whole.
 
-``drop``: pre-tokenizers that drop white space.  Texts are cut at spaces and
-line feeds.
+``drop``: pre-tokenizers that drop white space and lower-case.  Texts are cut at
+spaces and line feeds.
 
-Any other value encodes whole texts only.
+Both also cut before a full stop or comma that follows a letter or digit and
+ends a piece, if that holds for all of them in the text.  Any other value of
+``cut`` encodes whole texts only.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+import types
+from array import array
 from collections.abc import Sequence
 
-import numpy as np
+CACHED_PIECES = 150_000
+CUT = "\x01"
 
-CACHED_PIECES = 200_000
+
+def worker_encoder(path: str, cut: str | None, end_id: int, as_text: bool = False) -> Encoder:
+    """One encoder per worker process, so later tasks find its pieces."""
+    state = sys.modules.setdefault("_hourbook_worker", types.ModuleType("_hourbook_worker")).__dict__
+    key = (path, cut, end_id, as_text)
+    if key not in state:
+        state[key] = Encoder(*key)
+    return state[key]
+
+
+def words(ids: Sequence[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class Encoder:
@@ -35,30 +56,54 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = as_text
-        self.cut, self.end = cut, np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
-        self.beside = re.compile(r" \s|\s ")
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cut, self.end = cut, words([end_id])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.beside_space = re.compile(r" \s|\s ")
+        self.beside = re.compile(r"\s\s")
+        # A full stop or comma after anything but a (Latin) letter or ASCII digit.
+        self.odd_stop = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ɏ][.,]")
+        self.beyond_latin = re.compile(r"[^\x00-ɏ]")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [words(e.ids) for e in found]
 
     def _pieces(self, text: str) -> list[str] | None:
+        if CUT in text or self.cut not in ("lead", "drop"):
+            return None
         if self.cut == "drop":
-            return [p for p in text.replace("\n", " ").split(" ") if p]
-        if self.cut == "lead" and not self.beside.search(text):
-            first, *rest = text.split(" ")
-            return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
-        return None
+            # Lower case is what the tokenizer makes of these characters too.
+            if not self.beyond_latin.search(text):
+                lower = text.lower()
+                if not any(s in lower for s in self.special):
+                    text = lower
+            text = text.replace("\n", " ")
+            if not self.odd_stop.search(text):
+                text = text.replace(". ", " . ").replace(", ", " , ")
+            return text.split(" ")
+        if self.beside.search(text):
+            return None if self.beside_space.search(text) else text.replace(" ", CUT + " ").split(CUT)
+        text = text.replace(" ", CUT + " ").replace("\n", f"{CUT}\n{CUT}")
+        if not self.odd_stop.search(text):
+            text = text.replace("." + CUT, f"{CUT}.{CUT}").replace("," + CUT, f"{CUT},{CUT}")
+        return text.split(CUT)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, the end id last."""
         cut = [self._pieces(t or "") for t in texts]
-        new = list(set().union(*(p for p in cut if p is not None)) - self.known.keys())
-        if len(self.known) + len(new) > CACHED_PIECES:
-            self.known.clear()
-            new = list(set().union(*(p for p in cut if p is not None)))
-        self.known.update(zip(new, self._encode(new)))
-        get = self.known.__getitem__
+        if len(self.young) > CACHED_PIECES:
+            self.old, self.young = self.young, {"": b""}
+        young, old = self.young, self.old
+        missing = set().union(*(p for p in cut if p is not None)) - young.keys()
+        new = []
+        for p in missing:
+            if (ids := old.get(p)) is not None:
+                young[p] = ids
+            else:
+                new.append(p)
+        young.update(zip(new, self._encode(new)))
         whole = iter(self._encode([t or "" for t, p in zip(texts, cut) if p is None]))
+        get = young.__getitem__
         return [(next(whole) if p is None else b"".join(map(get, p))) + self.end for p in cut]

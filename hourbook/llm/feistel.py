@@ -36,15 +36,19 @@ def domain(n: Column) -> tuple[Column, Column]:
 def _image(value: Column, a: Column, b: Column, key: Column, seed: int) -> Column:
     """One pass of the network.  The halves swap in each round, and so do
     their sizes; the number of rounds is even, so the sizes end as they began."""
-    start = F.struct(F.floor(value / b).cast("long").alias("l"), (value % b).alias("r"), a.alias("a"), b.alias("b"))
+    keys = F.array(*(F.lit(k).cast("long") for k in round_keys(seed)))
 
     def one_round(x: Column, k: Column) -> Column:
         t = ((x["r"] + key + k) % PRIME) * STEP % PRIME
         mixed = (t * t + k) % PRIME * STEP % PRIME
         return F.struct(x["r"].alias("l"), ((x["l"] + mixed) % x["a"]).alias("r"), x["b"].alias("a"), x["a"].alias("b"))
 
-    keys = F.array(*(F.lit(k).cast("long") for k in round_keys(seed)))
-    return F.aggregate(keys, start, one_round, lambda x: x["l"] * x["b"] + x["r"])
+    def image(v: Column) -> Column:
+        start = F.struct(F.floor(v / b).cast("long").alias("l"), (v % b).alias("r"), a.alias("a"), b.alias("b"))
+        return F.aggregate(keys, start, one_round, lambda x: x["l"] * x["b"] + x["r"])
+
+    # As a lambda's variable the value is computed once, however often it is used.
+    return F.get(F.transform(F.array(value), image), F.lit(0))
 
 
 def walk_steps(domains: DataFrame, seed: int) -> int:
@@ -54,10 +58,15 @@ def walk_steps(domains: DataFrame, seed: int) -> int:
     # _n + j for the fewer than a values beyond it
     rows = domains.withColumn("_a", a).withColumn("_b", b).filter("_a * _b > _n")
     left = rows.withColumn("_v", F.explode(F.expr("sequence(_n, _a * _b - 1)")))
-    steps = 0
-    while not left.isEmpty():
-        steps += 1
+    # Fewer values stay outside after each pass, until none does but those
+    # that the network moves among themselves; no value below _n meets these.
+    steps, count = 0, left.count()
+    while count:
         left = left.withColumn("_v", _image(F.col("_v"), F.col("_a"), F.col("_b"), F.col("_key"), seed)).filter("_v >= _n")
+        count, before = left.count(), count
+        if count == before:
+            break
+        steps += 1
     return steps
 
 
@@ -65,8 +74,11 @@ def permute(df: DataFrame, value: str, out: str, seed: int, steps: int) -> DataF
     """``out``: the image of ``value`` under the permutation of 0.._n-1 chosen
     by ``seed`` and the column ``_key``."""
     a, b = domain(F.col("_n"))
-    df = df.withColumn("_a", a).withColumn("_b", b).withColumn(out, F.col(value))
-    for i in range(steps + 1):
-        image = _image(F.col(out), F.col("_a"), F.col("_b"), F.col("_key"), seed)
-        df = df.withColumn(out, F.when(F.col(out) >= F.col("_n"), image).otherwise(F.col(out)) if i else image)
-    return df.drop("_a", "_b")
+    df = df.withColumn("_a", a).withColumn("_b", b)
+
+    def walk(v: Column, i: Column) -> Column:
+        again = (i == 0) | (v >= F.col("_n"))
+        return F.when(again, _image(v, F.col("_a"), F.col("_b"), F.col("_key"), seed)).otherwise(v)
+
+    turns = F.array(*(F.lit(i) for i in range(steps + 1)))
+    return df.withColumn(out, F.aggregate(turns, F.col(value), walk)).drop("_a", "_b")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourbook.llm.common import positions, stored
-from hourbook.llm.encoding import Encoder
+from hourbook.llm.encoding import worker_encoder
 
 CAPACITY = 4096
 CLASSES = 128
@@ -50,7 +50,7 @@ def pieces(
     integers as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, size = Encoder(tokenizer_path, cut, end_id), 4 * capacity
+        encoder, size = worker_encoder(tokenizer_path, cut, end_id), 4 * capacity
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

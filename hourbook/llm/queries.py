@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourbook.llm import mixing, packing, quality_rules, sharding, simhash
+from hourbook.llm import mixing, packing, quality_rules, sharding, simhash, token_files
 from hourbook.llm.common import documents
 
 
@@ -18,6 +18,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    written = token_files.write_tokens(documents(spark, sf_dir), path, end_id=0, cut="lead", vocabulary=50257)
+    return token_files.read_tokens(spark, written)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(documents(spark, sf_dir), path, end_id=1, cut="drop")
@@ -39,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_simhash_near_dedup,
+        op3_token_files,
         op6_best_fit_packing,
         op8_sharding,
         op9_quality_rules,
