@@ -100,3 +100,20 @@ def positions(df: DataFrame, order: list[Column], size: Column | None = None) ->
         rows,
         total,
     )
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text"
+) -> list[tuple[str, int]]:
+    """(text, label) of at most ``rows_per_class`` labelled rows of each class,
+    chosen by a hash of the id, in a fixed order; texts over ``max_bytes`` are
+    left out.  The ids are chosen from the labels alone, so no text is
+    shuffled, and both bounds limit what reaches the driver."""
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_label"))
+    rows = []
+    for value in (0, 1):
+        chosen = known.filter(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(rows_per_class)
+        texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+        found = texts.join(F.broadcast(chosen), "_id").filter(F.octet_length("_text") <= max_bytes)
+        rows += [(r["_id"], r["_text"], value) for r in found.select("_id", "_text").collect()]
+    return [(text, value) for _, text, value in sorted(rows)]

@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourbook.llm import mixing, packing, quality_rules, sharding, simhash, token_files
-from hourbook.llm.common import documents
+from hourbook.llm import mixing, packing, quality_cnn, quality_rules, sharding, simhash, token_files, toxicity
+from hourbook.llm.common import documents, held_out, labels
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +24,25 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, written)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir), held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, labels(spark, sf_dir).filter(~out))
+    scored = docs.select("doc_id", out.alias("held_out"), toxicity.score_column(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(documents(spark, sf_dir), path, end_id=1, cut="drop")
 
 
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir), held_out(F.col("doc_id"), 4, 2)
+    model = quality_cnn.fit(docs, labels(spark, sf_dir).filter(~out))
+    scored = docs.select("doc_id", out.alias("held_out"), quality_cnn.score_column(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality_cnn.THRESHOLD).cast("int"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir)).drop("row_number")
 
@@ -46,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_simhash_near_dedup,
         op3_token_files,
+        op5_toxicity,
         op6_best_fit_packing,
+        op7_quality_cnn,
         op8_sharding,
         op9_quality_rules,
         op10_mixing,
