@@ -78,7 +78,8 @@ class Mix:
             F.size(word_array(F.col(text_col))).cast("long").alias("size"),
         )
         order = [F.col("source").asc_nulls_last(), F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_hash"), F.col("size")]
-        numbered, _, _ = positions(thin, order, F.col("size"))
+        # Stored, so that drawing the range bounds doesn't count all words again.
+        numbered, _, _ = positions(stored(thin, "mix-sizes"), order, F.col("size"))
         sizes = numbered.groupBy("source").agg(F.sum("size").alias("source_size"))
         blocks = F.ceil(F.col("source_size") / block_words).cast("long")
         draws = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * blocks)).otherwise(0).cast("long")
@@ -101,7 +102,8 @@ class Mix:
         runs = self.sources.filter("draws > 0").withColumn("_run", F.explode(F.expr(f"sequence(0L, (draws - 1) div {RUN})")))
         k = F.explode(F.expr(f"sequence(_run * {RUN}, least((_run + 1) * {RUN}, draws) - 1)"))
         # A run is one row: spread them before they unfold.
-        draws = runs.select("rank", "blocks", "draws", "first_draw", "_run").repartition("rank", "_run").withColumn("_k", k)
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        draws = runs.select("rank", "blocks", "draws", "first_draw", "_run").repartition(tasks, "rank", "_run").withColumn("_k", k)
         draws = draws.withColumn("epoch", F.expr("_k div blocks")).withColumn("_at", F.expr("_k % blocks"))
         own = lambda epoch: (F.col("rank") * 64 + epoch + 1).alias("_key")
         epochs = self.sources.filter("draws > 0").select(
@@ -127,12 +129,14 @@ class Mix:
         )
         begin, end = F.greatest(F.col("block") * size, F.col("start")), F.least((F.col("block") + 1) * size, F.col("start") + F.col("size"))
         parts = parts.withColumn("from_word", begin - F.col("start")).withColumn("words", end - begin)
-        return parts.join(times, ["rank", "block"]).select("row", "doc_id", "text_hash", "block", "from_word", "words", "times")
+        # Spark would take the unfolded draws to be as small as the table of
+        # sources that they come from, and broadcast them.
+        return parts.join(times.hint("merge"), ["rank", "block"]).select("row", "doc_id", "text_hash", "block", "from_word", "words", "times")
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken."""
         words = self.pieces.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-        return self.documents.join(words, "row", "left").select(
+        return self.documents.join(words.hint("merge"), "row", "left").select(
             "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
         )
 
@@ -170,13 +174,13 @@ def mixed_documents(
     runs = F.concat(*(_runs(F.col("parts"), copy) for copy in range(1, int(options.get("cap", CAP)) + 1)))
     by_row = by_row.select("row", runs.alias("runs"))
     # Equal rows are told apart by their number among their equals.
-    thin = mix.documents.join(by_row, "row", "left").select(
+    thin = mix.documents.join(by_row.hint("merge"), "row", "left").select(
         *keys(F.col("doc_id"), F.col("text_hash"), F.col("source")), "row", F.coalesce("runs", F.array()).alias("runs")
     )
     thin = thin.groupBy(own, null, mark).agg(F.sort_array(F.collect_list(F.struct("row", "runs"))).alias("rows"))
     marked = docs.select("*", *keys(F.col(id_col), F.xxhash64(text_col), F.col(source_col)))
     equals = Window.partitionBy(own, null, mark).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    joined = marked.withColumn(number, F.row_number().over(equals)).join(thin, [own, null, mark])
+    joined = marked.withColumn(number, F.row_number().over(equals)).join(thin.hint("merge"), [own, null, mark])
     unfolded = joined.withColumn(run, F.explode(F.get(F.col("rows"), F.col(number) - 1)["runs"]))
     # Each word with the white space after it.
     clean = F.regexp_replace(F.col(text_col), r"^[\x20\x09-\x0D]+", "")
