@@ -27,7 +27,9 @@ import types
 from array import array
 from collections.abc import Sequence
 
-CACHED_PIECES = 150_000
+import numpy as np
+
+CACHED_PIECES = 300_000
 CUT = "\x01"
 
 
@@ -66,10 +68,22 @@ class Encoder:
         self.odd_stop = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ɏ][.,]")
         self.beyond_latin = re.compile(r"[^\x00-ɏ]")
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [words(e.ids) for e in found]
 
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, from one call: a token's word id is its piece."""
+        if not pieces or any(s in "\0".join(pieces).lower() for s in self.special):
+            return self._whole(pieces)
+        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids, ends = words(found.ids), np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(pieces)), "right") * 4
+        out, begin = [], 0
+        for end in ends.tolist():
+            out.append(ids[begin:end])
+            begin = end
+        return out
+
     def _pieces(self, text: str) -> list[str] | None:
         if CUT in text or self.cut not in ("lead", "drop"):
             return None
@@ -96,14 +110,23 @@ class Encoder:
         if len(self.young) > CACHED_PIECES:
             self.old, self.young = self.young, {"": b""}
         young, old = self.young, self.old
-        missing = set().union(*(p for p in cut if p is not None)) - young.keys()
+        found = [None if p is None else list(map(young.get, p)) for p in cut]
+        gaps = [[] if f is None else [i for i, ids in enumerate(f) if ids is None] for f in found]
         new = []
-        for p in missing:
-            if (ids := old.get(p)) is not None:
-                young[p] = ids
+        for piece in {p[i] for p, gap in zip(cut, gaps) for i in gap}:
+            if (ids := old.get(piece)) is not None:
+                young[piece] = ids
             else:
-                new.append(p)
-        young.update(zip(new, self._encode(new)))
-        whole = iter(self._encode([t or "" for t, p in zip(texts, cut) if p is None]))
-        get = young.__getitem__
-        return [(next(whole) if p is None else b"".join(map(get, p))) + self.end for p in cut]
+                new.append(piece)
+        young.update(zip(new, self._each(new)))
+        whole = iter(self._whole([t or "" for t, p in zip(texts, cut) if p is None]))
+        out = []
+        for p, f, gap in zip(cut, found, gaps):
+            if f is None:
+                out.append(next(whole) + self.end)
+                continue
+            for i in gap:
+                f[i] = young[p[i]]
+            f.append(self.end)
+            out.append(b"".join(f))
+        return out
