@@ -55,6 +55,12 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; maps, which Spark doesn't hash, as JSON."""
+    cols = [F.to_json(F.struct(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]
+    return F.xxhash64(*cols)
+
+
 def positions(df: DataFrame, order: list[Column], size: Column | None = None) -> tuple[DataFrame, int, int]:
     """Number all rows in a total order without a one-task window.
 

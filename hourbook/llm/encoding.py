@@ -29,7 +29,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-CACHED_PIECES = 300_000
+CACHED_PIECES = 600_000
 CUT = "\x01"
 
 

@@ -30,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourbook.llm.common import fresh_name, positions, stored, word_array
+from hourbook.llm.common import fresh_name, positions, row_hash, stored, word_array
 from hourbook.llm.feistel import permute, walk_steps
 
 BLOCK_WORDS = 64
@@ -165,8 +165,8 @@ def mixed_documents(
     words of that run and the white space between them.  A document that is
     drawn whole keeps its text; ``chars_col`` gets the new length."""
     mix = Mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    names = {k: fresh_name(docs, k) for k in ("own_id", "own_null", "own_hash", "own_number", "own_words", "own_run")}
-    own, null, mark, number, words, run = names.values()
+    names = {k: fresh_name(docs, k) for k in ("own_id", "own_null", "own_hash", "own_number", "own_words", "own_run", "own_rows")}
+    own, null, mark, number, words, run, rows = names.values()
     keys = lambda id_, hash_, src: [
         F.coalesce(id_.cast("string"), F.lit("")).alias(own), id_.isNull().alias(null), F.xxhash64(hash_, src).alias(mark)]
     sorted_parts = F.sort_array(F.collect_list(F.struct("from_word", "words", "times")))
@@ -177,11 +177,11 @@ def mixed_documents(
     thin = mix.documents.join(by_row.hint("merge"), "row", "left").select(
         *keys(F.col("doc_id"), F.col("text_hash"), F.col("source")), "row", F.coalesce("runs", F.array()).alias("runs")
     )
-    thin = thin.groupBy(own, null, mark).agg(F.sort_array(F.collect_list(F.struct("row", "runs"))).alias("rows"))
+    thin = thin.groupBy(own, null, mark).agg(F.sort_array(F.collect_list(F.struct("row", "runs"))).alias(rows))
     marked = docs.select("*", *keys(F.col(id_col), F.xxhash64(text_col), F.col(source_col)))
-    equals = Window.partitionBy(own, null, mark).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    equals = Window.partitionBy(own, null, mark).orderBy(row_hash(docs))
     joined = marked.withColumn(number, F.row_number().over(equals)).join(thin.hint("merge"), [own, null, mark])
-    unfolded = joined.withColumn(run, F.explode(F.get(F.col("rows"), F.col(number) - 1)["runs"]))
+    unfolded = joined.withColumn(run, F.explode(F.get(F.col(rows), F.col(number) - 1)["runs"]))
     # Each word with the white space after it.
     clean = F.regexp_replace(F.col(text_col), r"^[\x20\x09-\x0D]+", "")
     spaced = F.split(clean, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourbook.llm.common import fresh_name, stored
+from hourbook.llm.common import fresh_name, row_hash, stored
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -292,12 +292,10 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = table.groupBy("root").agg(first).select("first.*").distinct()
     # Keys without nulls, the same for the join and for the count of repeats.
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    kept = kept.select(key("doc_id").alias("kept_id"), F.col("no_id").alias("kept_no_id"), F.col("text_hash").alias("kept_hash"))
     own, null, mark, number = (fresh_name(docs, x) for x in ("own_id", "own_no_id", "own_hash", "own_number"))
+    kept = kept.select(key("doc_id").alias(own), F.col("no_id").alias(null), F.col("text_hash").alias(mark))
     marked = docs.withColumn(own, key(id_col)).withColumn(null, F.col(id_col).isNull()).withColumn(mark, F.xxhash64(text_col))
-    rows = marked.join(
-        kept, (F.col(own) == F.col("kept_id")) & (F.col(null) == F.col("kept_no_id")) & (F.col(mark) == F.col("kept_hash")), "left_semi"
-    )
+    rows = marked.join(kept, [own, null, mark], "left_semi")
     # A partition holds the repeats of one row.
-    repeats = Window.partitionBy(own, null, mark).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    repeats = Window.partitionBy(own, null, mark).orderBy(row_hash(docs))
     return rows.withColumn(number, F.row_number().over(repeats)).filter(F.col(number) == 1).drop(own, null, mark, number)

@@ -60,7 +60,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     code = np.zeros(len(raw), np.uint32)
     for n in range(1, max(SIZES) + 1):
         shifted = np.zeros_like(code)
-        shifted[: len(raw) - n + 1] = raw[n - 1 :]
+        shifted[: max(0, len(raw) - n + 1)] = raw[n - 1 :]
         code = code * np.uint32(0x01000193) + shifted
         if n in SIZES:
             mixed = (code ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
