@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourbook.llm.common import SPACES, fresh_name, word_array
+from hourbook.llm.common import SPACES, word_array
 
 SYMBOLS = "#*$%&|<>"
 # Frequent short words of the corpus's languages (en, de, fr, es).
@@ -103,7 +103,7 @@ def _measures(docs: DataFrame, text_col: str, prefix: str) -> tuple[DataFrame, d
     df = col(
         df,
         "windows",
-        F.sort_array(F.transform(c("places"), lambda i: F.struct(F.concat_ws(" ", F.slice(c("words"), i + 1, 3)).alias("w"), i.alias("i")))),
+        F.sort_array(F.transform(c("places"), lambda i: F.struct(F.concat_ws(" ", *(F.get(c("words"), i + j) for j in range(3))).alias("w"), i.alias("i")))),
     )
     df = col(df, "wnext", F.slice(c("windows"), 2, F.greatest(F.size(c("windows")) - 1, F.lit(0))))
     df = col(df, "same", F.zip_with(c("windows"), c("wnext"), lambda a, b: F.coalesce(a["w"] == b["w"], F.lit(False))))
@@ -159,8 +159,15 @@ def compile_rules(rules: tuple[Rule, ...], measures: dict[str, Column]) -> Colum
 
 
 def _judged(docs: DataFrame, text_col: str, rules, base) -> tuple[DataFrame, dict[str, Column], Column, Column]:
-    df, measures = _measures(docs, text_col, fresh_name(docs, "rule") + "__")
-    failed = ~compile_rules(base, measures)
+    prefix = "rule_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    df, measures = _measures(docs, text_col, prefix)
+    # A filter on the verdict must not be pushed below this point: Spark would
+    # put the helper columns' expressions into it, one inside the other.  It
+    # doesn't push filters below a projection that isn't deterministic.
+    df = df.withColumn(prefix + "fence", F.monotonically_increasing_id())
+    failed = (F.col(prefix + "fence") < 0) | ~compile_rules(base, measures)
     return df, measures, failed, ~failed & compile_rules(rules, measures)
 
 
