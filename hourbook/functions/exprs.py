@@ -5,6 +5,8 @@ Every helper takes and returns ``Column``s; none runs Python per row.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -161,3 +163,11 @@ def ts_to_millis(ts) -> Column:
 def ntz_to_instant(ntz) -> Column:
     """Wall clock taken as UTC (binding tables carry no offset)."""
     return _c(ntz).cast("timestamp")
+
+
+def utc_lit(value: dt.datetime) -> Column:
+    """An instant as a TIMESTAMP literal; a naive value is taken as UTC, an
+    aware one is converted to it (the session clock is UTC)."""
+    if value.tzinfo is not None:
+        value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp")

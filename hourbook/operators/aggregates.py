@@ -4,8 +4,8 @@ developer-by-day grid (J4) and the report sort (O1).
 Every report is one declarative plan: range filter (pushed to the scan),
 one hash aggregation with partial (map-side) aggregation, and for the wide
 reports a pivot over an explicit value list, so no extra job discovers the
-pivot values. Hours are summed as DECIMAL(18,2), so results do not depend on
-the order rows arrive in, and come out as DOUBLE.
+pivot values. Hours are summed as integer hundredths, so results do not depend
+on the order rows arrive in, and come out as DOUBLE.
 """
 
 from __future__ import annotations
@@ -28,8 +28,7 @@ WEEKDAYS_SUNDAY_FIRST = ("Sunday", "Monday", "Tuesday", "Wednesday",
 WORKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday")
 DEVELOPER_COL = " Developer"         # wide timesheet: leading space sorts first
 TOTAL_COL = " Total Hrs"
-MAX_PIVOT_DAYS = 366                 # widest timesheet (columns, not rows)
-LONG_LABEL_AFTER_DAYS = 365          # beyond this, day labels carry the year
+DAY_LABEL = "%b %d"                  # day columns of the timesheet
 
 
 def _hours_from_seconds_sum(x):
@@ -52,8 +51,8 @@ def issues_grouped_by(issue: DataFrame, group: str, start, stop,
         spent, est = F.when(res, spent), F.when(res, est)
     return (in_date_range(issue, "updateDate", start, stop)
             .groupBy(F.col(key).alias("groupBy"))
-            .agg(F.count_if(~res).cast("int").alias("nonResolved"),
-                 F.count_if(res).cast("int").alias("resolved"),
+            .agg(F.count_if(~res).alias("nonResolved"),
+                 F.count_if(res).alias("resolved"),
                  X.zero_if_null(X.trunc_avg(F.when(res, F.col("daysToResolve"))))
                  .alias("daysToResolve"),
                  _hours_from_seconds_sum(F.sum(spent)).alias("timeSpent"),
@@ -76,7 +75,7 @@ def issue_accuracy(issue: DataFrame, start, stop,
     spent = F.sum("aggregateTimeSpent").cast("double")
     accuracy = F.lit(100.0) - F.abs(X.safe_ratio(est - spent, est) * 100.0)
     return (df.groupBy("developer")
-            .agg(F.count(F.lit(1)).cast("int").alias("count"),
+            .agg(F.count(F.lit(1)).alias("count"),
                  X.round2(accuracy).alias("accuracy")))
 
 
@@ -89,7 +88,7 @@ def overall_accuracy(issue: DataFrame, start, stop,
     est = F.sum("aggregateTimeOriginalEstimate").cast("double")
     spent = F.sum("aggregateTimeSpent").cast("double")
     accuracy = F.lit(100.0) - F.abs(X.safe_ratio(est - spent, est) * 100.0)
-    return df.agg(F.count(F.lit(1)).cast("int").alias("count"),
+    return df.agg(F.count(F.lit(1)).alias("count"),
                   X.round2(accuracy).alias("accuracy"))
 
 
@@ -145,21 +144,18 @@ def developer_day_grid(worklog: DataFrame, start, stop) -> DataFrame:
 
 
 # A5 -----------------------------------------------------------------------------
-def worklogs_per_dev(worklog: DataFrame, start, stop,
-                     max_days: int = MAX_PIVOT_DAYS) -> DataFrame:
+def worklogs_per_dev(worklog: DataFrame, start, stop, label_format: str = DAY_LABEL) -> DataFrame:
     """Wide timesheet: one row per developer, a 2-decimal text column per
     day ("Jan 02"), and " Total Hrs" over those day columns.
 
-    The pivot uses the explicit day list (no distinct job); the range is
-    limited to ``max_days`` columns. The long form A4 is the scalable
-    output for longer ranges.
+    The pivot uses the explicit day list (no distinct job), so the caller's
+    range decides how many columns there are. A range that repeats a label
+    (more than a year of "Jan 02") needs a ``label_format`` with the year.
     """
     days = _grid_days(start, stop)
-    if len(days) > max_days:
-        raise ValueError(f"timesheet spans {len(days)} days; at most {max_days} "
-                         "day columns (use worklogs_per_dev_day for longer ranges)")
-    long_labels = len(days) > LONG_LABEL_AFTER_DAYS
-    labels = [d.strftime("%Y-%m-%d" if long_labels else "%b %d") for d in days]
+    labels = [d.strftime(label_format) for d in days]
+    if len(set(labels)) < len(labels):
+        raise ValueError(f"label_format {label_format!r} gives several days of the range the same label")
     a4 = worklogs_per_dev_day(worklog, start, stop)
     if not days:
         return (a4.groupBy(F.col("developer").alias(DEVELOPER_COL))
@@ -299,25 +295,27 @@ def resolve_days_trend(issue: DataFrame, as_of, weeks: int = 6) -> DataFrame:
     df = issue.where(F.col("isResolved") & (F.col("resolvedDate") >= ts_lit(start))
                      & (F.col("resolvedDate") < ts_lit(stop)))
     return (df.groupBy(F.col("type"), X.week_start("resolvedDate").alias("week"))
-            .agg(F.count(F.lit(1)).cast("int").alias("resolved"),
+            .agg(F.count(F.lit(1)).alias("resolved"),
                  X.trunc_avg("daysToResolve").alias("daysToResolve")))
 
 
 def developers_without_hours(worklog: DataFrame, start, stop) -> DataFrame:
-    """(developer, day) pairs of the timesheet grid with no hours logged:
-    the grid of J4 anti-joined with the long form A4."""
+    """(developer, day) pairs without hours logged in [start, stop], for
+    every developer of the table, those without any row in the range too.
+
+    One pass: the days with hours of each developer are collected (at most
+    one per day of the range) and the other days of the range unfolded.
+    """
     days = _grid_days(start, stop)
-    long = worklogs_per_dev_day(worklog, start, stop)
     if not days:
-        return long.select("developer", "day").where(F.lit(False))
-    devs = long.select("developer").distinct()
-    grid = devs.select(
-        "developer",
-        F.explode(F.sequence(F.lit(days[0].isoformat()).cast("date"),
-                             F.lit(days[-1].isoformat()).cast("date"),
-                             F.expr("INTERVAL 1 DAY"))).alias("day"))
-    return grid.join(long.where(F.col("timeSpentHrs") > 0).select("developer", "day"),
-                     ["developer", "day"], "left_anti")
+        return worklog.select(F.col("author").alias("developer"), F.to_date("date").alias("day")).where(F.lit(False))
+    in_range = F.col("date").between(ts_lit(start), ts_lit(stop))
+    long = (worklog.groupBy(F.col("author").alias("developer"), F.when(in_range, F.to_date("date")).alias("day"))
+            .agg(X.exact_sum("timeSpentHours").alias("hours")))
+    logged = long.groupBy("developer").agg(F.collect_set(F.when(F.col("hours") > 0, F.col("day"))).alias("logged"))
+    every = F.sequence(F.lit(days[0].isoformat()).cast("date"), F.lit(days[-1].isoformat()).cast("date"),
+                       F.expr("INTERVAL 1 DAY"))
+    return logged.select("developer", F.explode(F.array_except(every, F.col("logged"))).alias("day"))
 
 
 def _until_week_end(df: DataFrame, as_of) -> DataFrame:
@@ -340,17 +338,23 @@ def workweek_percent(worklog: DataFrame, as_of, weeks: int = 5) -> DataFrame:
 
 
 def week_over_week_change(worklog: DataFrame, as_of, weeks: int = 6) -> DataFrame:
-    """Per developer and ISO week, hours and the change from the
-    developer's previous week with hours (NULL for the first).
+    """Per developer and ISO week, hours and the change from the week
+    before (NULL for the developer's first week). Weeks without hours
+    between the first one and the week of as_of count as 0.
 
-    The window runs over the weekly totals (at most ``weeks`` rows per
-    developer), not over worklog rows, so a very busy developer costs no
-    more than any other.
+    The weekly totals of a developer (at most ``weeks`` + 1) are unfolded
+    to every week since the first, and the change is read from the same
+    totals, so a very busy developer costs no more than any other.
     """
-    from pyspark.sql import Window
     df = _until_week_end(recent_weeks(worklog, as_of, days=7 * weeks), as_of)
     wk = (df.groupBy(F.col("author").alias("developer"), X.week_start("date").alias("week"))
           .agg(F.sum(X.cents("timeSpentHours")).alias("_c")))
-    w = Window.partitionBy("developer").orderBy("week")
-    return wk.select("developer", "week", (F.col("_c") / 100.0).alias("hours"),
-                     ((F.col("_c") - F.lag("_c").over(w)) / 100.0).alias("change"))
+    per = wk.groupBy("developer").agg(F.min("week").alias("_first"),
+                                      F.map_from_entries(F.collect_list(F.struct("week", "_c"))).alias("_m"))
+    last = F.lit(R.iso_week_start(as_of).date().isoformat()).cast("date")
+    every = per.withColumn("week", F.explode(F.sequence(F.col("_first"), last, F.expr("INTERVAL 7 DAY"))))
+    cents = F.coalesce(F.col("_m")[F.col("week")], F.lit(0))
+    before = F.when(F.col("week") > F.col("_first"),
+                    F.coalesce(F.col("_m")[F.date_sub("week", 7)], F.lit(0)))
+    return every.select("developer", "week", (cents / 100.0).alias("hours"),
+                        ((cents - before) / 100.0).alias("change"))

@@ -14,9 +14,6 @@ from hourbook.functions import exprs as X
 
 # Fixed values of the jobs.
 RECENT_WEEKS_DAYS = 35               # A6 window: today - 35 days
-# Lists longer than this are matched by a semi join on a DataFrame of the
-# values (broadcast only when AQE measures it small) instead of IN (...).
-MAX_INLINE_LIST = 1000
 
 
 def _ts_lit(value) -> Column:
@@ -53,23 +50,21 @@ def filter_users(df: DataFrame, users: Iterable[str] | DataFrame | None,
                  author_col: str = "author") -> DataFrame:
     """keep rows whose author is in the list, case-insensitive.
 
-    An empty list keeps everything. A DataFrame of names (column ``name``)
-    or a long list becomes a ``left_semi`` join on the lower-cased name.
+    No names at all keep everything, given as a list or as a DataFrame. A
+    list is tested in place, whatever its length; a DataFrame of names
+    (first column) becomes a ``left_semi`` join on the lower-cased name,
+    which is the form for names that don't fit a query text.
     """
     if users is None:
         return df
     if isinstance(users, DataFrame):
+        if users.isEmpty():
+            return df
         names = users.select(F.lower(F.col(users.columns[0])).alias("_user")).distinct()
         return (df.withColumn("_user", F.lower(F.col(author_col)))
                 .join(names, "_user", "left_semi").drop("_user"))
     users = list(users)
-    if not users:
-        return df
-    if len(users) <= MAX_INLINE_LIST:
-        return df.where(X.lower_in(author_col, users))
-    spark = df.sparkSession
-    names = spark.createDataFrame([(u,) for u in users], "name string")
-    return filter_users(df, names, author_col)
+    return df.where(X.lower_in(author_col, users)) if users else df
 
 
 def in_date_range(df: DataFrame, column: str, start, stop) -> DataFrame:
@@ -102,8 +97,7 @@ def non_resolved_issues(issue: DataFrame, min_age: str | None = None,
     rows inserted at least that long before ``as_of`` (needs dateInserted)."""
     out = issue.where(~F.col("isResolved"))
     if min_age:
-        now = (F.lit(as_of.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp")
-               if as_of else F.current_timestamp())
+        now = X.utc_lit(as_of) if as_of else F.current_timestamp()
         out = out.where(F.col("dateInserted") <= now - F.expr(f"INTERVAL {min_age}"))
     return out
 

@@ -26,15 +26,19 @@ def issues_with_parent(issues: DataFrame) -> DataFrame:
     A left self-join on parent id: an issue without a parent gets NULL ``p``
     (and is its own parent in P1/P2); a parent that is missing also gives
     NULL ``p`` and is caught by ``orphaned_subtasks``. Done once per issue,
-    so the larger worklog side is shuffled only once (in J1).
+    so the larger worklog side is shuffled only once (in J1). Issues without
+    a parent take no part in the join (their NULL keys would all meet in one
+    partition) and are added afterwards.
     """
     body = [c for c in issues.columns if not c.startswith("_")]
     i = issues.select(F.struct(*body).alias("i"),
                       X.to_id(F.col("fields.parent.id")).alias("_parent_id"),
                       X.to_id(F.col("id")).alias("_issue_id"))
     p = issues.select(F.struct(*body).alias("p"), X.to_id(F.col("id")).alias("_pid"))
-    return (i.join(p, i["_parent_id"] == p["_pid"], "left")
-            .select("i", "p", "_issue_id"))
+    sub = i.where(F.col("_parent_id").isNotNull())
+    found = sub.join(p, sub["_parent_id"] == p["_pid"], "left").select("i", "p", "_issue_id")
+    none = F.lit(None).cast(p.schema["p"].dataType).alias("p")
+    return found.unionByName(i.where(F.col("_parent_id").isNull()).select("i", none, "_issue_id"))
 
 
 def orphaned_subtasks(issue_pairs: DataFrame) -> DataFrame:

@@ -17,7 +17,6 @@ from hourbook.functions import exprs as X
 from hourbook.operators import filters as FL
 from hourbook.operators import joins as J
 from hourbook.operators import projections as PR
-from hourbook.operators import upsert as U
 from hourbook.sources.tracker_json import latest_issue_snapshots
 
 SEQ_ORDER = ("_seq_ts", "_seq_id")
@@ -97,11 +96,3 @@ def next_cursor(feed_rows: DataFrame, worklog_rows: DataFrame) -> dict | None:
     if row is None or row["admitted"] == 0:
         return None
     return {"max_worklog_id": row["max_worklog_id"], "last_timestamp": row["last_timestamp"]}
-
-
-def upsert_batch(stored_worklog: DataFrame | None, stored_issue: DataFrame | None,
-                 frames: IngestFrames, policy: str = "replace") -> tuple[DataFrame, DataFrame]:
-    """K1 + K2 over one batch."""
-    wl = U.upsert_worklogs(stored_worklog, frames.worklog_rows, SEQ_ORDER, policy=policy)
-    iss = U.upsert_issues(stored_issue, frames.issue_rows, SEQ_ORDER)
-    return wl, iss

@@ -118,8 +118,8 @@ def a1_sql(group: str, hours: str = "resolved") -> str:
     filt = " FILTER (WHERE isResolved)" if hours == "resolved" else ""
     return with_issue(f"""
 SELECT {col} AS groupBy,
-  CAST(count(*) FILTER (WHERE NOT isResolved) AS INTEGER) AS nonResolved,
-  CAST(count(*) FILTER (WHERE isResolved) AS INTEGER) AS resolved,
+  count(*) FILTER (WHERE NOT isResolved) AS nonResolved,
+  count(*) FILTER (WHERE isResolved) AS resolved,
   coalesce(CAST(trunc(avg(daysToResolve) FILTER (WHERE isResolved)) AS INTEGER), 0) AS daysToResolve,
   {hours_of_seconds(f"sum(aggregateTimeSpent){filt}")} AS timeSpent,
   {hours_of_seconds(f"sum(aggregateTimeOriginalEstimate){filt}")} AS timeEstimate
@@ -135,7 +135,7 @@ ACCURACY_EXPR = ("round((100.0 - abs((CAST(sum(aggregateTimeOriginalEstimate) AS
 
 def a2_body() -> str:
     return f"""
-SELECT developer, CAST(count(*) AS INTEGER) AS count, {ACCURACY_EXPR} AS accuracy
+SELECT developer, count(*) AS count, {ACCURACY_EXPR} AS accuracy
 FROM issue
 WHERE {between("updateDate", P.ALL_START, P.ALL_STOP)}
   AND isResolved AND aggregateTimeOriginalEstimate > 0
@@ -150,13 +150,13 @@ FROM worklog WHERE {between("date", start, stop)}
 GROUP BY {col}""")
 
 
-def a5_sql(start: dt.datetime, stop: dt.datetime) -> str:
+def a5_sql(start: dt.datetime, stop: dt.datetime, label: str = A.DAY_LABEL) -> str:
     n = max(0, int((stop - start).total_seconds() // 86400))
     days = [(start + dt.timedelta(days=i)).date() for i in range(n)]
     cells = [f"coalesce(sum(CAST(timeSpentHrs AS DECIMAL(18,2))) FILTER (WHERE day = {sql_date(d)}), 0)"
              for d in days]
     total = " + ".join(cells) if cells else "0.0"
-    cols = [f"printf('%.2f', CAST({c} AS DOUBLE)) AS \"{d.strftime('%b %d')}\""
+    cols = [f"printf('%.2f', CAST({c} AS DOUBLE)) AS \"{d.strftime(label)}\""
             for c, d in zip(cells, days)]
     select = ",\n  ".join([f'developer AS " Developer"',
                            f"printf('%.2f', CAST({total} AS DOUBLE)) AS \" Total Hrs\""] + cols)
@@ -229,7 +229,7 @@ def j4_sql(start: dt.datetime, stop: dt.datetime) -> str:
   GROUP BY author, CAST(date AS DATE)),
 grid AS (
   SELECT developer, CAST(g.day AS DATE) AS day
-  FROM (SELECT DISTINCT developer FROM a4) dv,
+  FROM (SELECT DISTINCT author AS developer FROM worklog) dv,
        generate_series({sql_ts(start)}, {sql_ts(last)}, INTERVAL 1 DAY) AS g(day))
 SELECT grid.developer, grid.day, CAST(coalesce(a4.timeSpentHrs, 0) AS DOUBLE) AS timeSpentHrs
 FROM grid LEFT JOIN a4 ON a4.developer IS NOT DISTINCT FROM grid.developer AND a4.day = grid.day""")
@@ -255,7 +255,7 @@ SELECT id, key, type, status, developer, createDate,
 FROM issue WHERE NOT isResolved AND createDate < {sql_ts(limit)}"""),
         "resolve_days_trend": with_issue(f"""
 SELECT type, CAST(date_trunc('week', resolvedDate) AS DATE) AS week,
-       CAST(count(*) AS INTEGER) AS resolved,
+       count(*) AS resolved,
        CAST(trunc(avg(daysToResolve)) AS INTEGER) AS daysToResolve
 FROM issue WHERE isResolved AND resolvedDate >= {sql_ts(r2_start)} AND resolvedDate < {sql_ts(r2_stop)}
 GROUP BY type, CAST(date_trunc('week', resolvedDate) AS DATE)"""),
@@ -266,7 +266,7 @@ GROUP BY type, CAST(date_trunc('week', resolvedDate) AS DATE)"""),
   GROUP BY author, CAST(date AS DATE)),
 grid AS (
   SELECT developer, CAST(g.day AS DATE) AS day
-  FROM (SELECT DISTINCT developer FROM a4) dv,
+  FROM (SELECT DISTINCT author AS developer FROM worklog) dv,
        generate_series({sql_ts(P.SHEET_START)}, {sql_ts(P.SHEET_STOP - dt.timedelta(days=1))},
                        INTERVAL 1 DAY) AS g(day))
 SELECT developer, day FROM grid
@@ -281,10 +281,16 @@ SELECT developer, week, hours, percent,
             ELSE '60% and more' END AS band
 FROM p"""),
         "week_over_week_change": with_worklog(f"""
-, wk AS ({weekly(recent6)})
+, wk AS ({weekly(recent6)}),
+weeks AS (
+  SELECT developer, CAST(unnest(generate_series(CAST(min(week) AS TIMESTAMP), {sql_ts(R.iso_week_start(ny))},
+                                                INTERVAL 7 DAY)) AS DATE) AS week FROM wk GROUP BY developer),
+filled AS (
+  SELECT weeks.developer, weeks.week, coalesce(wk.c, 0) AS c FROM weeks LEFT JOIN wk
+  ON wk.developer IS NOT DISTINCT FROM weeks.developer AND wk.week = weeks.week)
 SELECT developer, week, c / 100.0 AS hours,
        (c - lag(c) OVER (PARTITION BY developer ORDER BY week)) / 100.0 AS change
-FROM wk"""),
+FROM filled"""),
     }
 
 
@@ -314,10 +320,10 @@ def report_sql() -> dict[str, str]:
 , a AS ({a2_body()})
 SELECT developer, count, accuracy FROM a
 UNION ALL
-SELECT 'Average' AS developer, CAST(NULL AS INTEGER) AS count,
+SELECT 'Average' AS developer, CAST(NULL AS BIGINT) AS count,
        {avg_cents("accuracy")} AS accuracy FROM a"""),
         "overall_accuracy": with_issue(f"""
-SELECT CAST(count(*) AS INTEGER) AS count, {ACCURACY_EXPR} AS accuracy
+SELECT count(*) AS count, {ACCURACY_EXPR} AS accuracy
 FROM issue
 WHERE {between("updateDate", P.ALL_START, P.ALL_STOP)}
   AND isResolved AND aggregateTimeOriginalEstimate > 0"""),
@@ -327,6 +333,7 @@ FROM worklog WHERE {between("date", P.ALL_START, P.ALL_STOP)}
 GROUP BY author, CAST(date AS DATE)"""),
         "developer_day_grid": j4_sql(P.GRID_START, P.GRID_STOP),
         "worklogs_per_dev": a5_sql(P.SHEET_START, P.SHEET_STOP),
+        "worklogs_per_dev_two_years": a5_sql(P.SHEET_START, P.SHEET_TWO_YEARS, "%Y-%m-%d"),
         "worklogs_per_dev_same_day": a5_sql(P.SHEET_STOP, P.SHEET_STOP),
         "worklogs_per_dev_week": with_worklog(a6_body(P.AS_OF_NEW_YEAR)),
         "worklogs_per_dev_week_with_average": with_worklog(f"""

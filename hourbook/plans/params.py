@@ -17,11 +17,11 @@ ALL_STOP = dt.datetime(2009, 12, 31, 23, 59, 59)
 # One week of the timesheet (8 day boundaries -> 7 day columns).
 SHEET_START = dt.datetime(1997, 1, 1)
 SHEET_STOP = dt.datetime(1997, 1, 8)
+# Two years of it.
+SHEET_TWO_YEARS = dt.datetime(1999, 1, 1)
 # A quarter of the timesheet, for the long-form grid.
 GRID_START = dt.datetime(1997, 1, 1)
 GRID_STOP = dt.datetime(1997, 4, 1)
-# Done statuses of the resolution job on the bound data.
-DONE_STATUSES = ("F",)
 # Open-issue age threshold of R1, in days.
 OPEN_OLDER_THAN_DAYS = 90
 

@@ -140,6 +140,10 @@ def q_worklogs_per_dev(spark, sf_dir):
     return A.worklogs_per_dev(_wl(spark, sf_dir, WL_DEV), P.SHEET_START, P.SHEET_STOP)
 
 
+def q_worklogs_per_dev_two_years(spark, sf_dir):
+    return A.worklogs_per_dev(_wl(spark, sf_dir, WL_DEV), P.SHEET_START, P.SHEET_TWO_YEARS, "%Y-%m-%d")
+
+
 def q_worklogs_per_dev_same_day(spark, sf_dir):
     """A5 with start = stop: no day columns, total 0.00."""
     return A.worklogs_per_dev(_wl(spark, sf_dir, WL_DEV), P.SHEET_STOP, P.SHEET_STOP)
@@ -235,6 +239,7 @@ REPORT_QUERIES = {
     "worklogs_per_dev_day": q_worklogs_per_dev_day,
     "developer_day_grid": q_developer_day_grid,
     "worklogs_per_dev": q_worklogs_per_dev,
+    "worklogs_per_dev_two_years": q_worklogs_per_dev_two_years,
     "worklogs_per_dev_same_day": q_worklogs_per_dev_same_day,
     "worklogs_per_dev_week": q_worklogs_per_dev_week,
     "worklogs_per_dev_week_with_average": q_worklogs_per_dev_week_with_average,

@@ -6,7 +6,6 @@ in settings that are not already set, so cluster values always win.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -59,17 +58,15 @@ def get_spark(
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is missing (tests, local runs) is a fresh local
-    folder created and registered.
+    Where the setting is missing, a fresh local folder is made, but only if
+    driver and executors are one process; on a cluster that is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="hourbook-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for derived tables."""
-    return os.path.join(checkpoint_dir(spark), name)

@@ -4,18 +4,19 @@ Parquet has no upsert and Spark cannot overwrite a path it reads, so every
 committed batch ``B`` writes only the partitions it touched, each to a new
 leaf folder, and then publishes a commit record:
 
-    <root>/worklog/month=1997-01/v=V/part-*.parquet
-    <root>/issue/bucket=17/v=V/part-*.parquet
+    <root>/worklog/month=1997-01/v=V-<random>/part-*.parquet
+    <root>/issue/bucket=17/v=V-<random>/part-*.parquet
     <root>/_commits/version=V/part-*.txt    one JSON line: manifest + cursor
+    <root>/_rejects/job=J/part-*.parquet    rows that the jobs did not write
 
 Version ``V`` is the previous commit's version + 1. The manifest maps every
-live partition to the version that last wrote it; readers open exactly
-those leaf folders, so a half-written version is never visible. Each commit
-also records, per job, the last batch (streaming epoch) it applied: a
-replayed batch that is already committed is skipped, and one that crashed
-before its commit rewrites the same leaf folders (dynamic partition
-overwrite) under the same version, so replays are idempotent. A store has
-one writer at a time (the jobs run one after the other).
+live partition to the leaf folder that last wrote it; readers open exactly
+those, so a half-written version is never visible, and no writer touches
+another one's folders. Each commit also records, per job, the last batch
+(streaming epoch) it applied: a replayed batch that is already committed is
+skipped, and one that crashed before its commit writes new leaf folders. A
+store has one writer at a time (``streaming.jobs.run_tracker`` runs the jobs
+in turn); one that finds its version published already raises.
 
 Untouched partitions are never copied, so a micro-batch costs its own size
 plus the partitions it lands in, not the table size. Old versions stay on
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -137,14 +139,6 @@ class SnapshotStore:
         cols = [f.name for f in spec.schema.fields]
         return df.select(*cols, F.col(spec.part_col).cast("string").alias(spec.part_col))
 
-    def read_or_empty(self, name: str) -> DataFrame:
-        df = self.read(name)
-        if df is None:
-            spec = TABLES[name]
-            df = self.spark.createDataFrame([], spec.schema).withColumn(
-                spec.part_col, F.lit(None).cast("string"))
-        return df
-
     # --- writes --------------------------------------------------------------------
     def touched_partitions(self, name: str, batch_rows: DataFrame,
                            stored: DataFrame | None, ids_new: bool = False) -> list[str]:
@@ -165,9 +159,9 @@ class SnapshotStore:
         return sorted(r["_p"] for r in keys.distinct().collect() if r["_p"] is not None)
 
     def write_partitions(self, name: str, content: DataFrame, touched: list[str],
-                         batch: int) -> dict[str, int]:
-        """Write the new content of the touched partitions as version ``batch``;
-        return {partition: version} for the partitions that still hold rows."""
+                         leaf: str) -> dict[str, str]:
+        """Write the new content of the touched partitions to their folders
+        ``leaf``; return {partition: leaf} for those that still hold rows."""
         spec = TABLES[name]
         if not touched:
             return {}
@@ -175,43 +169,51 @@ class SnapshotStore:
         out = (content.select(*cols)
                .withColumn(spec.part_col, spec.part_expr(content))
                .where(F.col(spec.part_col).isin(touched))
-               .withColumn("v", F.lit(int(batch))))
-        # one shuffle on (partition, hash of id): a partition is spread over
-        # up to shuffle.partitions tasks, so a month holding a third of the
-        # batch is not written by one task; each task writes at most one
-        # file per partition (and files are capped in rows).
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        salt = F.pmod(F.xxhash64(F.col("id")), F.lit(n))
-        (out.repartition(n, F.col(spec.part_col), salt)
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+               .withColumn("v", F.lit(leaf)))
+        # Rebalanced by partition: small partitions come from one task and
+        # are one file each; AQE splits a partition that holds a large share
+        # of the batch over several tasks (and files are limited in rows).
+        (out.hint("rebalance", spec.part_col)
+         .write.mode("append").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
          .partitionBy(spec.part_col, "v").parquet(f"{self.root}/{name}"))
-        try:
-            written = (self.spark.read.option("basePath", f"{self.root}/{name}")
-                       .parquet(f"{self.root}/{name}/{spec.part_col}=*/v={int(batch)}")
-                       .select(F.col(spec.part_col).cast("string").alias("_p"))
-                       .distinct().collect())
-        except AnalysisException:      # every touched partition became empty
-            written = []
-        return {r["_p"]: int(batch) for r in written}
-
-    def next_version(self, commit: dict | None = None) -> int:
-        c = commit if commit is not None else self.latest_commit()
-        return 1 if c is None else int(c["version"]) + 1
+        return {p: leaf for p in touched
+                if self._exists(f"{self.root}/{name}/{spec.part_col}={p}/v={leaf}")}
+
+    def _exists(self, path: str) -> bool:
+        """Whether a folder is there, without listing its neighbours."""
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    def write_rejects(self, job: str, rejects: DataFrame) -> dict[str, int]:
+        """Append the rows (reason, id, issue) that a job did not write;
+        return how many there are of each reason."""
+        path = f"{self.root}/_rejects/job={job}/run={uuid.uuid4().hex}"
+        rejects.write.parquet(path)
+        counts = self.spark.read.schema(rejects.schema).parquet(path).groupBy("reason").count().collect()
+        return {r["reason"]: r["count"] for r in counts}
+
+    def _raise_if_published(self, version: int) -> None:
+        if self._read_record(f"{self._commit_dir()}/version={version}") is not None:
+            raise RuntimeError(f"version {version} of {self.root} is published already: another job wrote to this store")
 
     def commit(self, job: str, batch: int, tables: dict[str, tuple[DataFrame, list[str]]],
-               cursor: dict | None = None, prev: dict | None = None) -> dict:
+               cursor: dict | None = None, prev: dict | None = None,
+               rejects: dict[str, int] | None = None) -> dict:
         """Write the touched partitions of each table as the next version,
         then publish the commit record (the only step readers see).
 
         ``tables`` maps a table name to (new content of the touched
-        partitions, touched partition list).
+        partitions, touched partition list). Raises if another writer has
+        published this version since ``prev`` was read.
         """
         prev = prev if prev is not None else (self.latest_commit() or {})
-        version = self.next_version(prev or None)
+        version = 1 if not prev else int(prev["version"]) + 1
+        self._raise_if_published(version)
+        leaf = f"{version}-{uuid.uuid4().hex[:12]}"
         manifest = {k: dict(v) for k, v in prev.get("manifest", {}).items()}
         for name, (content, touched) in tables.items():
-            written = self.write_partitions(name, content, touched, version)
+            written = self.write_partitions(name, content, touched, leaf)
             parts = manifest.setdefault(name, {})
             for p in touched:
                 parts.pop(p, None)
@@ -219,8 +221,10 @@ class SnapshotStore:
         jobs = dict(prev.get("jobs", {}))
         jobs[job] = int(batch)
         record = {"version": version, "jobs": jobs, "manifest": manifest,
-                  "cursor": cursor if cursor is not None else prev.get("cursor")}
+                  "cursor": cursor if cursor is not None else prev.get("cursor"),
+                  "rejects": rejects or {}}
         text = self.spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string")
+        self._raise_if_published(version)
         text.coalesce(1).write.mode("overwrite").text(f"{self._commit_dir()}/version={version}")
         # the hint for readers, written after the record it copies
         text.coalesce(1).write.mode("overwrite").text(f"{self.root}/_latest")

@@ -37,7 +37,7 @@ def feed_rows(pages: DataFrame) -> DataFrame:
 
 
 def read_worklog_updates(spark: SparkSession, path: str,
-                         since_ms: int | None = None, multi_line: bool = True) -> DataFrame:
+                         since_ms: int | None = None, multi_line: bool = False) -> DataFrame:
     """Feed rows, optionally only those updated at or after ``since_ms``."""
     pages = spark.read.schema(FEED_PAGE).option("multiLine", multi_line).json(path)
     rows = feed_rows(pages)
@@ -46,7 +46,7 @@ def read_worklog_updates(spark: SparkSession, path: str,
     return rows
 
 
-def _reader(spark: SparkSession, schema, modified_after: str | None, multi_line: bool = True):
+def _reader(spark: SparkSession, schema, modified_after: str | None, multi_line: bool = False):
     r = spark.read.schema(schema).option("multiLine", multi_line)
     if modified_after:
         # file-listing filter: older files are never opened
@@ -57,7 +57,7 @@ def _reader(spark: SparkSession, schema, modified_after: str | None, multi_line:
 def read_worklog_details(spark: SparkSession, path: str,
                          ids: DataFrame | None = None,
                          modified_after: str | None = None,
-                         multi_line: bool = True) -> DataFrame:
+                         multi_line: bool = False) -> DataFrame:
     """Raw worklog entries; with ``ids`` (column ``worklogId``) only those.
 
     Each file is a JSON array (one response); Spark turns every element
@@ -73,7 +73,7 @@ def read_worklog_details(spark: SparkSession, path: str,
 
 
 def read_issues(spark: SparkSession, path: str, modified_after: str | None = None,
-                multi_line: bool = True) -> DataFrame:
+                multi_line: bool = False) -> DataFrame:
     """S3: raw issue snapshots with their version (file time, file name);
     ``modified_after`` skips files landed earlier."""
     raw = _reader(spark, RAW_ISSUE, modified_after, multi_line).json(path)
