@@ -14,8 +14,9 @@ feed is a token of its own.  Texts that don't meet the first are encoded whole.
 spaces and line feeds.
 
 Both also cut before a full stop or comma that follows a letter or digit and
-ends a piece, if that holds for all of them in the text.  Any other value of
-``cut`` encodes whole texts only.
+ends a piece, if that holds for all of them in the text, and between a Latin
+letter and marks such as ``!`` or ``#``.  Any other value of ``cut`` encodes whole
+texts only.
 """
 
 from __future__ import annotations
@@ -67,6 +68,9 @@ class Encoder:
         # A full stop or comma after anything but a (Latin) letter or ASCII digit.
         self.odd_stop = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ɏ][.,]")
         self.beyond_latin = re.compile(r"[^\x00-ɏ]")
+        # Marks that make many forms of a word; a token ends before any of them.
+        self.marks = re.compile(r"[!#$%&*]")
+        self.before_mark = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[!#$%&*,.])")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -87,6 +91,8 @@ class Encoder:
     def _pieces(self, text: str) -> list[str] | None:
         if CUT in text or self.cut not in ("lead", "drop"):
             return None
+        if self.marks.search(text) and not any(s in text.lower() for s in self.special):
+            text = self.before_mark.sub(" " if self.cut == "drop" else CUT, text)
         if self.cut == "drop":
             # Lower case is what the tokenizer makes of these characters too.
             if not self.beyond_latin.search(text):

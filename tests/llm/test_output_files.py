@@ -21,14 +21,14 @@ BYTE, WORDS = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bp
 ODD = [
     "", " ", "  ", "a  b", "a   b", " a ", "a\n b", "a \nb", "x  y", "don't 's 't.", "<|endoftext|> a<|endoftext|>.", "a\tb c\t d",
     "á ́b é", "日本 語", "a\r\nb  \n c", "12 34 .. ?? 3.14, x", "ΣΑΣ οδΟΣ Σ.", "İ I",
-    "<|ENDOFTEXT|> X", "a\x01b", "the. Of\nthe, end.\n\nNew", "(a). [b], c", "e.g. i.e., Mr.X", "%%% a.&&& b", None,
+    "<|ENDOFTEXT|> X", "a\x01b", "the. Of\nthe, end.\n\nNew", "(a). [b], c", "e.g. i.e., Mr.X", "%%% a.&&& b", "no!! ab### x*y*z 5% a&b é$$, q.*", "a! <|endoftext|> b!", None,
 ]
 
 
 @pytest.mark.parametrize(("path", "cut"), [(BYTE, "lead"), (WORDS, "drop"), (WORDS, None)])
 def test_pieces_encode_like_whole_texts(path, cut):
     rng = np.random.default_rng(0)
-    letters = list("ab 1 .,\n\t' sé́日\r ")
+    letters = list("ab 1 .,\n\t' sé́日\r !#*")
     texts = ODD + ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(3000)]
     plain = Tokenizer.from_file(path)
     want = [np.array([*plain.encode(t or "", add_special_tokens=False).ids, 9], "<u4").tobytes() for t in texts]
