@@ -13,10 +13,15 @@ from hourbook.operators import upsert as U
 from hourbook.plans import ingest as I
 from hourbook.plans import params as P
 from hourbook.sources import binding as B
+from hourbook.sources.tables import read_table
 from hourbook.sources.tracker_json import latest_issue_snapshots
 
-# Cursor of an earlier run (worklog ids above it are new).
-FEED_CURSOR = 100_000
+# Cursor of an earlier run (worklog ids above it are new): half of the id range.
+CURSOR_SQL = "(SELECT max(l_orderkey) * 5 FROM lineitem)"
+
+
+def feed_cursor(spark: SparkSession, sf_dir: str) -> int:
+    return int(read_table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey") * 5).first()[0] or 0)
 
 
 def _frames(spark: SparkSession, sf_dir: str, **kw) -> I.IngestFrames:
@@ -39,14 +44,14 @@ def q_read_worklog_updates(spark, sf_dir):
 
 def q_new_worklogs(spark, sf_dir):
     """feed rows above the cursor of an earlier run."""
-    return FL.new_worklogs(B.raw_feed(spark, sf_dir), FEED_CURSOR).select(
+    return FL.new_worklogs(B.raw_feed(spark, sf_dir), feed_cursor(spark, sf_dir)).select(
         "worklogId", "updatedTime")
 
 
 def q_read_worklog_details(spark, sf_dir):
     """Entries of the new feed ids (semi join on id)."""
     _, entries = I.select_new_entries(B.raw_feed(spark, sf_dir), B.raw_worklogs(spark, sf_dir),
-                                      max_worklog_id=FEED_CURSOR)
+                                      max_worklog_id=feed_cursor(spark, sf_dir))
     return entries.select(F.col("id"), "issueId", F.col("author.displayName").alias("author"),
                           "started", "updated", "timeSpentSeconds")
 
@@ -105,10 +110,10 @@ def q_upsert_worklogs_keep_first(spark, sf_dir):
 
 def q_upsert_worklogs_two_batches(spark, sf_dir):
     """K1 in two batches: ids up to the cursor first, then the rest (replace)."""
-    fr1 = _frames(spark, sf_dir)
-    first = fr1.worklog_rows.where(F.col("id") <= FEED_CURSOR)
+    fr1, cursor = _frames(spark, sf_dir), feed_cursor(spark, sf_dir)
+    first = fr1.worklog_rows.where(F.col("id") <= cursor)
     stored = U.upsert_worklogs(None, first, I.SEQ_ORDER)
-    fr2 = _frames(spark, sf_dir, max_worklog_id=FEED_CURSOR)
+    fr2 = _frames(spark, sf_dir, max_worklog_id=cursor)
     return _public(U.upsert_worklogs(stored, fr2.worklog_rows, I.SEQ_ORDER))
 
 
@@ -118,6 +123,15 @@ def q_upsert_issues(spark, sf_dir):
     return _public(U.upsert_issues(None, fr.issue_rows, I.SEQ_ORDER))
 
 
+def q_upsert_issues_touch(spark, sf_dir):
+    """K2 (touch) in two batches: an issue that is stored only gets the new
+    update date."""
+    rows, cursor = _frames(spark, sf_dir).issue_rows, feed_cursor(spark, sf_dir)
+    stored = U.upsert_issues(None, rows.where(F.col("_seq_id") <= cursor), I.SEQ_ORDER)
+    later = rows.where(F.col("_seq_id") > cursor)
+    return _public(U.upsert_issues(stored, later, I.SEQ_ORDER, policy="touch"))
+
+
 def q_filter_users_ingest(spark, sf_dir):
     """F3 inside the ingest: only entries of listed authors are written."""
     users = ["Supplier#000000010", "supplier#000000020"]
@@ -125,8 +139,8 @@ def q_filter_users_ingest(spark, sf_dir):
 
 
 def q_advance_cursor(spark, sf_dir):
-    """K4: the cursor after a run that admitted the ids above FEED_CURSOR."""
-    fr = _frames(spark, sf_dir, max_worklog_id=FEED_CURSOR)
+    """K4: the cursor after a run that admitted the ids above the feed cursor."""
+    fr = _frames(spark, sf_dir, max_worklog_id=feed_cursor(spark, sf_dir))
     return I.cursor_frame(fr.feed, fr.worklog_rows)
 
 
@@ -144,6 +158,7 @@ INGEST_QUERIES = {
     "upsert_worklogs_keep_first": q_upsert_worklogs_keep_first,
     "upsert_worklogs_two_batches": q_upsert_worklogs_two_batches,
     "upsert_issues": q_upsert_issues,
+    "upsert_issues_touch": q_upsert_issues_touch,
     "filter_users_ingest": q_filter_users_ingest,
 }
 
@@ -255,14 +270,14 @@ def ingest_sql() -> dict[str, str]:
         "read_worklog_updates": _raw(
             f"SELECT worklogId, updatedTime FROM feed WHERE updatedTime >= {since}"),
         "advance_cursor": _raw(
-            f"SELECT (SELECT max(id) FROM wl_rows WHERE id > {FEED_CURSOR}) AS max_worklog_id, "
-            f"(SELECT max(updatedTime) FROM feed WHERE worklogId > {FEED_CURSOR}) AS last_timestamp, "
-            f"(SELECT count(*) FROM feed WHERE worklogId > {FEED_CURSOR}) AS admitted"),
+            f"SELECT (SELECT max(id) FROM wl_rows WHERE id > {CURSOR_SQL}) AS max_worklog_id, "
+            f"(SELECT max(updatedTime) FROM feed WHERE worklogId > {CURSOR_SQL}) AS last_timestamp, "
+            f"(SELECT count(*) FROM feed WHERE worklogId > {CURSOR_SQL}) AS admitted"),
         "new_worklogs": _raw(
-            f"SELECT worklogId, updatedTime FROM feed WHERE worklogId > {FEED_CURSOR}"),
+            f"SELECT worklogId, updatedTime FROM feed WHERE worklogId > {CURSOR_SQL}"),
         "read_worklog_details": _raw(
             "SELECT CAST(id AS VARCHAR) AS id, CAST(issueId AS VARCHAR) AS issueId, author, "
-            f"started, updated, timeSpentSeconds FROM rw WHERE id > {FEED_CURSOR}"),
+            f"started, updated, timeSpentSeconds FROM rw WHERE id > {CURSOR_SQL}"),
         "read_issues": _raw(
             "SELECT CAST(id AS VARCHAR) AS id, key, CAST(parent_id AS VARCHAR) AS parentId, status, "
             "strftime(created, '%Y-%m-%dT%H:%M:%S.%g') || '+0200' AS created, "
@@ -282,6 +297,10 @@ def ingest_sql() -> dict[str, str]:
         "upsert_worklogs_keep_first": _raw(_latest("wl_rows", WL_COLS, desc=False)),
         "upsert_worklogs_two_batches": _raw(_latest("wl_rows", WL_COLS)),
         "upsert_issues": _raw(_latest("is_rows", IS_COLS)),
+        "upsert_issues_touch": _raw(f""", one AS ({_latest(f"(SELECT * FROM is_rows WHERE seq_id <= {CURSOR_SQL})", IS_COLS)}),
+two AS ({_latest(f"(SELECT * FROM is_rows WHERE seq_id > {CURSOR_SQL})", IS_COLS)})
+SELECT one.* REPLACE (coalesce(two.updateDate, one.updateDate) AS updateDate) FROM one LEFT JOIN two USING (id)
+UNION ALL SELECT * FROM two WHERE id NOT IN (SELECT id FROM one)"""),
         "filter_users_ingest": _raw(
             f"SELECT {WL_COLS} FROM wl_rows WHERE lower(author) IN "
             "('supplier#000000010', 'supplier#000000020')"),

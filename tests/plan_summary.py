@@ -1,9 +1,9 @@
-"""Summarise the final (post-AQE) physical plan of every registered query.
+"""Summarise the physical plan of the registered queries, as planned before a run.
 
 Usage: python tests/plan_summary.py [sf_dir] > PLANS.md
-Runs each query once (noop sink), then reads the adaptive plan Spark
-settled on: shuffles, broadcasts, join and aggregate strategies, pushed
-filters on the scans.
+Times each query once (noop sink) and lists what Spark planned: shuffles,
+broadcasts, join and aggregate strategies, pushed filters on the scans. AQE
+may still turn sort-merge joins into broadcast joins while a query runs.
 """
 
 from __future__ import annotations
@@ -37,17 +37,17 @@ def summarise(plan: str) -> dict:
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.1"
     from hourbook.session import get_spark
-    import __spark_entry__ as E
+    from hourbook.plans.catalog import QUERIES
     spark = get_spark("local[8]", shuffle_partitions=16)
     spark.sparkContext.setLogLevel("ERROR")
     print(f"# Physical plans of the registered queries ({os.path.basename(sf_dir)}, local[8])\n")
-    print("Final adaptive plans after one run. `shuffles` counts hash/range exchanges, "
-          "`broadcasts` the broadcast exchanges AQE or a hint chose; scans listed under "
+    print("Plans as made before the run (AQE may still change joins). `shuffles` counts hash/range exchanges, "
+          "`broadcasts` the planned broadcast exchanges; scans listed under "
           "`pushed` received Parquet pushed filters.\n")
     print("| query | sec | shuffles | broadcasts | joins | aggregates | windows | pushed-filter scans |")
     print("|---|---|---|---|---|---|---|---|")
     from hourbook.plans.stream_queries import STREAM_QUERIES
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(QUERIES.items()):
         if name in STREAM_QUERIES:          # run whole streams; their result is a Parquet scan
             continue
         df = fn(spark, sf_dir)

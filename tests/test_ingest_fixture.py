@@ -1,5 +1,5 @@
 """Ingest (S1-S3, F1, F3, J1, J2, P1, P2, K1, K2) and refresh (F5, J3, F6,
-P3, K3) on the tracker JSON fixtures; goldens from FIXTURES.md 1.4 / 1.5."""
+P3, K3) on small landed exports; goldens worked out by hand (FIXTURES.md)."""
 
 import datetime as dt
 import os
@@ -22,18 +22,18 @@ def frames(spark, **kw):
 
 def test_feed_page(spark):
     rows = read_worklog_updates(spark, os.path.join(LAND, "feed")).orderBy("worklogId").collect()
-    assert [r.worklogId for r in rows] == [1111, 1112, 1113]
-    assert rows[0].pageSince == 1556697267172 and rows[-1].pageUntil == 1559600429929
-    since = read_worklog_updates(spark, os.path.join(LAND, "feed"), since_ms=1559600429921)
-    assert since.count() == 2
+    assert [r.worklogId for r in rows] == [501, 502, 503, 504]
+    assert rows[0].pageSince == 1678258799999 and rows[-1].pageUntil == 1678698300000
+    since = read_worklog_updates(spark, os.path.join(LAND, "feed"), since_ms=1678263600000)
+    assert since.count() == 3
 
 
 def test_null_aggregates_become_zero(spark):
     snaps = latest_issue_snapshots(read_issues(spark, os.path.join(LAND, "issues")))
-    r = snaps.where("id = '6003'").first()
+    r = snaps.where("id = '915'").first()
     assert r.fields.aggregatetimespent is None       # raw stays NULL
     fr = frames(spark)
-    iss = fr.issue_rows.where("id = 6003").first()
+    iss = fr.issue_rows.where("id = 915").first()
     assert iss.aggregateTimeSpent == 0 and iss.aggregateTimeOriginalEstimate == 0
 
 
@@ -41,46 +41,56 @@ def test_worklog_golden(spark):
     fr = frames(spark)
     got = {r.id: r for r in fr.worklog_rows.collect()}
     want = {
-        1111: ("Big Bird", 19, "Thursday", 0.56, "ABC", 6000, 6000, "ABC-1234", "Story", "Highest"),
-        1112: ("Big Bird", 19, "Friday", 0.75, "ABC", 6001, 6002, "ABC-1236", "Story", "Highest"),
-        1113: ("Big Bird", 19, "Friday", 0.75, "ABC", 6003, 6003, "ABC-1237", "Story", "Medium"),
+        501: ("Nora Vale", 10, "Tuesday", 1.25, "OPS", 910, 910, "OPS-12", "Bug", "Major"),
+        502: ("Imre Sol", 10, "Wednesday", 0.28, "OPS", 911, 912, "OPS-11", "Epic", "Minor"),
+        503: ("Nora Vale", 10, "Sunday", 1.5, "OPS", 915, 915, "OPS-20", "Task", "Blocker"),
+        504: ("Imre Sol", 11, "Monday", 0.25, "OPS", 910, 910, "OPS-12", "Bug", "Major"),
     }
     assert set(got) == set(want)
     for k, w in want.items():
         r = got[k]
         assert (r.author, r.weekNumber, r.weekDay, r.timeSpentHours, r.project, r.issueId,
                 r.parentIssueId, r.parentIssueKey, r.parentIssueType, r.parentIssuePriority) == w
-    assert got[1111].date == dt.datetime(2019, 5, 9, 17, 4)     # wall clock, not UTC
-    assert got[1112].issueType == "Sub-task"
+    assert got[501].date == dt.datetime(2023, 3, 7, 23, 40)     # wall clock, not UTC
+    assert got[502].issueType == "Sub-task"
 
 
 def test_issue_golden(spark):
     fr = frames(spark)
     iss = U.upsert_issues(None, fr.issue_rows, I.SEQ_ORDER)
     got = {r.id: r for r in iss.collect()}
-    assert set(got) == {6000, 6002, 6003}                       # 6001 is a sub-task
-    assert (got[6000].isResolved, got[6000].resolvedDate, got[6000].daysToResolve) == (False, None, 0)
-    assert got[6000].updateDate == dt.datetime(2019, 5, 9, 17, 4)
-    assert got[6002].isResolved and got[6002].daysToResolve == 2
-    assert got[6002].resolvedDate == dt.datetime(2018, 8, 7, 9, 20)
-    assert got[6002].updateDate == dt.datetime(2019, 5, 10, 17, 4)
-    assert (got[6003].aggregateTimeSpent, got[6003].aggregateTimeOriginalEstimate) == (0, 0)
-    assert all(r.developer == "Big Bird" for r in got.values())
-    assert got[6000].aggregateTimeSpent == 504000
+    assert set(got) == {910, 912, 915}                          # 911 is a sub-task
+    assert (got[910].isResolved, got[910].resolvedDate, got[910].daysToResolve) == (False, None, 0)
+    # two entries on 910: the one updated last gives developer and date
+    assert got[910].updateDate == dt.datetime(2023, 3, 13, 10, 0)
+    assert got[912].isResolved and got[912].daysToResolve == 4  # four days to the minute
+    assert got[912].resolvedDate == dt.datetime(2023, 3, 3, 12, 0)
+    assert got[912].updateDate == dt.datetime(2023, 3, 8, 9, 15)
+    assert (got[915].aggregateTimeSpent, got[915].aggregateTimeOriginalEstimate) == (0, 0)
+    assert {k: r.developer for k, r in got.items()} == {910: "Imre Sol", 912: "Imre Sol", 915: "Nora Vale"}
+    assert got[910].aggregateTimeSpent == 7200
 
 
 def test_user_filter(spark):
-    assert frames(spark, users=["big bird"]).worklog_rows.count() == 3
-    assert frames(spark, users=["x"]).worklog_rows.count() == 0
-    assert frames(spark, users=[]).worklog_rows.count() == 3
+    def ids(users):
+        return sorted(r.id for r in frames(spark, users=users).worklog_rows.collect())
+
+    def names(*values):
+        return spark.createDataFrame([(v,) for v in values], "name string")
+
+    for form in (list, lambda values: names(*values)):
+        assert ids(form(["nora VALE"])) == [501, 503]
+        assert ids(form(["x"])) == []
+        assert ids(form([])) == [501, 502, 503, 504]
+        assert ids(form([f"user{i}" for i in range(1500)] + ["IMRE sol"])) == [502, 504]
 
 
 def test_cursor_skips_old_ids(spark):
-    fr = frames(spark, max_worklog_id=1111)
-    assert sorted(r.id for r in fr.worklog_rows.collect()) == [1112, 1113]
-    assert I.next_cursor(fr.feed, fr.worklog_rows) == {"max_worklog_id": 1113,
-                                                       "last_timestamp": 1559600429929}
-    empty = frames(spark, max_worklog_id=1113)
+    fr = frames(spark, max_worklog_id=502)
+    assert sorted(r.id for r in fr.worklog_rows.collect()) == [503, 504]
+    assert I.next_cursor(fr.feed, fr.worklog_rows) == {"max_worklog_id": 504,
+                                                       "last_timestamp": 1678698300000}
+    empty = frames(spark, max_worklog_id=504)
     assert I.next_cursor(empty.feed, empty.worklog_rows) is None
 
 
@@ -91,17 +101,17 @@ def test_missing_issue_and_orphan(spark, scratch):
     os.makedirs(os.path.join(land, "issues"))
     entries = [
         {"id": "1", "issueId": "404", "author": {"displayName": "A"},
-         "started": "2019-05-09T17:04:00.000-0500", "timeSpentSeconds": 60},
+         "started": "2023-03-09T09:30:00.000+0100", "timeSpentSeconds": 60},
         {"id": "2", "issueId": "7", "author": {"displayName": "A"},
-         "started": "2019-05-09T17:04:00.000-0500", "timeSpentSeconds": 60},
+         "started": "2023-03-09T09:30:00.000+0100", "timeSpentSeconds": 60},
         {"id": "x3", "issueId": "7", "author": {"displayName": "A"},
-         "started": "2019-05-09T17:04:00.000-0500", "timeSpentSeconds": 60},
+         "started": "2023-03-09T09:30:00.000+0100", "timeSpentSeconds": 60},
     ]
     with open(os.path.join(land, "worklogs", "d.json"), "w") as f:
-        json.dump(entries, f)
+        f.writelines(json.dumps(e) + "\n" for e in entries)
     with open(os.path.join(land, "issues", "7.json"), "w") as f:
-        json.dump({"id": "7", "key": "ABC-7", "fields": {
-            "created": "2019-05-01T00:00:00.000-0500", "parent": {"id": "99", "key": "ABC-99"},
+        json.dump({"id": "7", "key": "OPS-7", "fields": {
+            "created": "2023-03-01T00:00:00.000+0100", "parent": {"id": "99", "key": "OPS-99"},
             "issuetype": {"name": "Sub-task"}, "priority": {"name": "Low"},
             "status": {"name": "Open"}}}, f)
     feed = spark.createDataFrame([(1, 1), (2, 1)], "worklogId long, updatedTime long")
@@ -127,13 +137,13 @@ def _stored_issue(spark):
 def test_refresh_golden(spark):
     stored = _stored_issue(spark)
     snaps = read_issues(spark, os.path.join(LAND, "issues"))
-    fr = refresh_frames(stored, snaps, ["done", "closed"])
+    fr = refresh_frames(stored, snaps, ["closed", "DONE"])
     got = {r.id: r for r in fr.issue.collect()}
-    assert got[6000].isResolved
-    assert got[6000].resolvedDate == got[6000].updateDate == dt.datetime(2019, 5, 13, 9, 9, 8, 237000)
-    assert got[6000].daysToResolve == 2
-    assert not got[6003].isResolved
-    assert [r.id for r in fr.updates.collect()] == [6000]
+    assert got[910].isResolved
+    assert got[910].resolvedDate == got[910].updateDate == dt.datetime(2023, 3, 9, 10, 0)
+    assert got[910].daysToResolve == 4                          # three days and an hour and a half
+    assert not got[915].isResolved
+    assert [r.id for r in fr.updates.collect()] == [910]
     # empty done list: nothing changes
     none = refresh_frames(stored, snaps, [])
     assert none.updates.count() == 0
@@ -143,20 +153,20 @@ def test_reingest_keeps_resolution(spark):
     """A later worklog on an issue closed by the refresh does not reopen it."""
     stored = _stored_issue(spark)
     snaps = read_issues(spark, os.path.join(LAND, "issues"))
-    closed = refresh_frames(stored, snaps, ["closed"]).issue
-    late = frames(spark).issue_rows.where("id = 6000").withColumn("_seq_ts", F.lit(10 ** 13))
+    closed = refresh_frames(stored, snaps, ["done"]).issue
+    late = frames(spark).issue_rows.where("id = 910").withColumn("_seq_ts", F.lit(10 ** 13))
     after = {r.id: r for r in U.upsert_issues(closed, late, I.SEQ_ORDER).collect()}
-    assert after[6000].isResolved and after[6000].daysToResolve == 2
-    assert after[6000].updateDate == dt.datetime(2019, 5, 9, 17, 4)
+    assert after[910].isResolved and after[910].daysToResolve == 4
+    assert after[910].updateDate == dt.datetime(2023, 3, 13, 10, 0)
 
 
 def test_refresh_without_dates_stays_unresolved(spark):
     stored = _stored_issue(spark)
     snaps = read_issues(spark, os.path.join(LAND, "issues")).withColumn(
         "fields", F.col("fields").withField("statuscategorychangedate", F.lit(None).cast("string")))
-    fr = refresh_frames(stored, snaps, ["closed"])
+    fr = refresh_frames(stored, snaps, ["done"])
     assert fr.updates.count() == 0
-    assert [r.id for r in fr.unresolvable.collect()] == [6000]
+    assert [r.id for r in fr.unresolvable.collect()] == [910]
 
 
 def test_replay_is_idempotent(spark):
@@ -171,25 +181,46 @@ def test_replay_is_idempotent(spark):
 def test_lookup_by_key_or_id(spark):
     from hourbook.sources.tracker_json import lookup_by_key_or_id
     snaps = latest_issue_snapshots(read_issues(spark, os.path.join(LAND, "issues")))
-    wanted = spark.createDataFrame([("ABC-1234",), ("6002",), ("NOPE-1",)], "key string")
-    assert sorted(r.id for r in lookup_by_key_or_id(snaps, wanted).collect()) == ["6000", "6002"]
+    wanted = spark.createDataFrame([("OPS-12",), ("912",), ("NOPE-1",)], "key string")
+    assert sorted(r.id for r in lookup_by_key_or_id(snaps, wanted).collect()) == ["910", "912"]
+
+
+def test_ties_do_not_depend_on_input_order(spark):
+    """K1/K2: of versions with equal times one wins, whichever comes first."""
+    rows = frames(spark).worklog_rows.where("id = 501")
+    other = rows.withColumn("author", F.lit("Someone Else"))
+    a = U.upsert_worklogs(None, rows.unionByName(other).coalesce(1), I.SEQ_ORDER)
+    b = U.upsert_worklogs(None, other.unionByName(rows).coalesce(1), I.SEQ_ORDER)
+    c = U.upsert_worklogs(U.upsert_worklogs(None, other, I.SEQ_ORDER), rows, I.SEQ_ORDER)
+    d = U.upsert_worklogs(U.upsert_worklogs(None, rows, I.SEQ_ORDER), other, I.SEQ_ORDER)
+    assert len({df.first().author for df in (a, b, c, d)}) == 1
 
 
-def test_long_user_list_uses_semi_join(spark):
-    from hourbook.operators import filters as FL
-    users = [f"user{i}" for i in range(FL.MAX_INLINE_LIST + 5)] + ["BIG bird"]
-    fr = frames(spark, users=users)
-    assert fr.worklog_rows.count() == 3
-    plan = fr.worklog_rows._jdf.queryExecution().executedPlan().toString()
-    assert "LeftSemi" in plan
+def test_touch_policy_changes_only_the_date(spark):
+    """K2 ``touch``: new ids are inserted, stored ones get the date alone."""
+    stored = _stored_issue(spark).where("id <> 915").withColumn("developer", F.lit("kept"))
+    after = {r.id: r for r in U.upsert_issues(stored.withColumn("updateDate", F.lit(None).cast("timestamp_ntz")),
+                                              frames(spark).issue_rows, I.SEQ_ORDER, policy="touch").collect()}
+    assert {k: r.developer for k, r in after.items()} == {910: "kept", 912: "kept", 915: "Nora Vale"}
+    assert after[910].updateDate == dt.datetime(2023, 3, 13, 10, 0)
+
+
+def test_many_issues_without_parent(spark):
+    """Parentless issues stay out of the join and come back."""
+    from hourbook.operators import joins as J
+    snaps = latest_issue_snapshots(read_issues(spark, os.path.join(LAND, "issues")))
+    lone = snaps.where("id = '915'").crossJoin(spark.range(50).withColumnRenamed("id", "n"))
+    many = snaps.unionByName(lone.withColumn("id", (F.col("n") + 5000).cast("string")).drop("n"))
+    pairs = J.issues_with_parent(many)
+    assert pairs.count() == 54 and pairs.where("p is not null").count() == 1
 
 
 def test_refresh_reports_missing_snapshot_and_duplicate_keys(spark):
     stored = _stored_issue(spark)
-    dup = stored.where("id = 6000").withColumn("id", F.lit(7000).cast("long"))
+    dup = stored.where("id = 910").withColumn("id", F.lit(7000).cast("long"))
     stored2 = stored.unionByName(dup)
-    snaps = read_issues(spark, os.path.join(LAND, "issues")).where("id <> '6003'")
-    fr = refresh_frames(stored2, snaps, ["closed"])
-    assert [r.id for r in fr.without_snapshot.collect()] == [6003]          # D19
-    assert [(r.key, r.ids) for r in fr.duplicate_keys.collect()] == [("ABC-1234", 2)]   # D26
-    assert sorted(r.id for r in fr.updates.collect()) == [6000, 7000]
+    snaps = read_issues(spark, os.path.join(LAND, "issues")).where("id <> '915'")
+    fr = refresh_frames(stored2, snaps, ["done"])
+    assert [r.id for r in fr.without_snapshot.collect()] == [915]          # D19
+    assert [(r.key, r.ids) for r in fr.duplicate_keys.collect()] == [("OPS-12", 2)]   # D26
+    assert sorted(r.id for r in fr.updates.collect()) == [910, 7000]

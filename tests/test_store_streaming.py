@@ -5,12 +5,14 @@ import datetime as dt
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from hourbook.plans import jobs as JB
 from hourbook.sources.store import SnapshotStore, write_report
 from hourbook.sources.tracker_json import read_issues, read_worklog_details, read_worklog_updates
-from hourbook.streaming.jobs import refresh_resolutions, stream_worklogs
+from hourbook.streaming.jobs import finish, refresh_resolutions, run_tracker, stream_worklogs
 from hourbook.operators import aggregates as A
 
 
@@ -20,6 +22,19 @@ def _inputs(spark, land):
             read_issues(spark, os.path.join(land, "issues")))
 
 
+def _land(land, name, wid, issue, author, started, seconds, updated=None):
+    """One more entry with its feed page."""
+    updated = updated or started
+    entry = {"id": str(wid), "issueId": issue, "author": {"displayName": author}, "started": started,
+             "updated": updated, "timeSpentSeconds": seconds}
+    ms = int(dt.datetime.fromisoformat(updated).timestamp() * 1000)
+    with open(os.path.join(land, "worklogs", f"entries-{name}.json"), "w") as f:
+        f.write(json.dumps(entry) + "\n")
+    with open(os.path.join(land, "feed", f"page-{name}.json"), "w") as f:
+        f.write(json.dumps({"values": [{"worklogId": wid, "updatedTime": ms}], "since": ms - 1, "until": ms,
+                            "lastPage": True}) + "\n")
+
+
 def _table(store, name):
     df = store.read(name)
     return {r.id: r for r in df.collect()} if df is not None else {}
@@ -31,8 +46,8 @@ def test_ingest_commit_and_replay(spark, land_copy, scratch):
     out = JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=0)
     assert out["version"] == 1 and out["worklog_partitions"] == 1
     wl, iss = _table(store, "worklog"), _table(store, "issue")
-    assert sorted(wl) == [1111, 1112, 1113] and sorted(iss) == [6000, 6002, 6003]
-    assert store.cursor() == {"max_worklog_id": 1113, "last_timestamp": 1559600429929}
+    assert sorted(wl) == [501, 502, 503, 504] and sorted(iss) == [910, 912, 915]
+    assert store.cursor() == {"max_worklog_id": 504, "last_timestamp": 1678698300000}
     # same epoch again: skipped; next epoch with the same data: cursor admits nothing
     assert JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=0)["skipped"]
     again = JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=1)
@@ -49,33 +64,26 @@ def test_partition_copy_on_write(spark, land_copy, scratch):
     """A batch landing in a new month rewrites only that month."""
     store = SnapshotStore(spark, os.path.join(scratch, "store"))
     JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=0)
-    entry = {"id": "2001", "issueId": "6003", "author": {"displayName": "Oscar"},
-             "started": "2019-06-03T09:00:00.000-0500", "updated": "2019-06-03T09:00:00.000-0500",
-             "timeSpentSeconds": 3600}
-    with open(os.path.join(land_copy, "worklogs", "details-0002.json"), "w") as f:
-        json.dump([entry], f)
-    with open(os.path.join(land_copy, "feed", "page-0002.json"), "w") as f:
-        json.dump({"values": [{"worklogId": 2001, "updatedTime": 1559600500000}],
-                   "since": 1559600429929, "until": 1559600500000, "lastPage": True}, f)
+    _land(land_copy, "b", 601, "915", "Pia Holm", "2023-04-03T09:00:00.000+0200", 3600)
     out = JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=1)
     manifest = store.latest_commit()["manifest"]
-    assert manifest["worklog"] == {"2019-05": 1, "2019-06": 2}
+    assert {k: v.split("-")[0] for k, v in manifest["worklog"].items()} == {"2023-03": "1", "2023-04": "2"}
     assert out["worklog_partitions"] == 1
     iss = _table(store, "issue")
-    assert iss[6003].developer == "Oscar" and iss[6000].developer == "Big Bird"
-    assert len(_table(store, "worklog")) == 4
+    assert iss[915].developer == "Pia Holm" and iss[910].developer == "Imre Sol"
+    assert len(_table(store, "worklog")) == 5
 
 
 def test_refresh_job(spark, land_copy, scratch):
     store = SnapshotStore(spark, os.path.join(scratch, "store"))
     feed, details, issues = _inputs(spark, land_copy)
     JB.run_ingest(store, feed, details, issues, batch_id=0)
-    out = JB.run_refresh(store, issues, batch_id=0, done_statuses=["done", "closed"])
+    out = JB.run_refresh(store, issues, batch_id=0, done_statuses=["closed", "done"])
     assert out["issue_partitions"] == 1
     iss = _table(store, "issue")
-    assert iss[6000].isResolved and iss[6000].daysToResolve == 2
-    assert not iss[6003].isResolved
-    assert JB.run_refresh(store, issues, batch_id=0, done_statuses=["closed"])["skipped"]
+    assert iss[910].isResolved and iss[910].daysToResolve == 4
+    assert not iss[915].isResolved
+    assert JB.run_refresh(store, issues, batch_id=0, done_statuses=["done"])["skipped"]
 
 
 def test_write_report(spark, scratch):
@@ -86,26 +94,97 @@ def test_write_report(spark, scratch):
 
 
 def test_streams_available_now(spark, land_copy, scratch):
-    store_root = os.path.join(scratch, "store")
-    ck1, ck2 = os.path.join(scratch, "ck1"), os.path.join(scratch, "ck2")
-    q = stream_worklogs(spark, land_copy, store_root, available_now=True, checkpoint=ck1)
-    q.awaitTermination(300)
+    store_root, ck = os.path.join(scratch, "store"), os.path.join(scratch, "ck")
+    finish(stream_worklogs(spark, land_copy, store_root, available_now=True, checkpoint=ck))
     store = SnapshotStore(spark, store_root)
-    assert sorted(_table(store, "worklog")) == [1111, 1112, 1113]
+    assert sorted(_table(store, "worklog")) == [501, 502, 503, 504]
     # a second run over the same checkpoint finds nothing new
-    q = stream_worklogs(spark, land_copy, store_root, available_now=True, checkpoint=ck1)
-    q.awaitTermination(300)
+    finish(stream_worklogs(spark, land_copy, store_root, available_now=True, checkpoint=ck))
     assert store.latest_commit()["version"] == 1
-    q = refresh_resolutions(spark, land_copy, store_root, ["closed"], available_now=True,
-                            checkpoint=ck2)
-    q.awaitTermination(300)
+    refresh_resolutions(spark, land_copy, store_root, ["done"])
     iss = _table(store, "issue")
-    assert iss[6000].isResolved and iss[6000].resolvedDate == dt.datetime(2019, 5, 13, 9, 9, 8, 237000)
+    assert iss[910].isResolved and iss[910].resolvedDate == dt.datetime(2023, 3, 9, 10, 0)
     # reports run over the stored table
-    by = A.worklogs_group_by(store.read("worklog"), "weekday", dt.datetime(2019, 5, 1),
-                             dt.datetime(2019, 5, 31)).collect()
-    assert {r.groupBy: r.timeSpentHrs for r in by} == {"Thursday": 0.56, "Friday": 1.5}
-    assert store.read("worklog").where(F.col("month") == "2019-05").count() == 3
+    by = A.worklogs_group_by(store.read("worklog"), "weekday", dt.datetime(2023, 3, 1),
+                             dt.datetime(2023, 3, 31)).collect()
+    assert {r.groupBy: r.timeSpentHrs for r in by} == {"Tuesday": 1.25, "Wednesday": 0.28, "Sunday": 1.5, "Monday": 0.25}
+    assert store.read("worklog").where(F.col("month") == "2023-03").count() == 4
+
+
+def test_old_files_and_late_pages_are_ingested(spark, land_copy, scratch):
+    """Neither a file's age nor a page's place in time loses entries."""
+    store_root, ck = os.path.join(scratch, "store"), os.path.join(scratch, "ck")
+    old = dt.datetime.now().timestamp() - 90 * 86400
+    for folder, _, files in os.walk(land_copy):
+        for f in files:
+            os.utime(os.path.join(folder, f), (old, old))
+    finish(stream_worklogs(spark, land_copy, store_root, available_now=True, checkpoint=ck))
+    store = SnapshotStore(spark, store_root)
+    assert len(_table(store, "worklog")) == 4
+    before = store.cursor()
+    # lower id, earlier update than all before
+    _land(land_copy, "late", 77, "912", "Nora Vale", "2023-03-01T09:00:00.000+0100", 1800)
+    # an edit of a stored entry
+    _land(land_copy, "edit", 503, "915", "Nora Vale", "2023-03-12T10:00:00.000-0500", 7200, "2023-03-20T10:00:00.000+0100")
+    finish(stream_worklogs(spark, land_copy, store_root, available_now=True, checkpoint=ck, max_files_per_trigger=1))
+    rows = _table(store, "worklog")
+    assert sorted(rows) == [77, 501, 502, 503, 504] and rows[503].timeSpentHours == 2.0
+    assert store.cursor()["max_worklog_id"] == before["max_worklog_id"] == 504
+
+
+def test_filtered_out_page_keeps_the_cursor(spark, land_copy, scratch):
+    store = SnapshotStore(spark, os.path.join(scratch, "store"))
+    JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=0)
+    _land(land_copy, "c", 700, "915", "Nobody", "2023-03-22T09:00:00.000+0100", 60)
+    JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=1, users=["Nora Vale"])
+    assert store.cursor()["max_worklog_id"] == 504
+
+
+def test_refresh_before_ingest_does_not_forget(spark, land_copy, scratch):
+    """T2 before T1, then T1 and T2: the issue is closed all the same."""
+    store_root = os.path.join(scratch, "store")
+    assert refresh_resolutions(spark, land_copy, store_root, ["done"])["updated"] == 0
+    run_tracker(spark, land_copy, store_root, ["done"], ticks=2, interval_s=0, checkpoint=os.path.join(scratch, "ck"))
+    assert _table(SnapshotStore(spark, store_root), "issue")[910].isResolved
+
+
+def test_stale_writer_fails(spark, land_copy, scratch):
+    store = SnapshotStore(spark, os.path.join(scratch, "store"))
+    JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=0)
+    seen = store.latest_commit()
+    _land(land_copy, "d", 801, "915", "Nora Vale", "2023-04-03T09:00:00.000+0200", 60)
+    JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=1)
+    rows = _table(store, "worklog")
+    with pytest.raises(RuntimeError, match="published already"):
+        store.commit(JB.REFRESH_JOB, 0, {"issue": (store.read("issue", seen), [])}, prev=seen)
+    assert _table(store, "worklog") == rows
+
+
+def test_rejects_are_written_and_counted(spark, land_copy, scratch):
+    store = SnapshotStore(spark, os.path.join(scratch, "store"))
+    _land(land_copy, "e", 901, "404", "Nora Vale", "2023-04-03T09:00:00.000+0200", 60)
+    out = JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=0)
+    assert out["rejects"] == {"issue missing": 1} == store.latest_commit()["rejects"]
+    snaps = _inputs(spark, land_copy)[2].where("id <> '915'")
+    out = JB.run_refresh(store, snaps, 0, ["done"])
+    assert out["rejects"] == {"snapshot missing": 1}
+    listed = spark.read.parquet(f"{store.root}/_rejects").select("job", "reason", "id", "issue").collect()
+    assert sorted(map(tuple, listed)) == [("ingest", "issue missing", "901", "404"), ("refresh", "snapshot missing", "915", "OPS-20")]
+
+
+def test_few_files_per_partition(spark, scratch):
+    from conftest import SF_SMALL
+    from hourbook.sources import binding as B
+    store = SnapshotStore(spark, os.path.join(scratch, "store"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        JB.run_ingest(store, B.raw_feed(spark, SF_SMALL), B.raw_worklogs(spark, SF_SMALL),
+                      B.raw_issues(spark, SF_SMALL), batch_id=0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for folder, _, files in os.walk(os.path.join(scratch, "store", "worklog")):
+        assert sum(f.endswith(".parquet") for f in files) <= 2
 
 
 def test_two_batches_equal_one(spark, scratch):
@@ -130,8 +209,7 @@ def test_two_batches_equal_one(spark, scratch):
 
 def test_batches_out_of_order_equal_one(spark):
     """K1/K2 with later versions arriving first: same tables as one batch,
-    because stored rows keep their writer's version. (The ingest job itself
-    does not admit such rows: its ``since`` cursor skips older updates.)"""
+    because stored rows keep their writer's version."""
     from conftest import SF_SMALL
     from hourbook.operators import upsert as U
     from hourbook.plans import ingest as I
@@ -154,14 +232,14 @@ def test_refresh_min_age(spark, land_copy, scratch):
     t0 = dt.datetime(2024, 1, 1, 12, 0)
     JB.run_ingest(store, feed, details, issues, batch_id=0, inserted_at=t0)
     assert {r.dateInserted for r in store.read("issue").collect()} == {t0}
-    early = JB.run_refresh(store, issues, batch_id=0, done_statuses=["closed"],
+    early = JB.run_refresh(store, issues, batch_id=0, done_statuses=["done"],
                            min_age="10 minutes", as_of=t0 + dt.timedelta(minutes=5))
     assert early["updated"] == 0
-    late = JB.run_refresh(store, issues, batch_id=1, done_statuses=["closed"],
+    late = JB.run_refresh(store, issues, batch_id=1, done_statuses=["done"],
                           min_age="10 minutes", as_of=t0 + dt.timedelta(minutes=20))
     assert late["issue_partitions"] == 1
     iss = _table(store, "issue")
-    assert iss[6000].isResolved and iss[6000].dateInserted == t0
+    assert iss[910].isResolved and iss[910].dateInserted == t0
 
 
 def test_stale_latest_hint(spark, land_copy, scratch):
@@ -170,9 +248,9 @@ def test_stale_latest_hint(spark, land_copy, scratch):
     feed, details, issues = _inputs(spark, land_copy)
     JB.run_ingest(store, feed, details, issues, batch_id=0)
     first = store.latest_commit()
-    JB.run_refresh(store, issues, batch_id=0, done_statuses=["closed"])
+    JB.run_refresh(store, issues, batch_id=0, done_statuses=["done"])
     assert store.latest_commit()["version"] == 2
     stale = spark.createDataFrame([(json.dumps(first, sort_keys=True),)], "value string")
     stale.coalesce(1).write.mode("overwrite").text(os.path.join(store.root, "_latest"))
     assert store.latest_commit()["version"] == 2
-    assert _table(store, "issue")[6000].isResolved
+    assert _table(store, "issue")[910].isResolved
