@@ -55,10 +55,15 @@ class Encoder:
     def __init__(self, path: str, cut: str | None, end_id: int, as_text: bool = False):
         """``as_text``: special tokens' strings inside texts are plain text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = as_text
+        self.letters = None
+        if cut == "lead":
+            # For pieces of letters alone, which the pattern would find to be one token.
+            self.letters = Tokenizer.from_file(path)
+            self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut, self.end = cut, words([end_id])
         self.young: dict[str, bytes] = {}
@@ -67,6 +72,7 @@ class Encoder:
         self.beside = re.compile(r"\s\s")
         # A full stop or comma after anything but a (Latin) letter or ASCII digit.
         self.odd_stop = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ɏ][.,]")
+        self.latin_word = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
         self.beyond_latin = re.compile(r"[^\x00-ɏ]")
         # Marks that make many forms of a word; a token ends before any of them.
         self.marks = re.compile(r"[!#$%&*]")
@@ -76,18 +82,27 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [words(e.ids) for e in found]
 
-    def _each(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, from one call: a token's word id is its piece."""
+    def _each(self, pieces: list[str]) -> list[tuple[str, bytes]]:
+        """(piece, its ids), by one call for all: a token's word id is its piece."""
         if not pieces or any(s in "\0".join(pieces).lower() for s in self.special):
-            return self._whole(pieces)
-        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids, ends = words(found.ids), np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(pieces)), "right") * 4
-        out, begin = [], 0
-        for end in ends.tolist():
-            out.append(ids[begin:end])
-            begin = end
+            return list(zip(pieces, self._whole(pieces)))
+        out = []
+        for tokenizer, own in self._parts(pieces):
+            found = tokenizer.encode(own, is_pretokenized=True, add_special_tokens=False)
+            ids, ends = words(found.ids), np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(own)), "right") * 4
+            begin = 0
+            for piece, end in zip(own, ends.tolist()):
+                out.append((piece, ids[begin:end]))
+                begin = end
         return out
 
+    def _parts(self, pieces: list[str]):
+        if self.letters is None:
+            return [(self.tokenizer, pieces)]
+        plain = [p for p in pieces if self.latin_word(p)]
+        rest = list(set(pieces).difference(plain))
+        return [(t, part) for t, part in ((self.letters, plain), (self.tokenizer, rest)) if part]
+
     def _pieces(self, text: str) -> list[str] | None:
         if CUT in text or self.cut not in ("lead", "drop"):
             return None
@@ -124,7 +139,7 @@ class Encoder:
                 young[piece] = ids
             else:
                 new.append(piece)
-        young.update(zip(new, self._each(new)))
+        young.update(self._each(new))
         whole = iter(self._whole([t or "" for t, p in zip(texts, cut) if p is None]))
         out = []
         for p, f, gap in zip(cut, found, gaps):

@@ -116,12 +116,13 @@ def read_tokens(spark: SparkSession, files: TokenFiles, with_ids: bool = False)
                 ids, off, doc = (_mapped(store, f"{base}.{k}", t) for k, t in (("ids", f"<u{width}"), ("off", "<i8"), ("doc", "<i8")))
                 for at in range(0, shard["docs"], 2000):
                     ends = off[at : at + 2001]
-                    own = [ids[a:b].astype("<u4") for a, b in zip(ends[:-1], ends[1:])]
+                    block, cuts = ids[ends[0] : ends[-1]].astype("<u4"), (ends - ends[0]).tolist()
+                    own = [block[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
                     columns = [
                         pa.array(doc[at : at + 2000], mask=np.arange(at, at + len(own)) < shard["null_ids"]),
                         pa.array(ends[:-1] + shard["token_base"]),
                         pa.array(np.diff(ends)),
-                        pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()),
+                        pa.array([zlib.crc32(x) for x in own], pa.int64()),
                     ]
                     if with_ids:
                         columns.append(pa.array(own, pa.list_(pa.int64())))
