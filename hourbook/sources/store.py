@@ -4,7 +4,7 @@ Parquet has no upsert and Spark cannot overwrite a path it reads, so every
 committed batch ``B`` writes only the partitions it touched, each to a new
 leaf folder, and then publishes a commit record:
 
-    <root>/worklog/month=1997-01/v=V-<random>/part-*.parquet
+    <root>/worklog/month=1997-01/v=V-<random>/part-*.parquet    (month=none: no date)
     <root>/issue/bucket=17/v=V-<random>/part-*.parquet
     <root>/_commits/version=V/part-*.txt    one JSON line: manifest + cursor
     <root>/_rejects/job=J/part-*.parquet    rows that the jobs did not write
@@ -41,6 +41,8 @@ from hourbook.functions.schemas import ISSUE_STORED, WORKLOG_STORED
 # row cap of one written file.
 ISSUE_BUCKETS = 64
 MAX_RECORDS_PER_FILE = 5_000_000
+# Partition of the rows whose partition value is null (entries without a date).
+NO_VALUE = "none"
 
 
 @dataclass(frozen=True)
@@ -53,7 +55,12 @@ class TableSpec:
 
 
 def _month(df: DataFrame) -> Column:
-    return F.date_format(F.col("date"), "yyyy-MM")
+    return partition_name(F.date_format(F.col("date"), "yyyy-MM"))
+
+
+def partition_name(value: Column) -> Column:
+    """The folder name of a partition value as ``read`` returns it."""
+    return F.coalesce(value, F.lit(NO_VALUE))
 
 
 def _bucket(df: DataFrame) -> Column:
@@ -123,7 +130,8 @@ class SnapshotStore:
              partitions: list[str] | None = None) -> DataFrame | None:
         """Current content of a table (None before its first commit, or when
         none of ``partitions`` holds rows). Only the leaf folders of the
-        wanted partitions are listed."""
+        wanted partitions are listed. Worklogs without a date have a
+        partition of their own; their ``month`` is null."""
         spec = TABLES[name]
         commit = commit if commit is not None else self.latest_commit()
         parts = (commit or {}).get("manifest", {}).get(name) or {}
@@ -137,7 +145,8 @@ class SnapshotStore:
         df = (self.spark.read.schema(spec.schema)
               .option("basePath", base).parquet(*paths))
         cols = [f.name for f in spec.schema.fields]
-        return df.select(*cols, F.col(spec.part_col).cast("string").alias(spec.part_col))
+        part = F.col(spec.part_col).cast("string")
+        return df.select(*cols, F.nullif(part, F.lit(NO_VALUE)).alias(spec.part_col))
 
     # --- writes --------------------------------------------------------------------
     def touched_partitions(self, name: str, batch_rows: DataFrame,
@@ -154,9 +163,9 @@ class SnapshotStore:
         keys = batch_rows.select(spec.part_expr(batch_rows).alias("_p"))
         if stored is not None and not spec.by_id and not ids_new:
             old = (stored.join(batch_rows.select("id").distinct(), "id", "left_semi")
-                   .select(F.col(spec.part_col).alias("_p")))
+                   .select(partition_name(F.col(spec.part_col)).alias("_p")))
             keys = keys.unionByName(old)
-        return sorted(r["_p"] for r in keys.distinct().collect() if r["_p"] is not None)
+        return sorted(r["_p"] for r in keys.distinct().collect())
 
     def write_partitions(self, name: str, content: DataFrame, touched: list[str],
                          leaf: str) -> dict[str, str]:

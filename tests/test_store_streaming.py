@@ -254,3 +254,37 @@ def test_stale_latest_hint(spark, land_copy, scratch):
     stale.coalesce(1).write.mode("overwrite").text(os.path.join(store.root, "_latest"))
     assert store.latest_commit()["version"] == 2
     assert _table(store, "issue")[910].isResolved
+
+
+def _land_undated(land, name, wid, started, updated):
+    """One more entry whose start does not parse, with its feed page."""
+    _land(land, name, wid, "915", "Nora Vale", "2023-03-12T10:00:00.000-0500", 7200, updated)
+    path = os.path.join(land, "worklogs", f"entries-{name}.json")
+    with open(path) as f:
+        entry = json.load(f)
+    with open(path, "w") as f:
+        f.write(json.dumps({**entry, "started": started}) + "\n")
+
+
+def test_entries_without_a_date_are_stored(spark, land_copy, scratch):
+    """An entry whose start is missing or does not parse is stored with a null
+    date, also as an edit of a stored one, and moves when it gets a date."""
+    store_root, ck = os.path.join(scratch, "store"), os.path.join(scratch, "ck")
+    stream = lambda: finish(stream_worklogs(spark, land_copy, store_root, available_now=True, checkpoint=ck))
+    stream()
+    store = SnapshotStore(spark, store_root)
+    _land_undated(land_copy, "new", 950, None, "2023-04-04T09:00:00.000+0200")
+    _land_undated(land_copy, "edit", 503, "yesterday", "2023-04-04T10:00:00.000+0200")
+    stream()
+    rows = _table(store, "worklog")
+    assert sorted(rows) == [501, 502, 503, 504, 950]
+    assert all(rows[i].date is None and rows[i].month is None and rows[i].timeSpentHours == 2.0 for i in (503, 950))
+    assert rows[501].month == "2023-03"
+    # the undated rows outlive a later batch that rewrites their partition
+    _land_undated(land_copy, "more", 951, "", "2023-04-05T09:00:00.000+0200")
+    _land(land_copy, "dated", 503, "915", "Nora Vale", "2023-05-02T09:00:00.000+0200", 3600, "2023-05-02T10:00:00.000+0200")
+    stream()
+    rows = _table(store, "worklog")
+    assert {i: r.month for i, r in rows.items()} == {
+        501: "2023-03", 502: "2023-03", 503: "2023-05", 504: "2023-03", 950: None, 951: None}
+    assert store.read("worklog").count() == 6
