@@ -27,7 +27,9 @@ class IngestFrames:
     worklog_rows: DataFrame          # P1 output, one row per entry version
     issue_rows: DataFrame            # P2 output, one row per entry version
     missing_issue: DataFrame         # J1 dropped entries (issue not found)
-    bad_ids: DataFrame               # entries whose id is not a number
+    bad_ids: DataFrame               # admitted entries whose id is not a number: none, as the feed's ids are numbers
+    unnumbered: DataFrame            # landed entries whose id is not a number, which no feed can admit
+    missing_entry: DataFrame         # feed rows whose entry (or its edit) has not landed
     orphaned: DataFrame              # sub-tasks whose parent is missing
     feed: DataFrame                  # feed rows admitted by since/cursor
     joined: DataFrame                # entries with issue and parent (J1 + J2)
@@ -35,9 +37,14 @@ class IngestFrames:
 
 def select_new_entries(feed: DataFrame, details: DataFrame, *,
                        since_ms: int | None = None,
-                       max_worklog_id: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """S1 bound + F1 + S2: feed rows to process and their worklog entries."""
+                       max_worklog_id: int | None = None,
+                       pending: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """S1 bound + F1 + S2: feed rows to process and their worklog entries.
+    ``pending``: feed rows that earlier batches admitted but could not write;
+    neither bound applies to them."""
     f = FL.new_worklogs(FL.updates_since(feed, since_ms), max_worklog_id)
+    if pending is not None:
+        f = f.unionByName(pending, allowMissingColumns=True)
     ids = f.select("worklogId")
     entries = (details.withColumn("_wid", X.to_id("id"))
                .join(ids.select(F.col("worklogId").alias("_wid")), "_wid", "left_semi")
@@ -45,6 +52,15 @@ def select_new_entries(feed: DataFrame, details: DataFrame, *,
     return f, entries
 
 
+def feed_missing_entry(feed: DataFrame, details: DataFrame) -> DataFrame:
+    """Feed rows without a landed entry of their id that is as new as the
+    change they tell of. An entry without an update time counts as new."""
+    updated = F.unix_millis(X.parse_instant("updated"))
+    landed = details.select(X.to_id("id").alias("_wid"), updated.alias("_updated"))
+    as_new = F.coalesce(landed["_updated"] >= feed["updatedTime"], F.lit(True))
+    return feed.join(landed, (feed["worklogId"] == landed["_wid"]) & as_new, "left_anti")
+
+
 def with_sequence(entries: DataFrame) -> DataFrame:
     """Version order of an entry: its update instant (ms), then its id."""
     ts = F.coalesce(X.parse_instant("updated"), X.parse_instant("started"))
@@ -54,9 +70,12 @@ def with_sequence(entries: DataFrame) -> DataFrame:
 
 def ingest_frames(feed: DataFrame, details: DataFrame, issue_snapshots: DataFrame, *,
                   since_ms: int | None = None, max_worklog_id: int | None = None,
-                  users: Iterable[str] | DataFrame | None = None) -> IngestFrames:
+                  users: Iterable[str] | DataFrame | None = None,
+                  pending: DataFrame | None = None) -> IngestFrames:
     f, entries = select_new_entries(feed, details, since_ms=since_ms,
-                                    max_worklog_id=max_worklog_id)
+                                    max_worklog_id=max_worklog_id, pending=pending)
+    unnumbered = FL.filter_users(details.where(X.to_id("id").isNull()), users,
+                                 author_col="author.displayName")
     entries = FL.filter_users(entries, users, author_col="author.displayName")
     entries = with_sequence(entries)
     latest = latest_issue_snapshots(issue_snapshots)
@@ -67,6 +86,8 @@ def ingest_frames(feed: DataFrame, details: DataFrame, issue_snapshots: DataFram
         issue_rows=PR.to_parent_issues(joined),
         missing_issue=J.worklogs_missing_issue(entries, latest),
         bad_ids=entries.where(X.to_id("id").isNull()),
+        unnumbered=unnumbered,
+        missing_entry=feed_missing_entry(f, details),
         orphaned=J.orphaned_subtasks(pairs),
         feed=f,
         joined=joined)

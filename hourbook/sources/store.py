@@ -8,6 +8,7 @@ leaf folder, and then publishes a commit record:
     <root>/issue/bucket=17/v=V-<random>/part-*.parquet
     <root>/_commits/version=V/part-*.txt    one JSON line: manifest + cursor
     <root>/_rejects/job=J/part-*.parquet    rows that the jobs did not write
+    <root>/_pending/run=R/part-*.parquet    feed rows that wait for an entry or issue
 
 Version ``V`` is the previous commit's version + 1. The manifest maps every
 live partition to the leaf folder that last wrote it; readers open exactly
@@ -202,19 +203,33 @@ class SnapshotStore:
         counts = self.spark.read.schema(rejects.schema).parquet(path).groupBy("reason").count().collect()
         return {r["reason"]: r["count"] for r in counts}
 
+    def write_pending(self, feed_rows: DataFrame) -> str:
+        """Write feed rows that the next batch admits again; return the name
+        of the run, which the commit record keeps."""
+        run = uuid.uuid4().hex
+        feed_rows.write.parquet(f"{self.root}/_pending/run={run}")
+        return run
+
+    def read_pending(self, commit: dict | None) -> DataFrame | None:
+        """The feed rows that wait as of ``commit`` (None: none do)."""
+        run = (commit or {}).get("pending")
+        return self.spark.read.parquet(f"{self.root}/_pending/run={run}") if run else None
+
     def _raise_if_published(self, version: int) -> None:
         if self._read_record(f"{self._commit_dir()}/version={version}") is not None:
             raise RuntimeError(f"version {version} of {self.root} is published already: another job wrote to this store")
 
     def commit(self, job: str, batch: int, tables: dict[str, tuple[DataFrame, list[str]]],
                cursor: dict | None = None, prev: dict | None = None,
-               rejects: dict[str, int] | None = None) -> dict:
+               rejects: dict[str, int] | None = None, pending: str | None = None) -> dict:
         """Write the touched partitions of each table as the next version,
         then publish the commit record (the only step readers see).
 
         ``tables`` maps a table name to (new content of the touched
-        partitions, touched partition list). Raises if another writer has
-        published this version since ``prev`` was read.
+        partitions, touched partition list). ``pending``: the run of
+        ``write_pending`` that waits from now on ("": none; None: as before).
+        Raises if another writer has published this version since ``prev``
+        was read.
         """
         prev = prev if prev is not None else (self.latest_commit() or {})
         version = 1 if not prev else int(prev["version"]) + 1
@@ -231,7 +246,8 @@ class SnapshotStore:
         jobs[job] = int(batch)
         record = {"version": version, "jobs": jobs, "manifest": manifest,
                   "cursor": cursor if cursor is not None else prev.get("cursor"),
-                  "rejects": rejects or {}}
+                  "rejects": rejects or {},
+                  "pending": pending if pending is not None else prev.get("pending", "")}
         text = self.spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string")
         self._raise_if_published(version)
         text.coalesce(1).write.mode("overwrite").text(f"{self._commit_dir()}/version={version}")

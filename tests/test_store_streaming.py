@@ -288,3 +288,58 @@ def test_entries_without_a_date_are_stored(spark, land_copy, scratch):
     assert {i: r.month for i, r in rows.items()} == {
         501: "2023-03", 502: "2023-03", 503: "2023-05", 504: "2023-03", 950: None, 951: None}
     assert store.read("worklog").count() == 6
+
+
+def _put_aside(path):
+    with open(path) as f:
+        text = f.read()
+    os.remove(path)
+    return text
+
+
+def test_entries_and_snapshots_that_land_late_are_ingested(spark, land_copy, scratch):
+    """A page whose entry, edit or issue lands one batch later loses
+    nothing; the waiting ids are rejects until then."""
+    store_root, ck = os.path.join(scratch, "store"), os.path.join(scratch, "ck")
+    stream = lambda: finish(stream_worklogs(spark, land_copy, store_root, available_now=True, checkpoint=ck))
+    entry = lambda name: os.path.join(land_copy, "worklogs", f"entries-{name}.json")
+    _land(land_copy, "lone", 77, "912", "Nora Vale", "2023-03-01T09:00:00.000+0100", 1800)
+    _land(land_copy, "edit", 503, "915", "Nora Vale", "2023-03-12T10:00:00.000-0500", 7200, "2023-03-20T10:00:00.000+0100")
+    _land(land_copy, "nois", 901, "404", "Nora Vale", "2023-04-03T09:00:00.000+0200", 60)
+    held = {name: _put_aside(entry(name)) for name in ("lone", "edit")}
+    stream()
+    store = SnapshotStore(spark, store_root)
+    assert sorted(_table(store, "worklog")) == [501, 502, 503, 504]
+    assert store.latest_commit()["rejects"] == {"entry missing": 2, "issue missing": 1}
+    for name, text in held.items():
+        with open(entry(name), "w") as f:
+            f.write(text)
+    with open(os.path.join(land_copy, "issues", "404.json"), "w") as f:
+        f.write(json.dumps({"id": "404", "key": "OPS-404", "fields": {
+            "created": "2023-03-01T00:00:00.000+0100", "issuetype": {"name": "Bug"}, "priority": {"name": "Low"},
+            "status": {"name": "Open"}}}))
+    # a tick without any new page
+    run_tracker(spark, land_copy, store_root, ["done"], ticks=1, checkpoint=ck)
+    rows = _table(store, "worklog")
+    assert sorted(rows) == [77, 501, 502, 503, 504, 901] and rows[503].timeSpentHours == 2.0
+    assert 404 in _table(store, "issue") and store.read_pending(store.latest_commit()) is None
+
+
+def test_pending_ids_pass_the_cursor(spark, land_copy, scratch):
+    """an id below the cursor whose entry lands later is still written."""
+    store = SnapshotStore(spark, os.path.join(scratch, "store"))
+    feed, details, issues = _inputs(spark, land_copy)
+    JB.run_ingest(store, feed, details.where("id <> '502'"), issues, batch_id=0)
+    assert store.cursor()["max_worklog_id"] == 504
+    out = JB.run_ingest(store, feed, details, issues, batch_id=1)
+    assert sorted(_table(store, "worklog")) == [501, 502, 503, 504] and out["rejects"] == {}
+
+
+def test_bad_ids_are_rejects(spark, land_copy, scratch):
+    store = SnapshotStore(spark, os.path.join(scratch, "store"))
+    feed, details, issues = _inputs(spark, land_copy)
+    bad = details.where("id = '503'").withColumn("id", F.lit("x3"))
+    out = JB.run_ingest(store, feed, details.unionByName(bad), issues, batch_id=0)
+    assert out["rejects"] == {"bad id": 1}
+    listed = spark.read.parquet(f"{store.root}/_rejects").collect()
+    assert [(r.reason, r.id, r.issue) for r in listed] == [("bad id", "x3", "915")]
