@@ -111,15 +111,26 @@ def positions(df: DataFrame, order: list[Column], size: Column | None = None) ->
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> list[tuple[str, int]]:
-    """(text, label) of at most ``rows_per_class`` labelled rows of each class,
-    chosen by a hash of the id, in a fixed order; texts over ``max_bytes`` are
-    left out.  The ids are chosen from the labels alone, so no text is
-    shuffled, and both bounds limit what reaches the driver."""
+    """(text, label) of at most ``rows_per_class`` labelled rows of each class
+    that ``docs`` holds, chosen by a hash of the id, in a fixed order.  Texts
+    over ``max_bytes`` are left out; a class that has no others gives a window
+    of at most ``max_bytes`` of each, at a place that the hash picks.  The ids
+    are chosen on thin rows, so no text is shuffled, and both bounds limit
+    what reaches the driver."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_label"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    fits = F.octet_length("_text") <= max_bytes
+    lengths = texts.filter(F.col("_id").isNotNull()).groupBy("_id").agg(F.max(fits).alias("_short"))
+    held = stored(known.join(lengths, "_id"), "labelled")
     rows = []
     for value in (0, 1):
-        chosen = known.filter(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(rows_per_class)
-        texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-        found = texts.join(F.broadcast(chosen), "_id").filter(F.octet_length("_text") <= max_bytes)
-        rows += [(r["_id"], r["_text"], value) for r in found.select("_id", "_text").collect()]
+        own = held.filter(F.col("_label") == value)
+        short = own.filter("_short")
+        chosen = (own if short.isEmpty() else short).orderBy(F.xxhash64("_id"), "_id").limit(rows_per_class)
+        found = texts.join(F.broadcast(chosen), "_id").filter(fits | ~F.col("_short"))
+        # A character has four bytes at most.
+        width = max_bytes // 4
+        place = F.pmod(F.xxhash64("_id"), F.greatest(F.length("_text") - width, F.lit(0)) + 1) + 1
+        text = F.when(fits, F.col("_text")).otherwise(F.substring(F.col("_text"), place.cast("int"), F.lit(width)))
+        rows += [(r["_id"], r["_text"], value) for r in found.select("_id", text.alias("_text")).collect()]
     return [(text, value) for _, text, value in sorted(rows)]

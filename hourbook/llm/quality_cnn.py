@@ -11,7 +11,8 @@ the chunk's logit of being bad; the maximum over all chunks is the text's, and
 one sigmoid turns it into one probability of good quality.
 
 Trained on at most ``ROWS_PER_CLASS`` labelled rows of each class, none over
-``MAX_BYTES`` bytes, chosen by a hash of the id.  Labels are of documents: a bad
+``MAX_BYTES`` bytes (windows of longer ones if a class has no others), chosen by a
+hash of the id among those that the documents hold.  Labels are of documents: a bad
 document's worst chunk is pulled up, all chunks of a good one down.  Scoring
 covers whole texts of any length.
 

@@ -13,7 +13,8 @@ document up and all passages of clean documents down, the worst most.  The loss
 of a toxic document is the generalised cross-entropy (1 - p^TRUST) / TRUST,
 which gives up on documents that share no sign with others, as wrongly labelled
 ones do.  Training starts from the n-grams' smoothed log odds.  It uses at most ``ROWS_PER_CLASS`` labelled rows of each class, none over ``MAX_BYTES``
-long, chosen by a hash of the id; scoring covers whole texts of any length.
+long (windows of longer ones if a class has no others), chosen by a hash of the id
+among those that the documents hold; scoring covers whole texts of any length.
 
 Defined results: an empty or null text scores as the softmax's bias alone;
 equal texts score alike; with no labelled rows of both classes all texts

@@ -248,3 +248,19 @@ def test_pipeline_keeps_clean_and_drops_rejected(spark):
     all_ = {r["quality"]: r["count"] for r in docs.join(known, "doc_id").groupBy("quality").count().collect()}
     left = {r["quality"]: r["count"] for r in good}
     assert left[1] >= 0.98 * all_[1] and left.get(0, 0) <= 0.1 * all_[0]
+
+
+def test_sample_is_drawn_from_the_documents_held(spark):
+    """Labels of absent or long documents don't use up the sample, and a class
+    of long documents teaches by windows of them."""
+    from hourbook.llm.common import labelled_sample
+    docs = spark.createDataFrame([(i, f"t{i} " + "ä" * (10 if i % 2 else 500)) for i in range(40)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i // 2 % 2) for i in range(4000)], "doc_id long, toxic int")
+    sample = labelled_sample(docs, marks, "toxic", 8, 100)
+    assert [label for _, label in sample].count(0) == [label for _, label in sample].count(1) == 8
+    assert all(len(text.encode()) <= 100 for text, _ in sample)
+    one_long = marks.withColumn("toxic", (F.col("doc_id") % 2 == 0).cast("int"))
+    sample = labelled_sample(docs, one_long, "toxic", 8, 100)
+    long = [text for text, label in sample if label]
+    assert len(long) == 8 == len(sample) - len(long) and all(0 < len(text.encode()) <= 100 for text in long)
+    assert labelled_sample(docs.limit(0), marks, "toxic", 8, 100) == []
