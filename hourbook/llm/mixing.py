@@ -165,23 +165,24 @@ def mixed_documents(
     words of that run and the white space between them.  A document that is
     drawn whole keeps its text; ``chars_col`` gets the new length."""
     mix = Mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    names = {k: fresh_name(docs, k) for k in ("own_id", "own_null", "own_hash", "own_number", "own_words", "own_run", "own_rows")}
-    own, null, mark, number, words, run, rows = names.values()
+    names = {k: fresh_name(docs, k) for k in ("own_id", "own_null", "own_hash", "own_number", "own_words", "own_run", "own_runs")}
+    own, null, mark, number, words, run, own_runs = names.values()
     keys = lambda id_, hash_, src: [
         F.coalesce(id_.cast("string"), F.lit("")).alias(own), id_.isNull().alias(null), F.xxhash64(hash_, src).alias(mark)]
     sorted_parts = F.sort_array(F.collect_list(F.struct("from_word", "words", "times")))
     by_row = mix.pieces.groupBy("row").agg(sorted_parts.alias("parts"))
     runs = F.concat(*(_runs(F.col("parts"), copy) for copy in range(1, int(options.get("cap", CAP)) + 1)))
     by_row = by_row.select("row", runs.alias("runs"))
-    # Equal rows are told apart by their number among their equals.
+    # Equal rows are told apart by their number among their equals, on both
+    # sides of the join, so that a row meets one other.
     thin = mix.documents.join(by_row.hint("merge"), "row", "left").select(
-        *keys(F.col("doc_id"), F.col("text_hash"), F.col("source")), "row", F.coalesce("runs", F.array()).alias("runs")
+        *keys(F.col("doc_id"), F.col("text_hash"), F.col("source")), "row", F.coalesce("runs", F.array()).alias(own_runs)
     )
-    thin = thin.groupBy(own, null, mark).agg(F.sort_array(F.collect_list(F.struct("row", "runs"))).alias(rows))
+    thin = thin.withColumn(number, F.row_number().over(Window.partitionBy(own, null, mark).orderBy("row"))).drop("row")
     marked = docs.select("*", *keys(F.col(id_col), F.xxhash64(text_col), F.col(source_col)))
     equals = Window.partitionBy(own, null, mark).orderBy(row_hash(docs))
-    joined = marked.withColumn(number, F.row_number().over(equals)).join(thin.hint("merge"), [own, null, mark])
-    unfolded = joined.withColumn(run, F.explode(F.get(F.col(rows), F.col(number) - 1)["runs"]))
+    joined = marked.withColumn(number, F.row_number().over(equals)).join(thin.hint("merge"), [own, null, mark, number])
+    unfolded = joined.withColumn(run, F.explode(own_runs))
     # Each word with the white space after it.
     clean = F.regexp_replace(F.col(text_col), r"^[\x20\x09-\x0D]+", "")
     spaced = F.split(clean, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")

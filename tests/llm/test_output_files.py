@@ -281,3 +281,19 @@ def test_slots_fill_shards_and_no_block_is_drawn_thrice(spark):
     for s in mix.sources.collect():
         blocks = [r["block"] for r in slots if r["rank"] == s["rank"]]
         assert len(blocks) == s["draws"] and all(0 <= b < s["blocks"] for b in blocks)
+
+
+def test_equal_rows_meet_one_by_one(spark):
+    """Many equal rows: as many come out as are drawn, and the join to the
+    drawn runs is by their number too."""
+    docs = spark.createDataFrame([(None, "one two three", "en", "src0", 13)] * 300 + [(1, "four five", "en", "src0", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = mixing.mixed_documents(docs)
+    got = collections.Counter()
+    for r in mixed.select("doc_id", "text").collect():
+        got[r["doc_id"]] += len(SPACE.findall(r["text"]))
+    want = collections.Counter()
+    for r in mixing.Mix(docs).taken().collect():
+        want[r["doc_id"]] += r["taken"]
+    assert +got == +want and want[None] > 0
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join" in line and "own_number#" in line for line in plan.splitlines())
