@@ -1,7 +1,8 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Vectors become 64-bit codes (bit i: element i is positive) and are searched by
-Hamming distance, ties going to the smaller id.
+Vectors of up to 64 elements become 64-bit codes (bit i: element i is positive)
+and are searched by Hamming distance, ties going to the smaller id.  A longer
+vector is an error, as its code would not hold all elements.
 
 Distinct codes are dealt by hash into index blocks of about ``BLOCK_CODES``; each
 distinct query code goes to every block, and blocks are searched apart.  A block
@@ -39,11 +40,14 @@ QUERIES_AT_ONCE = 128
 
 
 def sign_code(vector: Column) -> Column:
-    """The signed long whose bit i says that element i is positive."""
+    """The signed long whose bit i says that element i is positive; raises if
+    there are more than 64."""
     bits = F.transform(
         vector, lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
     )
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    code = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    too_wide = F.concat(F.lit(f"top-k search takes vectors of at most {BITS} elements, not "), F.size(vector).cast("string"))
+    return F.when(F.size(vector) > BITS, F.raise_error(too_wide)).otherwise(code)
 
 
 class BlockIndex:

@@ -151,3 +151,13 @@ def test_top_k_of_few_and_no_rows(spark):
     assert {tuple(r) for r in topk_search.top_k(df, df, 5).collect()} == {(1, 1, 2, 1), (2, 1, 1, 1)}
     assert topk_search.top_k(df.limit(0), df.limit(0), 5).count() == 0
     assert topk_search.top_k(df.limit(0), df, 5).count() == 0
+
+
+def test_vectors_of_more_than_64_elements_are_refused(spark):
+    def pair(width):
+        rows = [(1, [1.0] * width), (2, [1.0] * (width - 1) + [-1.0])]
+        return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    assert {tuple(r) for r in topk_search.top_k(pair(64), pair(64), 1).collect()} == {(1, 1, 2, 1), (2, 1, 1, 1)}
+    with pytest.raises(Exception, match="at most 64 elements, not 65"):
+        topk_search.top_k(pair(65), pair(65), 1).collect()
