@@ -23,7 +23,8 @@ feed.  Inside roles and texts the backslash, ``<`` and ``#`` become ``\\b``, ``\
 Defined results: null texts and roles are empty; a null conversation is one of
 its own; events without place or sequence number come first; of equal (place,
 sequence) the text that sorts first is earlier, and equal rows are messages of
-their own; an empty log gives an empty table; other columns are ignored.
+their own; an event without a kind is a message; an empty log gives an empty
+table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,15 +64,27 @@ def message_events(conversations: DataFrame) -> DataFrame:
 def fold_messages(events: DataFrame) -> DataFrame:
     """conv_id, message_id, copy, role, text: the final messages of a log
     (conv_id, message_id, role, seq, kind, text)."""
+    events = events.withColumn("kind", F.coalesce("kind", F.lit("message")))
     regenerated = events.filter(F.col("kind") == "regenerate").groupBy("conv_id", "message_id").agg(F.max("seq").alias("from_seq"))
     # Places from a regenerated one on lose what came before it: the latest
-    # such number over all places up to the own one, on thin rows.
-    places = events.select("conv_id", "message_id").distinct().withColumn("from_seq", F.lit(None).cast("long"))
-    upto = Window.partitionBy("conv_id").orderBy(F.col("message_id").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = places.unionByName(regenerated.select("conv_id", "message_id", F.col("from_seq").cast("long"))).select(
-        "conv_id", "message_id", F.max("from_seq").over(upto).alias("after")
+    # such number over all places up to the own one, on thin rows of the
+    # conversations that have any: over earlier runs of places by the runs'
+    # maxima, and inside each run.
+    held, own = events.select("conv_id", "message_id").alias("e"), regenerated.select("conv_id").distinct().alias("c")
+    places = held.join(own, F.col("e.conv_id").eqNullSafe(F.col("c.conv_id")), "left_semi").distinct()
+    marks = places.withColumn("from_seq", F.lit(None).cast("long")).unionByName(
+        regenerated.select("conv_id", "message_id", F.col("from_seq").cast("long"))
     )
-    cut = cut.filter("after is not null").distinct()
+    marks = marks.withColumn("run", F.floor(F.col("message_id") / RUN))
+    earlier = Window.partitionBy("conv_id").orderBy(F.col("run").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    runs = marks.groupBy("conv_id", "run").agg(F.max("from_seq").alias("most")).select("conv_id", "run", F.max("most").over(earlier).alias("before"))
+    upto = Window.partitionBy("conv_id", "run").orderBy(F.col("message_id").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = marks.select("conv_id", "message_id", "run", F.max("from_seq").over(upto).alias("own")).distinct().alias("i")
+    in_run = F.col("i.conv_id").eqNullSafe(F.col("r.conv_id")) & F.col("i.run").eqNullSafe(F.col("r.run"))
+    cut = inside.join(runs.filter("before is not null").alias("r"), in_run, "left").select(
+        "i.conv_id", "i.message_id", F.greatest("i.own", "r.before").alias("after")
+    )
+    cut = cut.filter("after is not null")
     e, c = events.filter(F.col("kind") != "regenerate").alias("e"), cut.alias("c")
     same = F.col("e.conv_id").eqNullSafe(F.col("c.conv_id")) & F.col("e.message_id").eqNullSafe(F.col("c.message_id"))
     valid = e.join(c, same, "left").filter("c.after is null or e.seq > c.after").select("e.*")

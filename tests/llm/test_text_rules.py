@@ -264,3 +264,20 @@ def test_sample_is_drawn_from_the_documents_held(spark):
     long = [text for text, label in sample if label]
     assert len(long) == 8 == len(sample) - len(long) and all(0 < len(text.encode()) <= 100 for text in long)
     assert labelled_sample(docs.limit(0), marks, "toxic", 8, 100) == []
+
+
+def test_regenerations_across_runs_and_events_without_a_kind(spark):
+    """A regeneration drops what came before it in all later runs of places;
+    an event without a kind is a message."""
+    rows = [(1, place, "user", place, "message", f"a{place}") for place in range(3 * chat.RUN)]
+    rows += [(1, None, "user", 0, "message", "first"), (1, chat.RUN - 2, None, 10_000, "regenerate", None)]
+    rows += [(1, chat.RUN + 5, "user", 10_001, None, "new"), (2, 0, "user", 1, None, "kept"), (None, 0, "user", 1, "message", "n")]
+    got = {(r["conv_id"], r["message_id"]): r["text"] for r in chat.fold_messages(spark.createDataFrame(rows, EVENT)).collect()}
+    want = {(1, place): f"a{place}" for place in range(chat.RUN - 2)}
+    assert got == want | {(1, None): "first", (1, chat.RUN + 5): "new", (2, 0): "kept", (None, 0): "n"}
+
+
+def test_places_are_sorted_only_where_something_is_regenerated(spark):
+    rows = [(1, place, "user", place, "message", "x") for place in range(4)]
+    plan = chat.fold_messages(spark.createDataFrame(rows, EVENT))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and "run#" in plan
