@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourbook.llm.common import positions, stored
-from hourbook.llm.encoding import worker_encoder
+from hourbook.llm.encoding import slices, worker_encoder
 
 CAPACITY = 4096
 CLASSES = 128
@@ -52,8 +52,7 @@ def pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, size = worker_encoder(tokenizer_path, cut, end_id), 4 * capacity
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, 1):
                 rows = []
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
                     for i in range(0, len(ids), size):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourbook.llm.common import shared_path, stored
-from hourbook.llm.encoding import worker_encoder
+from hourbook.llm.encoding import slices, worker_encoder
 
 SHARD = "part int, name string, docs long, null_ids long, tokens long"
 
@@ -66,8 +66,7 @@ def write_tokens(
         ids_file, off_file, doc_file = files
         off_file.write(np.array([0], "<i8").tobytes())
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
+            for piece in slices(batch, 1):
                 coded = encoder.encode(piece.column(1).to_pylist())
                 ids = np.frombuffer(b"".join(coded), "<u4")
                 ids_file.write(ids.astype(f"<u{width}").tobytes())

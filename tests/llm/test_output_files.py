@@ -22,6 +22,7 @@ ODD = [
     "", " ", "  ", "a  b", "a   b", " a ", "a\n b", "a \nb", "x  y", "don't 's 't.", "<|endoftext|> a<|endoftext|>.", "a\tb c\t d",
     "á ́b é", "日本 語", "a\r\nb  \n c", "12 34 .. ?? 3.14, x", "ΣΑΣ οδΟΣ Σ.", "İ I",
     "<|ENDOFTEXT|> X", "a\x01b", "the. Of\nthe, end.\n\nNew", "(a). [b], c", "e.g. i.e., Mr.X", "%%% a.&&& b", "no!! ab### x*y*z 5% a&b é$$, q.*", "a! <|endoftext|> b!", None,
+    "ÀÉÎ Ÿÿ ßẞ ŉ ǆ ǅ Ǆ ſt K Å", "İstanbul Iı ǰ ΐ", "ÀÉ\u0301 e\u0308x é\u0308", "x×y÷z ªº µ", "it's we'll l's 'S", "ɏɐ ȺȾ Ɂɂ", "foo</w> </w>bar <w/>", "ÿ." * 3,
 ]
 
 
