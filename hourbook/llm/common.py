@@ -61,6 +61,33 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*cols)
 
 
+def join_spread(rows: DataFrame, totals: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` with the columns of ``totals``, which has one row for each key
+    of ``rows`` and in column ``n`` how many rows hold it (dropped).  Both must be
+    stored; null keys are equal.
+
+    A key that holds more than one part in P of all rows, P the number of shuffle
+    partitions, is hot.  There are fewer than P of these, which bounds their
+    broadcast; the rows of all others meet in a shuffle, where none fills a task."""
+    spark = rows.sparkSession
+    total = totals.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > total / max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    table = totals.select(*named, *[c for c in totals.columns if c not in keys])
+
+    def same(other: DataFrame) -> Column:
+        out = F.lit(True)
+        for k in keys:
+            out = out & rows[k].eqNullSafe(other[f"_{k}"])
+        return out
+
+    few, rest = F.broadcast(table.filter(hot)), table.filter(~hot)
+    dropped = [f"_{k}" for k in keys] + [n]
+    often = rows.join(few, same(few)).drop(*dropped)
+    seldom = rows.join(few, same(few), "left_anti")
+    return often.unionByName(seldom.join(rest, same(rest)).drop(*dropped))
+
+
 def positions(df: DataFrame, order: list[Column], size: Column | None = None) -> tuple[DataFrame, int, int]:
     """Number all rows in a total order without a one-task window.
 

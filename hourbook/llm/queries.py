@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourbook.llm import chat, feistel, mixing, packing, quality_cnn, quality_rules, sharding, simhash, token_files, topk_search, toxicity
+from hourbook.llm import (
+    chat, feistel, filter_audit, mixing, oracle, packing, quality_cnn, quality_rules, sharding, simhash, token_files, topk_search, toxicity, url_filters,
+    vector_codes,
+)
 from hourbook.llm.common import documents, held_out, labels
 
 
@@ -72,6 +74,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(documents(spark, sf_dir)).taken()
 
 
+#: host, path and verdict of each rule of the query; urls that none fits are allowed
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+URL_DEFAULT = "allow"
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules, URL_DEFAULT)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vector_codes.compress(rows).drop("label")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 #: CRC-32 of UTF-8 bytes, which DuckDB lacks: a table of 256, then byte by byte.
 _CRC_SQL = """crc_table AS (
     SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS t
@@ -170,8 +197,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_quality_rules,
         op10_mixing,
+        op11_url_filters,
+        op12_vector_codes,
+        op13_filter_audit,
     )
-} | {"pipeline": corpus_pipeline.run}
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": """
@@ -203,4 +233,7 @@ FROM escaped GROUP BY conv_id
 """,
     "op8_sharding": feistel_sql(),
     "op9_quality_rules": quality_rules_sql(),
+    "op11_url_filters": oracle.url_filters_sql(URL_RULES, URL_DEFAULT),
+    "op12_vector_codes": oracle.vector_codes_sql(vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS, vector_codes.SCALE),
+    "op13_filter_audit": oracle.filter_audit_sql(filter_audit.FILTERS),
 }
