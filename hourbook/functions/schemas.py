@@ -135,3 +135,15 @@ SEQ_FIELDS = [_f("_seq_ts", L), _f("_seq_id", L)]
 INSERTED = _f("dateInserted", TS)
 WORKLOG_STORED = T.StructType(WORKLOG.fields + [INSERTED] + SEQ_FIELDS)
 ISSUE_STORED = T.StructType(ISSUE.fields + [INSERTED] + SEQ_FIELDS)
+
+# --- state of the ingest -------------------------------------------------------
+# latest snapshot of each issue, with its version
+SNAPSHOT = T.StructType(RAW_ISSUE.fields + [_f("_snapshot_ts", TS), _f("_snapshot_file", S)])
+# month that each ingested worklog is in (null: its author is filtered out) and
+# the newest update time (ms) of its versions
+PLACE = T.StructType([_f("id", L), _f("month", S), _f("newest", L)])
+# entries that no feed row has named yet, or whose issue or parent (``missing_id``)
+# has not landed; ``seen_at``: when they first came
+WAITING = T.StructType([_f("w", RAW_WORKLOG), _f("reason", S), _f("missing_id", L), _f("seen_at", TS)])
+# feed rows whose entry has not landed
+WANTED = T.StructType([_f("worklogId", L), _f("updatedTime", L), _f("pageUntil", L), _f("seen_at", TS)])

@@ -20,10 +20,10 @@ def _as_struct(df: DataFrame, name: str, keep_prefix: str = "_") -> DataFrame:
     return df.select(F.struct(*body).alias(name), *carry)
 
 
-def issues_with_parent(issues: DataFrame) -> DataFrame:
+def issues_with_parent(issues: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     """Each issue snapshot ``i`` with its parent snapshot ``p``.
 
-    A left self-join on parent id: an issue without a parent gets NULL ``p``
+    A left join on parent id to ``parents`` (default: ``issues``): an issue without a parent gets NULL ``p``
     (and is its own parent in P1/P2); a parent that is missing also gives
     NULL ``p`` and is caught by ``orphaned_subtasks``. Done once per issue,
     so the larger worklog side is shuffled only once (in J1). Issues without
@@ -34,7 +34,7 @@ def issues_with_parent(issues: DataFrame) -> DataFrame:
     i = issues.select(F.struct(*body).alias("i"),
                       X.to_id(F.col("fields.parent.id")).alias("_parent_id"),
                       X.to_id(F.col("id")).alias("_issue_id"))
-    p = issues.select(F.struct(*body).alias("p"), X.to_id(F.col("id")).alias("_pid"))
+    p = (issues if parents is None else parents).select(F.struct(*body).alias("p"), X.to_id(F.col("id")).alias("_pid"))
     sub = i.where(F.col("_parent_id").isNotNull())
     found = sub.join(p, sub["_parent_id"] == p["_pid"], "left").select("i", "p", "_issue_id")
     none = F.lit(None).cast(p.schema["p"].dataType).alias("p")

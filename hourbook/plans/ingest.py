@@ -27,8 +27,7 @@ class IngestFrames:
     worklog_rows: DataFrame          # P1 output, one row per entry version
     issue_rows: DataFrame            # P2 output, one row per entry version
     missing_issue: DataFrame         # J1 dropped entries (issue not found)
-    bad_ids: DataFrame               # admitted entries whose id is not a number: none, as the feed's ids are numbers
-    unnumbered: DataFrame            # landed entries whose id is not a number, which no feed can admit
+    unnumbered: DataFrame            # entries whose id is not a number, which no feed can admit
     missing_entry: DataFrame         # feed rows whose entry (or its edit) has not landed
     orphaned: DataFrame              # sub-tasks whose parent is missing
     feed: DataFrame                  # feed rows admitted by since/cursor
@@ -37,14 +36,9 @@ class IngestFrames:
 
 def select_new_entries(feed: DataFrame, details: DataFrame, *,
                        since_ms: int | None = None,
-                       max_worklog_id: int | None = None,
-                       pending: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """S1 bound + F1 + S2: feed rows to process and their worklog entries.
-    ``pending``: feed rows that earlier batches admitted but could not write;
-    neither bound applies to them."""
+                       max_worklog_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """S1 bound + F1 + S2: feed rows to process and their worklog entries."""
     f = FL.new_worklogs(FL.updates_since(feed, since_ms), max_worklog_id)
-    if pending is not None:
-        f = f.unionByName(pending, allowMissingColumns=True)
     ids = f.select("worklogId")
     entries = (details.withColumn("_wid", X.to_id("id"))
                .join(ids.select(F.col("worklogId").alias("_wid")), "_wid", "left_semi")
@@ -70,10 +64,9 @@ def with_sequence(entries: DataFrame) -> DataFrame:
 
 def ingest_frames(feed: DataFrame, details: DataFrame, issue_snapshots: DataFrame, *,
                   since_ms: int | None = None, max_worklog_id: int | None = None,
-                  users: Iterable[str] | DataFrame | None = None,
-                  pending: DataFrame | None = None) -> IngestFrames:
-    f, entries = select_new_entries(feed, details, since_ms=since_ms,
-                                    max_worklog_id=max_worklog_id, pending=pending)
+                  users: Iterable[str] | DataFrame | None = None) -> IngestFrames:
+    """One run over whole exports (``plans.jobs`` ingests them piece by piece)."""
+    f, entries = select_new_entries(feed, details, since_ms=since_ms, max_worklog_id=max_worklog_id)
     unnumbered = FL.filter_users(details.where(X.to_id("id").isNull()), users,
                                  author_col="author.displayName")
     entries = FL.filter_users(entries, users, author_col="author.displayName")
@@ -85,7 +78,6 @@ def ingest_frames(feed: DataFrame, details: DataFrame, issue_snapshots: DataFram
         worklog_rows=PR.to_worklog_items(joined),
         issue_rows=PR.to_parent_issues(joined),
         missing_issue=J.worklogs_missing_issue(entries, latest),
-        bad_ids=entries.where(X.to_id("id").isNull()),
         unnumbered=unnumbered,
         missing_entry=feed_missing_entry(f, details),
         orphaned=J.orphaned_subtasks(pairs),

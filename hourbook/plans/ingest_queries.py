@@ -33,7 +33,7 @@ def _public(df: DataFrame) -> DataFrame:
     """Drop internal columns (carried order keys, UTC instants)."""
     return df.select(*[c for c in df.columns if not c.startswith("_")
                        and c not in ("started_at", "created_at", "dateInserted",
-                                     "month", "bucket")])
+                                     "month", "block")])
 
 
 def q_read_worklog_updates(spark, sf_dir):

@@ -1,28 +1,19 @@
-"""Versioned Parquet tables with partition-level copy-on-write (K1-K5 writes).
+"""The stored tables: plain Parquet partitions and one pointer (K1-K5 writes).
 
-Parquet has no upsert and Spark cannot overwrite a path it reads, so every
-committed batch ``B`` writes only the partitions it touched, each to a new
-leaf folder, and then publishes a commit record:
+Parquet has no upsert and Spark cannot overwrite a path it reads, so a commit
+writes the new content of the partitions it touched beside the old ones,
 
-    <root>/worklog/month=1997-01/v=V-<random>/part-*.parquet    (month=none: no date)
-    <root>/issue/bucket=17/v=V-<random>/part-*.parquet
-    <root>/_commits/version=V/part-*.txt    one JSON line: manifest + cursor
-    <root>/_rejects/job=J/part-*.parquet    rows that the jobs did not write
-    <root>/_pending/run=R/part-*.parquet    feed rows that wait for an entry or issue
+    <root>/<table>/<column>=<value>/run=<run>/part-*.parquet
 
-Version ``V`` is the previous commit's version + 1. The manifest maps every
-live partition to the leaf folder that last wrote it; readers open exactly
-those, so a half-written version is never visible, and no writer touches
-another one's folders. Each commit also records, per job, the last batch
-(streaming epoch) it applied: a replayed batch that is already committed is
-skipped, and one that crashed before its commit writes new leaf folders. A
-store has one writer at a time (``streaming.jobs.run_tracker`` runs the jobs
-in turn); one that finds its version published already raises.
+and then publishes a record that names the run of every partition, together
+with the cursor and the last batch of each job. Readers open the partitions
+that the newest record names; the others are never copied. Records
+are written in turn to two places, so one is always whole: a crash before the
+record leaves the store as it was, a replayed batch finds itself in it.
 
-Untouched partitions are never copied, so a micro-batch costs its own size
-plus the partitions it lands in, not the table size. Old versions stay on
-storage until removed by an operator's retention job (not part of this
-module).
+Worklogs are partitioned by month. Tables that are looked up by id are
+partitioned by blocks of ids, so a batch opens the blocks of the ids it names.
+A store has one writer at a time (``streaming.jobs.run_tracker``).
 """
 
 from __future__ import annotations
@@ -30,230 +21,111 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hourbook.functions.schemas import ISSUE_STORED, WORKLOG_STORED
+from hourbook.functions import schemas as S
 
-# Hash buckets of the issue table (files per full rewrite);
-# row cap of one written file.
-ISSUE_BUCKETS = 64
+IDS_PER_BLOCK = 100_000
 MAX_RECORDS_PER_FILE = 5_000_000
-# Partition of the rows whose partition value is null (entries without a date).
+# Partition of rows whose partition value is null (entries without a date).
 NO_VALUE = "none"
 
-
-@dataclass(frozen=True)
-class TableSpec:
-    name: str
-    schema: object
-    part_col: str
-    part_expr: object = field(compare=False)     # Callable[[DataFrame], Column]
-    by_id: bool = False                          # partition is a function of id
-
-
-def _month(df: DataFrame) -> Column:
-    return partition_name(F.date_format(F.col("date"), "yyyy-MM"))
+#: table -> (schema, partition column)
+TABLES: dict[str, tuple[T.StructType, str]] = {
+    "worklog": (S.WORKLOG_STORED, "month"),
+    "issue": (S.ISSUE_STORED, "block"),
+    "place": (S.PLACE, "block"),
+    "snapshot": (S.SNAPSHOT, "block"),
+    "waiting": (S.WAITING, "part"),
+    "wanted": (S.WANTED, "part"),
+}
 
 
-def partition_name(value: Column) -> Column:
-    """The folder name of a partition value as ``read`` returns it."""
+def partition_of(name: str) -> Column:
+    """The partition value of a row of table ``name``."""
+    column = TABLES[name][1]
+    if column == "part":
+        return F.lit("all")
+    value = F.date_format("date", "yyyy-MM") if column == "month" else F.floor(F.col("id").cast("long") / IDS_PER_BLOCK).cast("string")
     return F.coalesce(value, F.lit(NO_VALUE))
 
 
-def _bucket(df: DataFrame) -> Column:
-    return F.pmod(F.xxhash64(F.col("id")), F.lit(ISSUE_BUCKETS)).cast("string")
-
-
-TABLES = {
-    "worklog": TableSpec("worklog", WORKLOG_STORED, "month", _month),
-    "issue": TableSpec("issue", ISSUE_STORED, "bucket", _bucket, by_id=True),
-}
-
-
 class SnapshotStore:
-    """The ``worklog`` and ``issue`` tables of one deployment under ``root``."""
+    """The tables of one deployment under ``root``."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
+        self.spark, self.root = spark, root.rstrip("/")
 
-    # --- commits -----------------------------------------------------------------
-    def _commit_dir(self) -> str:
-        return f"{self.root}/_commits"
-
-    def _read_record(self, path: str) -> dict | None:
+    def latest_commit(self) -> dict | None:
+        """The newest record (None: nothing was committed yet)."""
         try:
-            row = self.spark.read.text(path).first()
+            rows = self.spark.read.text(f"{self.root}/_pointer").collect()  # two small rows
         except AnalysisException:
             return None
-        return json.loads(row["value"]) if row is not None and row["value"] else None
-
-    def latest_commit(self) -> dict | None:
-        """The newest commit record (one small row), or None.
+        return max((json.loads(r["value"]) for r in rows if r["value"]), key=lambda c: c["version"], default=None)
 
-        ``_latest`` holds a copy of the newest record; it is written after
-        the record itself, so it can only lag: the next versions are probed
-        until one is missing. Without the hint (first commit, or a crash
-        while it was rewritten) all records are read once.
-        """
-        rec = self._read_record(f"{self.root}/_latest")
-        if rec is None:
-            try:
-                commits = self.spark.read.text(self._commit_dir())
-            except AnalysisException:
-                return None
-            row = commits.agg(F.max_by("value", "version").alias("value")).first()
-            rec = json.loads(row["value"]) if row is not None and row["value"] else None
-            if rec is None:
-                return None
-        while True:
-            nxt = self._read_record(f"{self._commit_dir()}/version={int(rec['version']) + 1}")
-            if nxt is None:
-                return rec
-            rec = nxt
+    def publish(self, prev: dict | None, record: dict) -> dict:
+        """Write ``record`` as the version after ``prev``, the only step that
+        readers see. Raises if another writer published since ``prev`` was read."""
+        version = 1 + (prev or {}).get("version", 0)
+        if ((self.latest_commit() or {}).get("version", 0)) >= version:
+            raise RuntimeError(f"version {version} of {self.root} is published already: another job wrote to this store")
+        record = {**(prev or {}), **record, "version": version}
+        text = self.spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string")
+        text.coalesce(1).write.mode("overwrite").text(f"{self.root}/_pointer/slot={version % 2}")
+        return record
 
-    def applied(self, job: str, commit: dict | None = None) -> int | None:
+    def applied(self, job: str, commit: dict | None) -> int | None:
         """Last batch of ``job`` that is committed (None: never ran)."""
-        c = commit if commit is not None else self.latest_commit()
-        v = (c or {}).get("jobs", {}).get(job)
-        return None if v is None else int(v)
+        return (commit or {}).get("jobs", {}).get(job)
 
     def cursor(self) -> dict | None:
-        c = self.latest_commit()
-        return None if c is None else c.get("cursor")
-
-    # --- reads ---------------------------------------------------------------------
-    def read(self, name: str, commit: dict | None = None,
-             partitions: list[str] | None = None) -> DataFrame | None:
-        """Current content of a table (None before its first commit, or when
-        none of ``partitions`` holds rows). Only the leaf folders of the
-        wanted partitions are listed. Worklogs without a date have a
-        partition of their own; their ``month`` is null."""
-        spec = TABLES[name]
-        commit = commit if commit is not None else self.latest_commit()
-        parts = (commit or {}).get("manifest", {}).get(name) or {}
-        if partitions is not None:
-            wanted = set(partitions)
-            parts = {p: v for p, v in parts.items() if p in wanted}
-        if not parts:
-            return None
+        return (self.latest_commit() or {}).get("cursor")
+
+    def read(self, name: str, commit: dict | None = None, partitions: list[str] | None = None) -> DataFrame | None:
+        """Current content of a table, or of the named partitions (None: no
+        rows). Only the folders of wanted partitions are listed. Worklogs
+        without a date have a partition of their own; their month is null."""
+        schema, column = TABLES[name]
+        live = ((commit if commit is not None else self.latest_commit()) or {}).get("tables", {}).get(name, {})
         base = f"{self.root}/{name}"
-        paths = [f"{base}/{spec.part_col}={p}/v={v}" for p, v in sorted(parts.items())]
-        df = (self.spark.read.schema(spec.schema)
-              .option("basePath", base).parquet(*paths))
-        cols = [f.name for f in spec.schema.fields]
-        part = F.col(spec.part_col).cast("string")
-        return df.select(*cols, F.nullif(part, F.lit(NO_VALUE)).alias(spec.part_col))
-
-    # --- writes --------------------------------------------------------------------
-    def touched_partitions(self, name: str, batch_rows: DataFrame,
-                           stored: DataFrame | None, ids_new: bool = False) -> list[str]:
-        """Partitions a batch lands in, plus partitions of stored rows with
-        the same ids (a worklog whose date moved leaves its old month).
-
-        The stored lookup is skipped when the partition is a function of the
-        id (issue buckets) or when every batch id is known to be new (the F1
-        cursor admits only ids above every stored id), so a batch never
-        scans the whole table. The list is bounded by the partition count.
-        """
-        spec = TABLES[name]
-        keys = batch_rows.select(spec.part_expr(batch_rows).alias("_p"))
-        if stored is not None and not spec.by_id and not ids_new:
-            old = (stored.join(batch_rows.select("id").distinct(), "id", "left_semi")
-                   .select(partition_name(F.col(spec.part_col)).alias("_p")))
-            keys = keys.unionByName(old)
-        return sorted(r["_p"] for r in keys.distinct().collect())
-
-    def write_partitions(self, name: str, content: DataFrame, touched: list[str],
-                         leaf: str) -> dict[str, str]:
-        """Write the new content of the touched partitions to their folders
-        ``leaf``; return {partition: leaf} for those that still hold rows."""
-        spec = TABLES[name]
-        if not touched:
-            return {}
-        cols = [f.name for f in spec.schema.fields]
-        out = (content.select(*cols)
-               .withColumn(spec.part_col, spec.part_expr(content))
-               .where(F.col(spec.part_col).isin(touched))
-               .withColumn("v", F.lit(leaf)))
-        # Rebalanced by partition: small partitions come from one task and
-        # are one file each; AQE splits a partition that holds a large share
-        # of the batch over several tasks (and files are limited in rows).
-        (out.hint("rebalance", spec.part_col)
-         .write.mode("append").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-         .partitionBy(spec.part_col, "v").parquet(f"{self.root}/{name}"))
-        return {p: leaf for p in touched
-                if self._exists(f"{self.root}/{name}/{spec.part_col}={p}/v={leaf}")}
-
-    def _exists(self, path: str) -> bool:
-        """Whether a folder is there, without listing its neighbours."""
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def write_rejects(self, job: str, rejects: DataFrame) -> dict[str, int]:
-        """Append the rows (reason, id, issue) that a job did not write;
-        return how many there are of each reason."""
-        path = f"{self.root}/_rejects/job={job}/run={uuid.uuid4().hex}"
-        rejects.write.parquet(path)
-        counts = self.spark.read.schema(rejects.schema).parquet(path).groupBy("reason").count().collect()
-        return {r["reason"]: r["count"] for r in counts}
-
-    def write_pending(self, feed_rows: DataFrame) -> str:
-        """Write feed rows that the next batch admits again; return the name
-        of the run, which the commit record keeps."""
-        run = uuid.uuid4().hex
-        feed_rows.write.parquet(f"{self.root}/_pending/run={run}")
-        return run
-
-    def read_pending(self, commit: dict | None) -> DataFrame | None:
-        """The feed rows that wait as of ``commit`` (None: none do)."""
-        run = (commit or {}).get("pending")
-        return self.spark.read.parquet(f"{self.root}/_pending/run={run}") if run else None
-
-    def _raise_if_published(self, version: int) -> None:
-        if self._read_record(f"{self._commit_dir()}/version={version}") is not None:
-            raise RuntimeError(f"version {version} of {self.root} is published already: another job wrote to this store")
-
-    def commit(self, job: str, batch: int, tables: dict[str, tuple[DataFrame, list[str]]],
-               cursor: dict | None = None, prev: dict | None = None,
-               rejects: dict[str, int] | None = None, pending: str | None = None) -> dict:
-        """Write the touched partitions of each table as the next version,
-        then publish the commit record (the only step readers see).
-
-        ``tables`` maps a table name to (new content of the touched
-        partitions, touched partition list). ``pending``: the run of
-        ``write_pending`` that waits from now on ("": none; None: as before).
-        Raises if another writer has published this version since ``prev``
-        was read.
-        """
-        prev = prev if prev is not None else (self.latest_commit() or {})
-        version = 1 if not prev else int(prev["version"]) + 1
-        self._raise_if_published(version)
-        leaf = f"{version}-{uuid.uuid4().hex[:12]}"
-        manifest = {k: dict(v) for k, v in prev.get("manifest", {}).items()}
-        for name, (content, touched) in tables.items():
-            written = self.write_partitions(name, content, touched, leaf)
-            parts = manifest.setdefault(name, {})
-            for p in touched:
-                parts.pop(p, None)
-            parts.update(written)
-        jobs = dict(prev.get("jobs", {}))
-        jobs[job] = int(batch)
-        record = {"version": version, "jobs": jobs, "manifest": manifest,
-                  "cursor": cursor if cursor is not None else prev.get("cursor"),
-                  "rejects": rejects or {},
-                  "pending": pending if pending is not None else prev.get("pending", "")}
-        text = self.spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string")
-        self._raise_if_published(version)
-        text.coalesce(1).write.mode("overwrite").text(f"{self._commit_dir()}/version={version}")
-        # the hint for readers, written after the record it copies
-        text.coalesce(1).write.mode("overwrite").text(f"{self.root}/_latest")
-        return record
+        wanted = set(live if partitions is None else partitions)
+        paths = [f"{base}/{column}={p}/run={live[p]}" for p in sorted(live) if p in wanted]
+        if not paths:
+            return None
+        df = self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
+        part = F.nullif(F.col(column).cast("string"), F.lit(NO_VALUE)).alias(column)
+        return df.select(*schema.fieldNames(), part)
+
+    def replace(self, name: str, content: DataFrame, touched: list[str], commit: dict | None) -> tuple[dict, int]:
+        """Write ``content`` as the new rows of the ``touched`` partitions; return
+        the tables as the next record names them, and how many rows were written."""
+        schema, column = TABLES[name]
+        tables = {k: dict(v) for k, v in (commit or {}).get("tables", {}).items()}
+        live, run, base = tables.setdefault(name, {}), uuid.uuid4().hex, f"{self.root}/{name}"
+        out = content.select(*schema.fieldNames(), partition_of(name).alias(column), F.lit(run).alias("run"))
+        # AQE gathers small partitions in one task and splits large ones.
+        writer = out.where(F.col(column).isin(touched)).hint("rebalance", column).write.mode("append")
+        writer.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy(column, "run").parquet(base)
+        for p in touched:
+            live.pop(p, None)
+        try:
+            written = self.spark.read.schema(schema).option("basePath", base).parquet(f"{base}/{column}=*/run={run}")
+            counts = {str(r[column]): r["count"] for r in written.select(F.col(column).cast("string")).groupBy(column).count().collect()}
+        except AnalysisException:  # no row was left to write
+            counts = {}
+        live.update(dict.fromkeys(counts, run))
+        return tables, sum(counts.values())
+
+    def append(self, name: str, rows: DataFrame, job: str) -> DataFrame:
+        """Add rows to a log (``_rejects``); return them as written."""
+        path = f"{self.root}/{name}/job={job}/run={uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -9,19 +9,75 @@ Land layout (one folder per export kind, any number of files):
 Every page in ``feed/`` is processed (D15). Issue snapshots are versioned
 by file modification time, then file name; the latest per id wins.
 
-Files are raw API responses (one JSON document per file, ``multi_line=True``)
-or JSON lines (one record per line, ``multi_line=False``); JSON lines are
-splittable, so large landed files are read by many tasks.
+Files are JSON lines (one record or array per line, splittable) or raw API
+responses (one JSON document per file, ``multi_line=True``). They are read as
+text and parsed here, so that batch reads and streams treat a record that is
+cut off or is not JSON alike: ``malformed`` lists it, and a reader either raises
+(the default) or leaves it out (``on_malformed="drop"``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hourbook.functions import exprs as X
 from hourbook.functions.schemas import FEED_PAGE, RAW_ISSUE, RAW_WORKLOG
 
+#: kind of export -> schema of one record; also the folder's name
+KINDS = {"feed": FEED_PAGE, "worklogs": RAW_WORKLOG, "issues": RAW_ISSUE}
+
+
+def read_lines(spark: SparkSession, path: str, multi_line: bool = False, modified_after: str | None = None) -> DataFrame:
+    """Raw records of landed files as text, with file name and time."""
+    reader = spark.read.option("wholetext", multi_line)
+    if modified_after:
+        reader = reader.option("modifiedAfter", modified_after)  # older files are never opened
+    return with_source(reader.text(path))
+
+
+def with_source(lines: DataFrame) -> DataFrame:
+    return lines.select("value", F.col("_metadata.file_modification_time").alias("_file_ts"), F.col("_metadata.file_name").alias("_file"))
+
+
+def _records(kind: str) -> Column:
+    """The records of a line, null if it is not a record of this kind or a
+    list of them: a record of a feed has values, others have an id."""
+    schema = T.ArrayType(KINDS[kind])
+    found = F.from_json("value", schema, {"mode": "PERMISSIVE", "primitivesAsString": "false"})
+    named = "values" if kind == "feed" else "id"
+    return F.when(F.forall(found, lambda r: r.isNotNull() & r[named].isNotNull()), found)
+
+
+def _blank() -> Column:
+    return F.trim(F.regexp_replace("value", r"\s+", " ")) == ""
+
+
+def parsed(lines: DataFrame, kind: str) -> DataFrame:
+    """Records of ``kind`` with the version of their file; lines that hold
+    none are left out (``malformed`` has them)."""
+    rows = lines.select(F.explode(_records(kind)).alias("r"), "_file_ts", "_file")
+    return rows.select("r.*", F.col("_file_ts").alias("_snapshot_ts"), F.col("_file").alias("_snapshot_file"))
+
+
+def malformed(lines: DataFrame, kind: str) -> DataFrame:
+    """file and value of the lines that are no records of ``kind``; blank ones
+    are nothing, not malformed."""
+    return lines.where(~_blank() & _records(kind).isNull()).select(F.lit(kind).alias("kind"), F.col("_file").alias("file"), "value")
+
+
+def _read(spark: SparkSession, path: str, kind: str, on_malformed: str, multi_line: bool, modified_after: str | None = None) -> DataFrame:
+    lines = read_lines(spark, path, multi_line, modified_after)
+    if on_malformed == "raise":
+        message = F.concat(F.lit(f"malformed record ({kind}) in "), "_file", F.lit(": "), F.substring("value", 1, 200))
+        broken = ~_blank() & _records(kind).isNull()
+        # A filter, so that no later projection can leave the check out.
+        lines = lines.where(F.when(broken, F.raise_error(message).cast("boolean")).otherwise(True))
+    elif on_malformed != "drop":
+        raise ValueError(f"on_malformed is raise or drop, not {on_malformed!r}")
+    return parsed(lines, kind)
+
 
 def feed_rows(pages: DataFrame) -> DataFrame:
     """Flatten feed pages to one row per changed worklog."""
@@ -37,34 +93,26 @@ def feed_rows(pages: DataFrame) -> DataFrame:
 
 
 def read_worklog_updates(spark: SparkSession, path: str,
-                         since_ms: int | None = None, multi_line: bool = False) -> DataFrame:
+                         since_ms: int | None = None, multi_line: bool = False,
+                         on_malformed: str = "raise") -> DataFrame:
     """Feed rows, optionally only those updated at or after ``since_ms``."""
-    pages = spark.read.schema(FEED_PAGE).option("multiLine", multi_line).json(path)
-    rows = feed_rows(pages)
+    rows = feed_rows(_read(spark, path, "feed", on_malformed, multi_line))
     if since_ms is not None and since_ms > 0:
         rows = rows.where(F.col("updatedTime") >= F.lit(int(since_ms)))
     return rows
 
 
-def _reader(spark: SparkSession, schema, modified_after: str | None, multi_line: bool = False):
-    r = spark.read.schema(schema).option("multiLine", multi_line)
-    if modified_after:
-        # file-listing filter: older files are never opened
-        r = r.option("modifiedAfter", modified_after)
-    return r
-
-
 def read_worklog_details(spark: SparkSession, path: str,
                          ids: DataFrame | None = None,
                          modified_after: str | None = None,
-                         multi_line: bool = False) -> DataFrame:
+                         multi_line: bool = False,
+                         on_malformed: str = "raise") -> DataFrame:
     """Raw worklog entries; with ``ids`` (column ``worklogId``) only those.
 
-    Each file is a JSON array (one response); Spark turns every element
-    into a row. Arrays are read whole per file, so files stay response-sized.
+    A record may be an array (one response); every element is a row.
     ``modified_after`` ("YYYY-MM-DDTHH:MM:SS", UTC) skips older files.
     """
-    raw = _reader(spark, RAW_WORKLOG, modified_after, multi_line).json(path)
+    raw = _read(spark, path, "worklogs", on_malformed, multi_line, modified_after).select(*RAW_WORKLOG.fieldNames())
     if ids is not None:
         raw = (raw.withColumn("_wid", X.to_id("id"))
                .join(ids.select(F.col("worklogId").alias("_wid")), "_wid", "left_semi")
@@ -73,14 +121,14 @@ def read_worklog_details(spark: SparkSession, path: str,
 
 
 def read_issues(spark: SparkSession, path: str, modified_after: str | None = None,
-                multi_line: bool = False) -> DataFrame:
+                multi_line: bool = False, on_malformed: str = "raise") -> DataFrame:
     """S3: raw issue snapshots with their version (file time, file name);
     ``modified_after`` skips files landed earlier."""
-    raw = _reader(spark, RAW_ISSUE, modified_after, multi_line).json(path)
-    return raw.select(
-        "*",
-        F.col("_metadata.file_modification_time").alias("_snapshot_ts"),
-        F.col("_metadata.file_name").alias("_snapshot_file"))
+    return _read(spark, path, "issues", on_malformed, multi_line, modified_after)
+
+
+def snapshot_order(snapshots: DataFrame) -> list[str]:
+    return [c for c in ("_snapshot_ts", "_snapshot_file") if c in snapshots.columns]
 
 
 def latest_issue_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -91,12 +139,10 @@ def latest_issue_snapshots(snapshots: DataFrame) -> DataFrame:
     version columns (not read by ``read_issues``) carry no order to choose
     by; they are taken as one per id and returned unchanged.
     """
-    order = [c for c in ("_snapshot_ts", "_snapshot_file") if c in snapshots.columns]
+    order = snapshot_order(snapshots)
     if not order:
         return snapshots
-    cols = [c for c in snapshots.columns]
-    latest = (snapshots.groupBy("id")
-              .agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_s")))
+    latest = snapshots.groupBy("id").agg(F.max_by(F.struct(*snapshots.columns), F.struct(*order)).alias("_s"))
     return latest.select("_s.*")
 
 

@@ -123,10 +123,10 @@ def test_missing_issue_and_orphan(spark, scratch):
     assert fr.issue_rows.count() == 0                          # no issue row with NULL id
     assert [r.id for r in fr.missing_issue.collect()] == ["1"]
     assert fr.orphaned.count() == 1
-    # a non-numeric id is not admitted by the feed and goes to rejects when present
+    # a non-numeric id is not admitted by the feed and is listed
     fr_all = I.ingest_frames(feed.union(spark.createDataFrame([(None, 1)], feed.schema)),
                              details, read_issues(spark, os.path.join(land, "issues")))
-    assert fr_all.bad_ids.count() == 0
+    assert fr_all.worklog_rows.count() == 1 and [r.id for r in fr_all.unnumbered.collect()] == ["x3"]
 
 
 def _stored_issue(spark):

@@ -4,6 +4,7 @@
 import datetime as dt
 import json
 import os
+import shutil
 
 import pytest
 
@@ -64,10 +65,11 @@ def test_partition_copy_on_write(spark, land_copy, scratch):
     """A batch landing in a new month rewrites only that month."""
     store = SnapshotStore(spark, os.path.join(scratch, "store"))
     JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=0)
+    before = store.latest_commit()["tables"]["worklog"]
     _land(land_copy, "b", 601, "915", "Pia Holm", "2023-04-03T09:00:00.000+0200", 3600)
     out = JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=1)
-    manifest = store.latest_commit()["manifest"]
-    assert {k: v.split("-")[0] for k, v in manifest["worklog"].items()} == {"2023-03": "1", "2023-04": "2"}
+    runs = store.latest_commit()["tables"]["worklog"]
+    assert runs["2023-03"] == before["2023-03"] and set(runs) == {"2023-03", "2023-04"}
     assert out["worklog_partitions"] == 1
     iss = _table(store, "issue")
     assert iss[915].developer == "Pia Holm" and iss[910].developer == "Imre Sol"
@@ -156,7 +158,7 @@ def test_stale_writer_fails(spark, land_copy, scratch):
     JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=1)
     rows = _table(store, "worklog")
     with pytest.raises(RuntimeError, match="published already"):
-        store.commit(JB.REFRESH_JOB, 0, {"issue": (store.read("issue", seen), [])}, prev=seen)
+        store.publish(seen, {"jobs": {JB.REFRESH_JOB: 0}})
     assert _table(store, "worklog") == rows
 
 
@@ -165,8 +167,9 @@ def test_rejects_are_written_and_counted(spark, land_copy, scratch):
     _land(land_copy, "e", 901, "404", "Nora Vale", "2023-04-03T09:00:00.000+0200", 60)
     out = JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=0)
     assert out["rejects"] == {"issue missing": 1} == store.latest_commit()["rejects"]
-    snaps = _inputs(spark, land_copy)[2].where("id <> '915'")
-    out = JB.run_refresh(store, snaps, 0, ["done"])
+    # an issue that moved to another key: its stored key has no snapshot any more
+    moved = _inputs(spark, land_copy)[2].where("id = '915'").withColumn("key", F.lit("NEW-7"))
+    out = JB.run_refresh(store, moved.withColumn("_snapshot_ts", F.expr("_snapshot_ts + INTERVAL 1 HOUR")), 0, ["done"])
     assert out["rejects"] == {"snapshot missing": 1}
     listed = spark.read.parquet(f"{store.root}/_rejects").select("job", "reason", "id", "issue").collect()
     assert sorted(map(tuple, listed)) == [("ingest", "issue missing", "901", "404"), ("refresh", "snapshot missing", "915", "OPS-20")]
@@ -200,8 +203,8 @@ def test_two_batches_equal_one(spark, scratch):
     JB.run_ingest(two, feed.where(F.col("worklogId") <= cut), details, issues, batch_id=0)
     JB.run_ingest(two, feed.where(F.col("worklogId") > cut), details, issues, batch_id=1)
     for name in ("worklog", "issue"):
-        a = one.read(name).drop("month", "bucket", "dateInserted")
-        b = two.read(name).drop("month", "bucket", "dateInserted")
+        a = one.read(name).drop("month", "block", "dateInserted")
+        b = two.read(name).drop("month", "block", "dateInserted")
         assert a.count() == b.count() > 0
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
     assert one.cursor()["max_worklog_id"] == two.cursor()["max_worklog_id"]
@@ -242,18 +245,21 @@ def test_refresh_min_age(spark, land_copy, scratch):
     assert iss[910].isResolved and iss[910].dateInserted == t0
 
 
-def test_stale_latest_hint(spark, land_copy, scratch):
-    """The _latest hint may lag (crash after a commit): readers probe forward."""
+def test_crash_while_the_pointer_is_written(spark, land_copy, scratch):
+    """Records go to two places in turn: an unwritten newest one leaves the one before."""
     store = SnapshotStore(spark, os.path.join(scratch, "store"))
     feed, details, issues = _inputs(spark, land_copy)
     JB.run_ingest(store, feed, details, issues, batch_id=0)
-    first = store.latest_commit()
+    first, rows = store.latest_commit(), _table(store, "worklog")
     JB.run_refresh(store, issues, batch_id=0, done_statuses=["done"])
-    assert store.latest_commit()["version"] == 2
-    stale = spark.createDataFrame([(json.dumps(first, sort_keys=True),)], "value string")
-    stale.coalesce(1).write.mode("overwrite").text(os.path.join(store.root, "_latest"))
-    assert store.latest_commit()["version"] == 2
-    assert _table(store, "issue")[910].isResolved
+    assert store.latest_commit()["version"] == 2 and _table(store, "issue")[910].isResolved
+    empty = spark.createDataFrame([], "value string")
+    empty.write.mode("overwrite").text(os.path.join(store.root, "_pointer", "slot=0"))
+    assert store.latest_commit() == first
+    assert _table(store, "worklog") == rows and not _table(store, "issue")[910].isResolved
+    # the batch comes again
+    JB.run_refresh(store, None, batch_id=0, done_statuses=["done"])
+    assert store.latest_commit()["version"] == 2 and _table(store, "issue")[910].isResolved
 
 
 def _land_undated(land, name, wid, started, updated):
@@ -299,7 +305,7 @@ def _put_aside(path):
 
 def test_entries_and_snapshots_that_land_late_are_ingested(spark, land_copy, scratch):
     """A page whose entry, edit or issue lands one batch later loses
-    nothing; the waiting ids are rejects until then."""
+    nothing; what waits is listed once."""
     store_root, ck = os.path.join(scratch, "store"), os.path.join(scratch, "ck")
     stream = lambda: finish(stream_worklogs(spark, land_copy, store_root, available_now=True, checkpoint=ck))
     entry = lambda name: os.path.join(land_copy, "worklogs", f"entries-{name}.json")
@@ -311,18 +317,171 @@ def test_entries_and_snapshots_that_land_late_are_ingested(spark, land_copy, scr
     store = SnapshotStore(spark, store_root)
     assert sorted(_table(store, "worklog")) == [501, 502, 503, 504]
     assert store.latest_commit()["rejects"] == {"entry missing": 2, "issue missing": 1}
+    assert store.read("wanted").count() == 2 and store.read("waiting").count() == 1
     for name, text in held.items():
         with open(entry(name), "w") as f:
             f.write(text)
-    with open(os.path.join(land_copy, "issues", "404.json"), "w") as f:
-        f.write(json.dumps({"id": "404", "key": "OPS-404", "fields": {
-            "created": "2023-03-01T00:00:00.000+0100", "issuetype": {"name": "Bug"}, "priority": {"name": "Low"},
-            "status": {"name": "Open"}}}))
+    _land_issue(land_copy, "404", "OPS-404")
     # a tick without any new page
     run_tracker(spark, land_copy, store_root, ["done"], ticks=1, checkpoint=ck)
     rows = _table(store, "worklog")
     assert sorted(rows) == [77, 501, 502, 503, 504, 901] and rows[503].timeSpentHours == 2.0
-    assert 404 in _table(store, "issue") and store.read_pending(store.latest_commit()) is None
+    assert 404 in _table(store, "issue") and store.read("wanted") is None and store.read("waiting") is None
+
+
+def _land_issue(land, id_, key, parent=None, status="Open", name=None, **fields):
+    stub = {"parent": {"id": parent, "key": f"OPS-{parent}"}} if parent else {}
+    with open(os.path.join(land, "issues", f"{name or id_}.json"), "w") as f:
+        f.write(json.dumps({"id": id_, "key": key, "fields": {
+            "created": "2023-03-01T00:00:00.000+0100", "issuetype": {"name": "Bug"}, "priority": {"name": "Low"},
+            "status": {"name": status}, **stub, **fields}}) + "\n")
+
+
+def _content(store, name):
+    return sorted((tuple(r) for r in store.read(name).drop("dateInserted").collect()), key=repr)
+
+
+def test_exports_in_any_order_give_the_same_tables(spark, land_copy, scratch):
+    """Page, entry, sub-task and parent, each landing one batch after the
+    other in several orders: the tables of all at once (D18: an entry is written
+    without its parent at first, and again with it)."""
+    orders = [("page+entry", "sub-task", "parent"), ("parent", "page+entry", "sub-task"), ("sub-task", "page+entry", "parent")]
+    def land(piece, root):
+        if piece == "page+entry":
+            _land(root, "sub", 77, "404", "Nora Vale", "2023-03-01T09:00:00.000+0100", 1800)
+        elif piece == "sub-task":
+            _land_issue(root, "404", "OPS-404", parent="303")
+        else:
+            _land_issue(root, "303", "OPS-303")
+    wanted = None
+    for i, order in enumerate([None, *orders]):
+        root, ck = os.path.join(scratch, f"land{i}"), os.path.join(scratch, f"ck{i}")
+        shutil.copytree(land_copy, root)
+        store = SnapshotStore(spark, os.path.join(scratch, f"store{i}"))
+        stream = lambda: finish(stream_worklogs(spark, root, store.root, available_now=True, checkpoint=ck))
+        for piece in order or ["page+entry", "sub-task", "parent"]:
+            land(piece, root)
+            if order:
+                stream()
+                if order[2] == "parent" and piece == order[1]:
+                    assert _table(store, "worklog")[77].parentIssueId is None and 303 not in _table(store, "issue")
+                    assert store.read("waiting").first().reason == JB.NO_PARENT
+        if not order:
+            stream()
+        tables = _content(store, "worklog"), _content(store, "issue")
+        wanted = wanted or tables
+        assert tables == wanted, order
+        assert store.read("waiting") is None
+    row = next(r for r in wanted[0] if r[0] == 77)
+    assert 303 in row and 303 in {r[0] for r in wanted[1]}
+
+
+def test_a_batch_reads_what_is_new(spark, land_copy, scratch):
+    """20 batches, one new page, entry and issue each: every batch gets three
+    records and opens one month and one block, whatever landed before."""
+    ck, store = os.path.join(scratch, "ck"), SnapshotStore(spark, os.path.join(scratch, "store"))
+    for kind in ("feed", "worklogs", "issues"):
+        for f in os.listdir(os.path.join(land_copy, kind)):
+            os.remove(os.path.join(land_copy, kind, f))
+    opened, sizes = [], []
+    read = SnapshotStore.read
+    def spy(self, name, commit=None, partitions=None):
+        df = read(self, name, commit, partitions)
+        if df is not None:
+            opened[-1].append((name, len(df.inputFiles())))
+            sizes[-1] += sum(os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles())
+        return df
+    SnapshotStore.read = spy
+    try:
+        for n in range(20):
+            # ids a block apart, each entry in a month of its own
+            issue, wid = 100_000 * (n + 1), 100_000 * (n + 1) + 5
+            _land_issue(land_copy, str(issue), f"OPS-{issue}")
+            _land(land_copy, f"b{n:02d}", wid, str(issue), "Nora Vale", f"20{10 + n}-03-01T09:00:00.000+0100", 1800)
+            opened.append([])
+            sizes.append(0)
+            query = stream_worklogs(spark, land_copy, store.root, available_now=True, checkpoint=ck)
+            finish(query)
+            assert sum(p["numInputRows"] for p in query.recentProgress) <= 3 * 6 and query.lastProgress["sources"].__len__() == 3
+    finally:
+        SnapshotStore.read = read
+    assert len(_table(store, "worklog")) == 20 == len(_table(store, "issue"))
+    assert len(set(map(tuple, opened[1:]))) == 1, opened
+    assert max(sizes[1:]) <= 1.02 * min(sizes[1:]), sizes
+
+
+CUT = '{"id": "950", "issueId": "915", "author": {"displ'
+
+
+def test_records_that_are_cut_off_are_rejects(spark, land_copy, scratch):
+    """A cut page, entry and snapshot are listed, the good lines beside them
+    are ingested, and a batch with a cut page leaves the cursor."""
+    ck, store = os.path.join(scratch, "ck"), SnapshotStore(spark, os.path.join(scratch, "store"))
+    stream = lambda **kw: finish(stream_worklogs(spark, land_copy, store.root, available_now=True, checkpoint=ck, **kw))
+    stream()
+    cursor = store.cursor()
+    _land(land_copy, "good", 950, "915", "Nora Vale", "2023-04-04T09:00:00.000+0200", 3600)
+    for kind, name in (("feed", "page-good.json"), ("worklogs", "entries-good.json"), ("issues", "cut.json")):
+        with open(os.path.join(land_copy, kind, name), "a") as f:
+            f.write(CUT + "\n\n")
+    with pytest.raises(Exception, match="malformed record"):
+        stream(on_malformed="raise")
+    assert store.cursor() == cursor and store.latest_commit()["version"] == 1
+    stream()
+    assert store.latest_commit()["rejects"] == {"malformed feed": 1, "malformed issues": 1, "malformed worklogs": 1}
+    listed = spark.read.parquet(f"{store.root}/_rejects").where("reason like 'malformed%'").collect()
+    assert {(r.reason, r.id) for r in listed} == {("malformed feed", "page-good.json"), ("malformed worklogs", "entries-good.json"), ("malformed issues", "cut.json")}
+    assert all(r.issue == CUT for r in listed)
+    assert 950 in _table(store, "worklog") and store.cursor() == cursor
+    for kind, read in (("feed", read_worklog_updates), ("worklogs", read_worklog_details), ("issues", read_issues)):
+        path = os.path.join(land_copy, kind)
+        with pytest.raises(Exception, match="malformed record"):
+            read(spark, path).count()
+        assert read(spark, path, on_malformed="drop").count() > 0
+
+
+def test_rejects_are_those_of_the_batch_and_end(spark, land_copy, scratch):
+    """What waits is listed once, when it begins to wait and when it is given up."""
+    store = SnapshotStore(spark, os.path.join(scratch, "store"))
+    t0 = dt.datetime(2024, 1, 1)
+    feed, details, issues = _inputs(spark, land_copy)
+    none = feed.limit(0), details.limit(0), issues.limit(0)
+    lost = spark.createDataFrame([(7, 1)], "worklogId long, updatedTime long")
+    stray = details.where("id = '503'").withColumn("id", F.lit("88"))
+    first = JB.run_ingest(store, feed.unionByName(lost, allowMissingColumns=True), details.unionByName(stray).unionByName(
+        details.where("id = '503'").withColumn("id", F.lit("x3"))), issues.where("id <> '912'"), 0, inserted_at=t0, admit_edits=True)
+    assert first["rejects"] == {"bad id": 1, "entry missing": 1, "parent missing": 1}
+    again = JB.run_ingest(store, feed.where("worklogId = 501"), none[1], none[2], 1, inserted_at=t0 + dt.timedelta(days=1), admit_edits=True)
+    assert again["rejects"] == {} and again["account"]["entries_carried"] == 1 and again["account"]["feed_waiting"] == 1
+    late = JB.run_ingest(store, feed.where("worklogId = 501"), none[1], none[2], 2, inserted_at=t0 + dt.timedelta(days=121), admit_edits=True)
+    assert late["rejects"] == {"expired": 2}
+    assert store.read("waiting") is None and store.read("wanted") is None
+
+
+def test_accounts_add_up(spark, land_copy, scratch):
+    store = SnapshotStore(spark, os.path.join(scratch, "store"))
+    feed, details, issues = _inputs(spark, land_copy)
+    extra = details.where("id = '503'")
+    details = details.unionByName(extra.withColumn("id", F.lit("x"))).unionByName(extra.withColumn("id", F.lit("900"))).unionByName(extra.withColumn("id", F.lit("900")))
+    rows = [JB.run_ingest(store, feed, details.where("id <> '502'"), issues.where("id <> '910'"), 0, users=["Nora Vale", "imre sol"])["account"],
+            JB.run_ingest(store, feed.limit(0), details.where("id = '502'"), issues.where("id = '910'"), 1, users=["Nora Vale"])["account"]]
+    assert store.latest_commit()["accounts"]["entries_written"] == sum(r["entries_written"] for r in rows)
+    for r in rows:
+        ends = ("written", "filtered", "skipped", "rejected", "repeated", "expired", "waiting")
+        assert r["entries_read"] + r["entries_carried"] == sum(r[f"entries_{e}"] for e in ends), r
+    assert (rows[0]["entries_read"], rows[0]["entries_written"], rows[0]["entries_waiting"], rows[0]["entries_repeated"]) == (6, 1, 3, 1)
+    assert rows[1]["entries_filtered"] == 2 and rows[1]["entries_written"] == 1
+
+
+def test_unreadable_resolution_date(spark, land_copy, scratch):
+    """A resolution date that is no time leaves the issue unresolved and is listed."""
+    store = SnapshotStore(spark, os.path.join(scratch, "store"))
+    feed, details, issues = _inputs(spark, land_copy)
+    odd = issues.withColumn("fields", F.when(F.col("id") == "912", F.col("fields").withField("resolutiondate", F.lit("soon"))).otherwise(F.col("fields")))
+    out = JB.run_ingest(store, feed, details, odd, 0)
+    assert out["rejects"] == {"resolution date is no time": 1}
+    row = _table(store, "issue")[912]
+    assert not row.isResolved and row.resolvedDate is None and row.daysToResolve == 0
 
 
 def test_pending_ids_pass_the_cursor(spark, land_copy, scratch):
