@@ -17,6 +17,18 @@ from hourbook.streaming.jobs import finish, refresh_resolutions, run_tracker, st
 from hourbook.operators import aggregates as A
 
 
+@pytest.fixture(autouse=True, scope="module")
+def small_plans(spark):
+    """Batches of a few rows: compiling their plans would take most of the time."""
+    own = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _inputs(spark, land):
     return (read_worklog_updates(spark, os.path.join(land, "feed")),
             read_worklog_details(spark, os.path.join(land, "worklogs")),
