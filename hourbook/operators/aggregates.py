@@ -123,24 +123,22 @@ def developer_day_grid(worklog: DataFrame, start, stop) -> DataFrame:
     """Complete developer x day grid, missing cells 0.0.
 
     Developers = authors with rows in [start, stop]; days = one per whole
-    day between start and stop (the stop day itself has no cell, D10). Each
-    developer row is expanded by ``explode(sequence)`` over the bounded day
-    list and left-joined to the long form on (developer, day).
+    day between start and stop (the stop day itself has no cell, D10). The long
+    form is gathered by developer, no more cells than the range has days, and
+    the days that are missing are added, so the table is read and aggregated
+    once.
     """
     days = _grid_days(start, stop)
     long = worklogs_per_dev_day(worklog, start, stop)
-    devs = long.select("developer").distinct()
     if not days:
         return long.where(F.lit(False))
-    first, last = days[0].isoformat(), days[-1].isoformat()
-    grid = devs.select(
-        "developer",
-        F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"),
-                             F.expr("INTERVAL 1 DAY"))).alias("day"))
-    return (grid.join(long, ["developer", "day"], "left")
-            .select("developer", "day",
-                    X.zero_if_null(F.col("timeSpentHrs")).cast("double")
-                    .alias("timeSpentHrs")))
+    first, last = (F.lit(d.isoformat()).cast("date") for d in (days[0], days[-1]))
+    cell = F.struct("day", X.zero_if_null(F.col("timeSpentHrs")).cast("double").alias("timeSpentHrs"))
+    own = long.groupBy("developer").agg(F.collect_list(cell).alias("own"))
+    missing = F.array_except(F.sequence(first, last, F.expr("INTERVAL 1 DAY")), F.transform("own", lambda c: c["day"]))
+    added = F.transform(missing, lambda d: F.struct(d.alias("day"), F.lit(0.0).alias("timeSpentHrs")))
+    inside = F.filter("own", lambda c: (c["day"] >= first) & (c["day"] <= last))
+    return own.select("developer", F.inline(F.concat(inside, added)))
 
 
 # A5 -----------------------------------------------------------------------------
@@ -212,18 +210,29 @@ def with_average_row(df: DataFrame, columns: Sequence[str], label_col: str,
     places; other columns are NULL.
 
     The report values have 2 places, so the mean is taken in integer cents
-    (exact, independent of summation order). The report is small (one row
-    per group) and the footer is a global partial aggregate.
+    (exact, independent of summation order). Rows and footer are two grouping
+    sets over the report, which is computed once; a row of its own, left out
+    afterwards, gives an empty report its footer.
     """
-    sums = []
+    plain = df.columns
+    none = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in plain]
+    rows = df.withColumn("_seed", F.lit(False)).unionByName(df.sparkSession.range(1).select(*none, F.lit(True).alias("_seed")))
+    sums = [F.count(F.lit(1)).alias("_rows"), F.grouping("_seed").alias("_footer")]
     for i, c in enumerate(columns):
-        cents = F.round(F.col(c) * 100).cast("long")
-        sums += [F.sum(cents).alias(f"_s{i}"), F.count(F.col(c)).alias(f"_n{i}")]
-    means = [F.expr(f"CASE WHEN _n{i} > 0 THEN signum(_s{i}) * "
-                    f"((2 * abs(_s{i}) + _n{i}) div (2 * _n{i})) / 100.0 END").alias(c)
-             for i, c in enumerate(columns)]
-    footer = df.agg(*sums).select(*means).withColumn(label_col, F.lit(label))
-    return df.unionByName(footer, allowMissingColumns=True)
+        cents = F.round(F.col(f"_c{i}") * 100).cast("long")
+        sums += [F.sum(cents).alias(f"_s{i}"), F.count(F.col(f"_c{i}")).alias(f"_n{i}")]
+    keys = [*plain, "_seed"]
+    # The measured columns twice: as keys, which the footer does not have, and as values.
+    grouped = rows.select(*keys, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)]).groupingSets([keys, []], *keys).agg(*sums)
+    means = {c: F.expr(f"CASE WHEN _n{i} > 0 THEN signum(_s{i}) * "
+                       f"((2 * abs(_s{i}) + _n{i}) div (2 * _n{i})) / 100.0 END")
+             for i, c in enumerate(columns)}
+    means[label_col] = F.lit(label)
+    out = grouped.where("_footer = 1 or not _seed").select(
+        *[F.when(F.col("_footer") == 1, means[c]).otherwise(F.col(c)).alias(c) if c in means else F.col(c) for c in plain],
+        F.when(F.col("_footer") == 1, 1).otherwise(F.col("_rows")).cast("int").alias("_times"))
+    # rows that the report holds several times
+    return out.withColumn("_times", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).drop("_times")
 
 
 # A8, A9 -----------------------------------------------------------------------------
@@ -231,7 +240,8 @@ def _week_before(worklog: DataFrame, as_of) -> DataFrame:
     """Rows of the Monday-Sunday week that contains as_of - 7 days."""
     ws = R.iso_week_start(R.as_datetime(as_of) - dt.timedelta(days=7))
     we = ws + dt.timedelta(days=7)
-    return worklog.where((F.col("date") >= ts_lit(ws)) & (F.col("date") < ts_lit(we)))
+    rows = in_date_range(worklog, "date", ws, we)
+    return rows.where(F.col("date") < ts_lit(we))
 
 
 def worklogs_per_weekday(worklog: DataFrame, as_of) -> DataFrame:

@@ -52,17 +52,17 @@ def filter_users(df: DataFrame, users: Iterable[str] | DataFrame | None,
 
     No names at all keep everything, given as a list or as a DataFrame. A
     list is tested in place, whatever its length; a DataFrame of names
-    (first column) becomes a ``left_semi`` join on the lower-cased name,
-    which is the form for names that don't fit a query text.
+    (first column) becomes a join on the lower-cased name beside a count of
+    the names, which is the form for names that don't fit a query text. No
+    job runs while the plan is built.
     """
     if users is None:
         return df
     if isinstance(users, DataFrame):
-        if users.isEmpty():
-            return df
         names = users.select(F.lower(F.col(users.columns[0])).alias("_user")).distinct()
-        return (df.withColumn("_user", F.lower(F.col(author_col)))
-                .join(names, "_user", "left_semi").drop("_user"))
+        none = users.agg(F.count(F.lit(1)) == 0).scalar()
+        listed = df.withColumn("_user", F.lower(F.col(author_col))).join(names.withColumn("_listed", F.lit(True)), "_user", "left")
+        return listed.where(F.col("_listed") | none).drop("_user", "_listed")
     users = list(users)
     return df.where(X.lower_in(author_col, users)) if users else df
 

@@ -58,7 +58,10 @@ def q_read_worklog_details(spark, sf_dir):
 
 def q_read_issues(spark, sf_dir):
     """S3: latest snapshot per issue, flattened."""
-    latest = latest_issue_snapshots(B.raw_issues(spark, sf_dir))
+    return flat_issues(latest_issue_snapshots(B.raw_issues(spark, sf_dir)))
+
+
+def flat_issues(latest: DataFrame) -> DataFrame:
     return latest.select("id", "key", F.col("fields.parent.id").alias("parentId"),
                          F.col("fields.status.name").alias("status"),
                          F.col("fields.created").alias("created"),
@@ -337,7 +340,16 @@ def q_apply_issue_updates(spark, sf_dir):
     return _public(_refresh(spark, sf_dir).issue)
 
 
+def q_merge_resolution_or_date(spark, sf_dir):
+    """P3 with ``or_resolution_date``: issues stored before they were resolved
+    are refreshed by their resolution date alone."""
+    from hourbook.plans.refresh import refresh_frames
+    stored = B.bound_issue(spark, sf_dir).withColumn("isResolved", F.lit(False))
+    return _public(refresh_frames(stored, B.raw_issues(spark, sf_dir), (), or_resolution_date=True).updates)
+
+
 REFRESH_QUERIES = {
+    "merge_resolution_or_date": q_merge_resolution_or_date,
     "refresh_unresolved": q_refresh_unresolved,
     "merge_resolution": q_merge_resolution,
     "apply_issue_updates": q_apply_issue_updates,
@@ -347,7 +359,8 @@ REFRESH_QUERIES = {
 def refresh_sql() -> dict[str, str]:
     from hourbook.plans.oracle import ISSUE_CTE
     cte = f"WITH {ISSUE_CTE},\n{RAW_CTE}"
-    merged = f"""
+    def merge(test: str) -> str:
+        return f"""
 merged AS (
   SELECT s.id, s.key, r.type, r.summary, r.priority, r.status, s.createDate,
          coalesce(r.resolution, lpo2.change) AS updateDate,
@@ -363,8 +376,10 @@ merged AS (
   JOIN ri r ON r.key = s.key
   JOIN (SELECT o.o_orderkey AS oid, coalesce(lpo.last_ship, o.o_orderdate) AS change
         FROM orders o LEFT JOIN lpo ON lpo.l_orderkey = o.o_orderkey) lpo2 ON lpo2.oid = r.id
-  WHERE NOT s.isResolved AND lower(r.status) IN ('p'))"""
+  WHERE {test})"""
+    merged = merge("NOT s.isResolved AND lower(r.status) IN ('p')")
     return {
+        "merge_resolution_or_date": f"{cte},{merge('r.resolution IS NOT NULL')}\nSELECT {IS_COLS} FROM merged",
         "refresh_unresolved": f"""{cte}
 SELECT s.id, s.key, r.status AS snapshotStatus
 FROM issue s JOIN ri r ON r.key = s.key WHERE NOT s.isResolved""",

@@ -142,6 +142,13 @@ WHERE {between("updateDate", P.ALL_START, P.ALL_STOP)}
 GROUP BY developer"""
 
 
+def a3_days(group: str, first: str, last: str) -> str:
+    col = WORKLOG_GROUP_COL[group]
+    return with_worklog(f"""
+SELECT {col} AS groupBy, {dec_sum("timeSpentHours")} AS timeSpentHrs FROM worklog
+WHERE CAST(date AS DATE) BETWEEN DATE '{first}' AND DATE '{last}' GROUP BY {col}""")
+
+
 def a3_sql(group: str, start=P.ALL_START, stop=P.ALL_STOP) -> str:
     col = WORKLOG_GROUP_COL[group]
     return with_worklog(f"""
@@ -314,6 +321,22 @@ def report_sql() -> dict[str, str]:
             f"SELECT id, author, date FROM worklog WHERE date >= "
             f"{sql_ts(R.midnight(P.AS_OF_NEW_YEAR) - dt.timedelta(days=35))}"),
         "preset_range": a3_sql("type", s_last_month, e_last_month),
+        # days written out, not computed by the functions they check; as_of is Wednesday, 8 January 1997
+        "preset_range_yesterday": a3_days("type", "1997-01-07", "1997-01-07"),
+        "preset_range_this_week": a3_days("type", "1997-01-06", "1997-01-12"),
+        "preset_range_last_week": a3_days("type", "1996-12-30", "1997-01-05"),
+        "preset_range_this_month": a3_days("type", "1997-01-01", "1997-01-31"),
+        "explicit_range": with_worklog(f"""
+SELECT parentIssueType AS groupBy, {dec_sum("timeSpentHours")} AS timeSpentHrs FROM worklog
+WHERE date BETWEEN TIMESTAMP '1996-12-30 00:00:00' AND TIMESTAMP '1997-01-06 00:00:00' GROUP BY parentIssueType"""),
+        "filter_users_table": with_worklog(
+            "SELECT id, author, timeSpentHours FROM worklog WHERE author IN (SELECT s_name FROM supplier "
+            f"JOIN nation ON s_nationkey = n_nationkey WHERE n_name = '{P.USERS_OF_NATION}')"),
+        "non_resolved_issues_min_age": with_issue(
+            "SELECT id, key FROM issue WHERE NOT isResolved AND createDate <= TIMESTAMP '1996-12-09 00:00:00'"),
+        "issue_accuracy_unestimated": with_issue(f"""
+SELECT developer, count(*) AS count, {ACCURACY_EXPR} AS accuracy FROM issue
+WHERE {between("updateDate", P.ALL_START, P.ALL_STOP)} AND isResolved GROUP BY developer"""),
         "api_default_range": a3_sql("weekday", s_api, e_api),
         "issue_accuracy": with_issue(a2_body()),
         "issue_accuracy_with_average": with_issue(f"""

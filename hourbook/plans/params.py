@@ -25,6 +25,10 @@ GRID_STOP = dt.datetime(1997, 4, 1)
 # Open-issue age threshold of R1, in days.
 OPEN_OLDER_THAN_DAYS = 90
 
+# Names of the user table of F3; first day of an explicit range.
+USERS_OF_NATION = "FRANCE"
+EXPLICIT_START = "1996-12-30"
+
 
 def sql_ts(value: dt.datetime) -> str:
     """DuckDB timestamp literal."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hourbook.functions import ranges as R
 from hourbook.operators import aggregates as A
@@ -16,7 +17,7 @@ from hourbook.operators import filters as FL
 from hourbook.operators.projections import validate_issue_group, validate_worklog_group
 from hourbook.plans import params as P
 from hourbook.sources.binding import bound_issue, bound_worklog
-from hourbook.sources.tables import scan_issues, scan_worklogs
+from hourbook.sources.tables import read_table, scan_issues, scan_worklogs
 
 
 # Columns each report reads; the binding joins only what they need.
@@ -74,6 +75,41 @@ def q_filter_users(spark, sf_dir):
         "id", "author", "timeSpentHours")
 
 
+def q_filter_users_table(spark, sf_dir):
+    """F3 with a table of names: the suppliers of one nation, in capitals."""
+    supplier, nation = (read_table(spark, sf_dir, t) for t in ("supplier", "nation"))
+    own = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).where(F.col("n_name") == P.USERS_OF_NATION)
+    wl = _wl(spark, sf_dir, ("id", "author", "timeSpentHours"))
+    return FL.filter_users(wl, own.select(F.upper("s_name").alias("name"))).select("id", "author", "timeSpentHours")
+
+
+def q_non_resolved_issues_min_age(spark, sf_dir):
+    """F5 with ``min_age``: created (taken as inserted) at least 30 days ago."""
+    issues = _is(spark, sf_dir, ("id", "key", "isResolved", "createDate"))
+    aged = issues.withColumn("dateInserted", F.col("createDate").cast("timestamp"))
+    return FL.non_resolved_issues(aged, min_age="30 days", as_of=P.AS_OF).select("id", "key")
+
+
+def _preset(name):
+    def query(spark, sf_dir):
+        start, stop = R.preset_range(name, P.AS_OF)
+        return A.worklogs_group_by(_wl(spark, sf_dir, ("date", "parentIssueType", "timeSpentHours")), "type", start, stop)
+    query.__doc__ = f"F9: hours by type, {name.replace('_', ' ')}."
+    return query
+
+
+def q_explicit_range(spark, sf_dir):
+    """F9 with a first day only: one week from it."""
+    start, stop = R.explicit_range(P.EXPLICIT_START, None, P.AS_OF)
+    return A.worklogs_group_by(_wl(spark, sf_dir, ("date", "parentIssueType", "timeSpentHours")), "type", start, stop)
+
+
+def q_issue_accuracy_unestimated(spark, sf_dir):
+    """A2 with issues that have no estimate."""
+    cols = ("updateDate", "isResolved", "aggregateTimeOriginalEstimate", "aggregateTimeSpent", "developer")
+    return A.issue_accuracy(_is(spark, sf_dir, cols), P.ALL_START, P.ALL_STOP, include_unestimated=True)
+
+
 def q_recent_weeks(spark, sf_dir):
     return FL.recent_weeks(_wl(spark, sf_dir, ("id", "author", "date")), P.AS_OF_NEW_YEAR).select(
         "id", "author", "date")
@@ -223,6 +259,11 @@ REPORT_QUERIES = {
     "filter_users": q_filter_users,
     "recent_weeks": q_recent_weeks,
     "preset_range": q_preset_range,
+    **{f"preset_range_{name}": _preset(name) for name in ("yesterday", "this_week", "last_week", "this_month")},
+    "explicit_range": q_explicit_range,
+    "filter_users_table": q_filter_users_table,
+    "non_resolved_issues_min_age": q_non_resolved_issues_min_age,
+    "issue_accuracy_unestimated": q_issue_accuracy_unestimated,
     "api_default_range": q_api_default_range,
     "issues_grouped_by_developer": _a1("developer"),
     "issues_grouped_by_type": _a1("type"),
