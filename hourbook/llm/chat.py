@@ -115,39 +115,29 @@ def render(messages: DataFrame) -> DataFrame:
     parts = messages.select(
         "conv_id",
         F.floor(F.col("message_id") / RUN).alias("run"),
-        F.struct(
-            F.col("message_id"),
-            F.col("copy"),
-            F.concat(head, body, F.lit(CLOSE)).alias("text"),
-            F.when(F.col("role") == ASSISTANT, F.length(head).cast("long")).alias("from"),
-            F.length(body).cast("long").alias("n"),
-        ).alias("m"),
+        "message_id",
+        "copy",
+        F.concat(head, body, F.lit(CLOSE)).alias("text"),
+        F.when(F.col("role") == ASSISTANT, F.length(head).cast("long")).alias("from"),
+        F.length(body).cast("long").alias("n"),
     )
-    runs = parts.groupBy("conv_id", "run").agg(F.sort_array(F.collect_list("m")).alias("ms")).select("conv_id", "run", *_joined("ms", False))
-    whole = runs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("run", "text", "spans"))).alias("rs"))
-    return whole.select("conv_id", *_joined("rs", True)).withColumnRenamed("text", "formatted").withColumnRenamed("spans", "loss_spans")
-
-
-def _joined(column: str, runs: bool) -> list[Column]:
-    """The texts of an array in order, and their spans moved by what precedes."""
-    parts = F.col(column)
-    span = "array<struct<start:bigint,end:bigint>>"
-
-    def own(x: Column) -> Column:
-        if runs:
-            return x["spans"]
-        one = F.array(F.struct(x["from"].alias("start"), (x["from"] + x["n"]).alias("end"))).cast(span)
-        return F.when(x["from"].isNotNull(), one).otherwise(F.array().cast(span))
-
-    def add(state: Column, x: Column) -> Column:
-        moved = F.transform(own(x), lambda s: F.struct((s["start"] + state["at"]).alias("start"), (s["end"] + state["at"]).alias("end")))
-        return F.struct((state["at"] + F.length(x["text"])).alias("at"), F.concat(state["spans"], moved).alias("spans"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span).alias("spans"))
-    return [
-        F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"),
-        F.aggregate(parts, start, add, lambda s: s["spans"]).alias("spans"),
-    ]
+    # Places are sums over the messages before, inside a run and then over runs,
+    # so nothing is built up message by message.
+    earlier = Window.partitionBy("conv_id", "run").orderBy("message_id", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.col("from") + F.coalesce(F.sum(F.length("text").cast("long")).over(earlier), F.lit(0).cast("long"))
+    message = F.struct("message_id", "copy", "text", own.alias("start"), (own + F.col("n")).alias("end"))
+    runs = parts.select("conv_id", "run", message.alias("m")).groupBy("conv_id", "run").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    spans = F.transform(F.filter("ms", lambda m: m["start"].isNotNull()), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
+    runs = runs.select("conv_id", "run", F.array_join(F.transform("ms", lambda m: m["text"]), "").alias("text"), spans.alias("spans"))
+    before = Window.partitionBy("conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    moved = F.coalesce(F.sum(F.length("text").cast("long")).over(before), F.lit(0).cast("long"))
+    whole = runs.select("conv_id", F.struct("run", "text", moved.alias("at"), "spans").alias("r")).groupBy("conv_id").agg(
+        F.sort_array(F.collect_list("r")).alias("rs")
+    )
+    shifted = F.transform(
+        "rs", lambda r: F.transform(r["spans"], lambda s: F.struct((s["start"] + r["at"]).alias("start"), (s["end"] + r["at"]).alias("end")))
+    )
+    return whole.select("conv_id", F.array_join(F.transform("rs", lambda r: r["text"]), "").alias("formatted"), F.flatten(shifted).alias("loss_spans"))
 
 
 def format_chats(events: DataFrame) -> DataFrame:
@@ -164,32 +154,25 @@ def digests(chats: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and
     formatted_chars, all read back from ``formatted`` and ``loss_spans``."""
 
-    def told(t: Column) -> Column:
-        at = F.instr(t, "\n")
-        role = F.substring(t, F.lit(len(OPEN) + 1), at - len(OPEN) - 1)
-        return F.concat(unescape_role(role), F.lit("\n"), unescape(F.substring(t, at + 1, F.length(t))), F.lit("\n"))
-
-    # Spans and turns are walked together, so each span is cut out of its turn
-    # and not out of the whole conversation.
-    def walk(state: Column, t: Column) -> Column:
-        span = F.get(F.col("loss_spans"), state["next"])
-        end = state["at"] + F.length(t) + len(CLOSE)
-        inside = F.coalesce(span["end"] <= end, F.lit(False))
-        text = unescape(F.substring(t, (span["start"] - state["at"] + 1).cast("int"), (span["end"] - span["start"]).cast("int")))
-        return F.struct(
-            end.alias("at"),
-            (state["next"] + F.when(inside, 1).otherwise(0)).alias("next"),
-            F.when(inside, F.concat(state["lost"], F.array(text))).otherwise(state["lost"]).alias("lost"),
-        )
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("next"), F.array().cast("array<string>").alias("lost"))
-    read = chats.withColumn("turns", parse(F.col("formatted")))
+    turns = chats.select("conv_id", F.posexplode(parse(F.col("formatted"))).alias("pos", "t"))
+    earlier = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("t").cast("long") + len(CLOSE)).over(earlier), F.lit(0).cast("long"))
+    nl = F.instr("t", "\n")
+    # A turn's text starts behind its first line; so does the span of it, if it has one.
+    turns = turns.select("conv_id", "pos", "t", (at + nl).alias("start")).alias("t")
+    spans = chats.select("conv_id", F.explode("loss_spans").alias("s")).select("conv_id", "s.start", "s.end").alias("s")
+    met = turns.join(spans, F.col("t.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("t.start") == F.col("s.start")), "left")
+    role = F.substring(F.col("t"), F.lit(len(OPEN) + 1), nl - len(OPEN) - 1)
+    told = F.concat(unescape_role(role), F.lit("\n"), unescape(F.substring(F.col("t"), nl + 1, F.length("t"))), F.lit("\n"))
+    lost = unescape(F.substring(F.col("t"), nl + 1, (F.col("s.end") - F.col("t.start")).cast("int")))
+    part = F.struct("pos", told.alias("told"), F.coalesce(lost, F.lit("")).alias("lost"), (F.length("t") + len(CLOSE)).cast("long").alias("n"))
+    read = met.select(F.col("t.conv_id").alias("conv_id"), part.alias("p")).groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
     read = read.select(
         "conv_id",
-        F.length("formatted").cast("long").alias("formatted_chars"),
-        F.size("turns").cast("long").alias("n_turns"),
-        F.array_join(F.transform("turns", told), "").alias("told"),
-        F.array_join(F.aggregate("turns", start, walk, lambda s: s["lost"]), "").alias("lost"),
+        F.size("ps").cast("long").alias("n_turns"),
+        F.aggregate("ps", F.lit(0).cast("long"), lambda n, p: n + p["n"]).alias("formatted_chars"),
+        F.array_join(F.transform("ps", lambda p: p["told"]), "").alias("told"),
+        F.array_join(F.transform("ps", lambda p: p["lost"]), "").alias("lost"),
     )
     return read.select(
         "conv_id",

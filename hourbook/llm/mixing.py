@@ -68,7 +68,10 @@ class Mix:
     def __init__(
         self, docs: DataFrame, block_words: int = BLOCK_WORDS, weights: Sequence[float] = WEIGHTS, share: float = SHARE,
         cap: int = CAP, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        row_col: str | None = None, tie_col: str | None = None,
     ):
+        """``row_col``: a unique number of each row, kept in ``documents`` as
+        ``own_row``; ``tie_col`` orders rows that are equal in id, source and text."""
         spark = docs.sparkSession
         self.block_words, self.seed = block_words, seed
         thin = docs.select(
@@ -76,8 +79,11 @@ class Mix:
             F.col(source_col).alias("source"),
             F.xxhash64(text_col).alias("text_hash"),
             F.size(word_array(F.col(text_col))).cast("long").alias("size"),
+            *([F.col(row_col).alias("own_row")] if row_col else []),
+            *([F.col(tie_col).alias("tie")] if tie_col else []),
         )
         order = [F.col("source").asc_nulls_last(), F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_hash"), F.col("size")]
+        order += [F.col("tie")] if tie_col else []
         # Stored, so that drawing the range bounds doesn't count all words again.
         numbered, _, _ = positions(stored(thin, "mix-sizes"), order, F.col("size"))
         sizes = numbered.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -92,7 +98,7 @@ class Mix:
         s = self.sources.select(F.col("source").alias("_source"), "rank", "source_size", "source_start", "target", "blocks")
         self.documents = numbered.join(s, F.col("source").eqNullSafe(F.col("_source"))).select(
             F.col("_row").alias("row"), "doc_id", "source", "text_hash", "size", "source_size", "target", "rank",
-            (F.col("_before") - F.col("source_start")).alias("start"),
+            (F.col("_before") - F.col("source_start")).alias("start"), *(["own_row"] if row_col else []),
         )
         self.slots = self._slots(spark)
         self.pieces = self._pieces()
@@ -164,32 +170,30 @@ def mixed_documents(
     time it is drawn, one row per run of neighbouring drawn blocks with the
     words of that run and the white space between them.  A document that is
     drawn whole keeps its text; ``chars_col`` gets the new length."""
-    mix = Mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    names = {k: fresh_name(docs, k) for k in ("own_id", "own_null", "own_hash", "own_number", "own_words", "own_run", "own_runs")}
-    own, null, mark, number, words, run, own_runs = names.values()
-    keys = lambda id_, hash_, src: [
-        F.coalesce(id_.cast("string"), F.lit("")).alias(own), id_.isNull().alias(null), F.xxhash64(hash_, src).alias(mark)]
+    names = {k: fresh_name(docs, k) for k in ("own_row", "own_tie", "own_runs", "own_part")}
+    own, tie, own_runs, own_part = names.values()
+    # Every row gets a number, so that rows that are equal in all columns are
+    # told apart without meeting.
+    marked = stored(docs.withColumn(own, F.monotonically_increasing_id()).withColumn(tie, row_hash(docs)), "mix-rows")
+    mix = Mix(marked, id_col=id_col, text_col=text_col, source_col=source_col, row_col=own, tie_col=tie, **options)
     sorted_parts = F.sort_array(F.collect_list(F.struct("from_word", "words", "times")))
     by_row = mix.pieces.groupBy("row").agg(sorted_parts.alias("parts"))
     runs = F.concat(*(_runs(F.col("parts"), copy) for copy in range(1, int(options.get("cap", CAP)) + 1)))
-    by_row = by_row.select("row", runs.alias("runs"))
-    # Equal rows are told apart by their number among their equals, on both
-    # sides of the join, so that a row meets one other.
-    thin = mix.documents.join(by_row.hint("merge"), "row", "left").select(
-        *keys(F.col("doc_id"), F.col("text_hash"), F.col("source")), "row", F.coalesce("runs", F.array()).alias(own_runs)
-    )
-    thin = thin.withColumn(number, F.row_number().over(Window.partitionBy(own, null, mark).orderBy("row"))).drop("row")
-    marked = docs.select("*", *keys(F.col(id_col), F.xxhash64(text_col), F.col(source_col)))
-    equals = Window.partitionBy(own, null, mark).orderBy(row_hash(docs))
-    joined = marked.withColumn(number, F.row_number().over(equals)).join(thin.hint("merge"), [own, null, mark, number])
-    unfolded = joined.withColumn(run, F.explode(own_runs))
+    by_row = by_row.select("row", runs.alias(own_runs))
+    drawn = mix.documents.select("row", F.col("own_row").alias(own)).join(by_row.hint("merge"), "row").drop("row")
+    joined = marked.join(drawn.hint("merge"), own)
     # Each word with the white space after it.
     clean = F.regexp_replace(F.col(text_col), r"^[\x20\x09-\x0D]+", "")
     spaced = F.split(clean, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    part = F.array_join(F.slice(F.col(words), (F.col(run)["from_word"] + 1).cast("int"), F.col(run)["words"].cast("int")), "")
-    part = F.regexp_replace(part, r"[\x20\x09-\x0D]+$", "")
-    text = F.when(F.col(run)["words"] == F.size(words), F.col(text_col)).otherwise(part)
-    out = unfolded.withColumn(words, spaced).withColumn(text_col, text)
+
+    def cut(words: Column, run: Column) -> Column:
+        part = F.array_join(F.slice(words, (run["from_word"] + 1).cast("int"), run["words"].cast("int")), "")
+        return F.when(run["words"] == F.size(words), F.col(text_col)).otherwise(F.regexp_replace(part, r"[\x20\x09-\x0D]+$", ""))
+
+    # As a lambda's variable a text's words are split once, and all its runs are
+    # cut from them before they become rows.
+    pieces = F.get(F.transform(F.array(spaced), lambda words: F.transform(F.col(own_runs), lambda run: cut(words, run))), F.lit(0))
+    out = joined.withColumn(own_part, pieces).withColumn(text_col, F.explode(own_part))
     if chars_col:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

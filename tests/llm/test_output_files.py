@@ -297,4 +297,26 @@ def test_equal_rows_meet_one_by_one(spark):
         want[r["doc_id"]] += r["taken"]
     assert +got == +want and want[None] > 0
     plan = mixed._jdf.queryExecution().optimizedPlan().toString()
-    assert any("Join" in line and "own_number#" in line for line in plan.splitlines())
+    assert any("Join" in line and "own_row#" in line for line in plan.splitlines())
+
+
+def test_long_texts_are_split_once(spark):
+    """A text's words are split in one place, before its runs become rows."""
+    docs = spark.createDataFrame([(1, "a b c", "s", 5)], "doc_id long, text string, source string, n_chars long")
+    plan = mixing.mixed_documents(docs, chars_col="n_chars")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate explode")]
+    assert plan.count("split(") == 1 and "split(" not in above
+
+
+def test_runs_of_a_long_text_are_its_words(spark):
+    words = [f"w{i}" for i in range(20_000)]
+    docs = spark.createDataFrame([(1, " ".join(words), "a", 0), (2, "x y", "b", 0), (2, "x y", "b", 0)], "doc_id long, text string, source string, n_chars long")
+    rows = mixing.mixed_documents(docs, chars_col="n_chars").collect()
+    taken = {}
+    for r in rows:
+        assert len(r["text"]) == r["n_chars"]
+        for w in r["text"].split(" "):
+            taken[w] = taken.get(w, 0) + 1
+    assert max(taken[w] for w in words if w in taken) <= 2 and taken["x"] == taken["y"]
+    total = sum(r["taken"] for r in mixing.Mix(docs).taken().collect())
+    assert sum(taken.values()) == total

@@ -281,3 +281,21 @@ def test_places_are_sorted_only_where_something_is_regenerated(spark):
     rows = [(1, place, "user", place, "message", "x") for place in range(4)]
     plan = chat.fold_messages(spark.createDataFrame(rows, EVENT))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftSemi" in plan and "run#" in plan
+
+
+def test_nothing_is_built_up_turn_by_turn(spark):
+    """Rendering and reading back fold no arrays or texts over the turns."""
+    rows = [(1, i, "assistant" if i % 2 else "user", f"t{i} <#") for i in range(1500)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    chats = chat.format_chats(chat.message_events(frame))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (chats, chat.digests(chats))]
+    for plan in plans:
+        for line in plan.splitlines():
+            fold = line.split("aggregate(", 1)[1:]
+            assert not fold or "concat(" not in fold[0].split("array_join", 1)[0], line
+    row = chat.digests(chats).first()
+    turns = "".join(f"{r[2]}\n{r[3]}\n" for r in rows)
+    lost = "".join(r[3] for r in rows if r[2] == "assistant")
+    assert (row["n_turns"], row["loss_chars"]) == (1500, len(lost))
+    assert row["turns_sha256"] == hashlib.sha256(turns.encode()).hexdigest()
+    assert row["loss_sha256"] == hashlib.sha256(lost.encode()).hexdigest()
