@@ -193,7 +193,9 @@ def mixed_documents(
     # As a lambda's variable a text's words are split once, and all its runs are
     # cut from them before they become rows.
     pieces = F.get(F.transform(F.array(spaced), lambda words: F.transform(F.col(own_runs), lambda run: cut(words, run))), F.lit(0))
-    out = joined.withColumn(own_part, pieces).withColumn(text_col, F.explode(own_part))
+    # No text is without runs here; from ``explode`` Spark would infer a filter
+    # that cuts them twice more.
+    out = joined.withColumn(own_part, pieces).withColumn(text_col, F.explode_outer(own_part))
     if chars_col:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -32,10 +32,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourbook.llm.common import fresh_name, row_hash, stored
+from hourbook.llm.common import fresh_name, join_spread, row_hash, stored
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -63,8 +63,11 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE_WORDS, seed: int = SE
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, text_hash (tells rows of one id apart), fp (signed long)."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, seed: int = SEED, row_col: str | None = None
+) -> DataFrame:
+    """doc_id, text_hash (tells rows of one id apart), fp (signed long), and
+    own_row, the column ``row_col`` of the documents, if it is given."""
 
     @F.arrow_udf("long")
     def fp(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -72,7 +75,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             values = np.array([fingerprint(t, shingle, seed) for t in texts.cast(pa.large_binary()).to_pylist()], np.uint64)
             yield pa.array(values.view(np.int64))
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), fp(F.col(text_col).cast("binary")).alias("fp"))
+    own = [F.col(row_col).alias("own_row")] if row_col else []
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), fp(F.col(text_col).cast("binary")).alias("fp"), *own)
 
 
 def _anchor_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -261,8 +265,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = at
         # Large star: larger neighbours of u point to u's smallest neighbour.
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # The root of a large component has most edges: its rows are joined apart.
+        least = around.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = join_spread(around, stored(least, "components-least"), ["u"], "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: smaller neighbours of u, and u, point to the smallest.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -270,32 +275,32 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, bits: int = MAX_BITS, seed: int = SEED
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, bits: int = MAX_BITS, seed: int = SEED,
+    row_col: str | None = None,
+) -> DataFrame:
     """One row per document: doc_id, text_hash, fp, root (the component's
-    smallest fingerprint) and component_id (its smallest doc_id)."""
-    table = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    distinct = table.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    smallest fingerprint), component_id (its smallest doc_id), and own_row, the
+    column ``row_col`` of the documents, if it is given."""
+    table = stored(fingerprints(docs, id_col, text_col, shingle, seed, row_col), "fingerprints")
+    distinct = stored(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = connected_components(fingerprint_links(distinct, bits)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # Only members of larger components need their group's smallest id.
     ids = distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_least"))
-    named = rooted.join(ids, "root", "left").select("fp", "root", F.coalesce("component_least", "least").alias("component_id"))
-    return table.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    named = rooted.join(ids, "root", "left").select("fp", "root", F.coalesce("component_least", "least").alias("component_id"), "n")
+    own = ["own_row"] if row_col else []
+    # Exact copies share a fingerprint, so one may hold most documents.
+    return join_spread(table, stored(named, "named"), ["fp"], "n").select("doc_id", "text_hash", "fp", "root", "component_id", *own)
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest
     (doc_id, text hash), null ids last; of equal rows the smallest."""
-    table = near_duplicates(docs, id_col, text_col, **options)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    kept = table.groupBy("root").agg(first).select("first.*").distinct()
-    # Keys without nulls, the same for the join and for the count of repeats.
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    own, null, mark, number = (fresh_name(docs, x) for x in ("own_id", "own_no_id", "own_hash", "own_number"))
-    kept = kept.select(key("doc_id").alias(own), F.col("no_id").alias(null), F.col("text_hash").alias(mark))
-    marked = docs.withColumn(own, key(id_col)).withColumn(null, F.col(id_col).isNull()).withColumn(mark, F.xxhash64(text_col))
-    rows = marked.join(kept, [own, null, mark], "left_semi")
-    # A partition holds the repeats of one row.
-    repeats = Window.partitionBy(own, null, mark).orderBy(row_hash(docs))
-    return rows.withColumn(number, F.row_number().over(repeats)).filter(F.col(number) == 1).drop(own, null, mark, number)
+    own, tie = fresh_name(docs, "own_row"), fresh_name(docs, "own_tie")
+    # Every row gets a number, so only the rows that stay move, and equal ones never meet.
+    marked = stored(docs.withColumn(own, F.monotonically_increasing_id()).withColumn(tie, row_hash(docs)), "dedup-rows")
+    table = near_duplicates(marked, id_col, text_col, row_col=own, **options)
+    ties = marked.select(F.col(own).alias("own_row"), F.col(tie).alias("tie"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "tie", "own_row")
+    kept = table.join(ties, "own_row").groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.own_row").alias(own))
+    return marked.join(kept, own, "left_semi").drop(own, tie)

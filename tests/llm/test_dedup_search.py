@@ -161,3 +161,22 @@ def test_vectors_of_more_than_64_elements_are_refused(spark):
     assert {tuple(r) for r in topk_search.top_k(pair(64), pair(64), 1).collect()} == {(1, 1, 2, 1), (2, 1, 1, 1)}
     with pytest.raises(Exception, match="at most 64 elements, not 65"):
         topk_search.top_k(pair(65), pair(65), 1).collect()
+
+
+def test_hot_copies_and_a_hot_root(spark):
+    """A third of all rows are equal, and one component holds another third."""
+    common = " ".join(f"word{i}" for i in range(300))
+    near = [common.replace(f"word{i} ", f"other{i} ") for i in range(200)]
+    rows = [(9000, "all the same words here " * 20, "en", "s", 1)] * 200 + [(1000 + i, t, "en", "s", 1) for i, t in enumerate(near)]
+    rows += [(i, f"text number {i} " + " ".join(f"w{i}x{j}" for j in range(40)), "en", "s", 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    marks = {i: plain_fingerprint(t, words_of) for i, t, *_ in rows}
+    items = sorted(marks.items())
+    roots = plain_groups(items, lambda a, b: (a[1] ^ b[1]).bit_count() <= simhash.MAX_BITS)
+    assert got == {items[i][0]: items[r][0] for i, r in enumerate(roots)}
+    kept = simhash.keep_one_per_group(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({items[r][0] for r in roots})
+    # whole rows are joined by their number alone, and sorted in no window
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and kept.columns == docs.columns
