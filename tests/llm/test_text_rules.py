@@ -216,6 +216,42 @@ def test_held_out_accuracy(spark, name, label, least):
     assert len(good) > 50 and np.mean(good) >= least
 
 
+@pytest.mark.parametrize(("name", "label", "alarm", "caught", "alarms"), [("op5_toxicity", "toxic", 1, 0.9, 0.01), ("op7_quality_cnn", "quality", 0, 0.95, 0.01)])
+def test_held_out_recall(spark, name, label, alarm, caught, alarms):
+    """At sf0.1, on held-out rows: what the filter is there to catch, and what it wrongly catches."""
+    sf = SF_ORACLE.replace("sf0.01", "sf0.1")
+    rows = QUERIES[name](spark, sf).join(labels(spark, sf), "doc_id").filter("held_out").select("predicted", label).collect()
+    own = [r["predicted"] == alarm for r in rows if r[label] == alarm]
+    others = [r["predicted"] == alarm for r in rows if r[label] != alarm]
+    assert len(own) > 50 and np.mean(own) >= caught and np.mean(others) <= alarms
+
+
+def plain_word_score(model, word):
+    raw, total = b"<" + word.encode() + b">", []
+    for n in toxicity.SIZES:
+        for i in range(len(raw) - n + 1):
+            code = 0
+            for b in raw[i : i + n]:
+                code = (code * 0x01000193 + b + 1) % 2**32
+            mixed = (code ^ (n * 0x9E3779B1 % 2**32)) * 0x85EBCA6B % 2**32
+            total.append(float(model.weights[(mixed ^ (mixed >> 15)) % toxicity.BUCKETS]))
+    return sum(total) / max(1, len(total))
+
+
+def test_toxicity_score_is_a_weighted_average_of_all_words():
+    """The score by plain loops; and every word of a text has a part in it."""
+    rng = random.Random(12)
+    model = toxicity.train([(prose(rng, 30) + (" bosewort schlimm" if i % 2 else ""), i % 2) for i in range(80)], steps=20)
+    texts = [prose(rng, n) + extra for n in (1, 3, 40, 300) for extra in ("", " bosewort", " Schlimmes bosewört!")] + ["", "é ☃ a"]
+    for text, got in zip(texts, model.score(texts)):
+        scores = [plain_word_score(model, w) for w in text.lower().split()]
+        parts = [np.exp(toxicity.SHARPNESS * z) for z in scores]
+        average = sum(a * z for a, z in zip(parts, scores)) / sum(parts) if scores else 0.0
+        assert abs(got - 1 / (1 + np.exp(-(average + model.bias)))) < 1e-5
+    alone, among = model.score(["bosewort", "bosewort " + prose(rng, 50)])
+    assert among < alone
+
+
 def test_classifiers_on_messy_documents(spark, messy, empty):
     marks = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(30)] + [(None, 1, 1), (3, None, None), (9999, 1, 0)], "doc_id long, quality int, toxic int")
     for part, keep in ((toxicity, toxicity.keep_clean), (quality_cnn, quality_cnn.keep_good)):
