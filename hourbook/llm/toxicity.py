@@ -50,7 +50,7 @@ TRUST = 0.6
 DROPOUT = 0.3
 SEED = 5
 THRESHOLD = 0.5
-DOCS_AT_ONCE, BYTES_AT_ONCE = 1000, 4 << 20
+DOCS_AT_ONCE, BYTES_AT_ONCE = 1000, 1 << 20
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
