@@ -191,8 +191,10 @@ def test_gradients_match_differences():
     _, kept = quality_cnn.forward(p, chunks, held, keep=True)
     grads = quality_cnn.backward(p, chunks, kept, pull)
     loss = lambda: float(quality_cnn.forward(p, chunks, held) @ pull)
-    for k in ("filters", "dense", "out", "filter_bias"):
+    for k in ("filters", "dense", "out", "filter_bias", "dense_bias", "out_bias", "bytes", "bytes"):
         at = tuple(rng.integers(0, n) for n in p[k].shape)
+        if k == "bytes":  # one that the texts hold
+            at = (int(rng.integers(97, 105)), at[1])
         old = p[k][at]
         p[k][at] = old + 1e-5
         up = loss()
