@@ -48,3 +48,39 @@ def test_column_pruning(spark):
     p = plan(spark, "worklogs_group_by_weekday")
     schema = re.search(r"lineitem\.parquet.*?ReadSchema: (struct<[^>]*>)", p, re.S).group(1)
     assert "l_extendedprice" not in schema and "l_partkey" not in schema
+
+
+@pytest.mark.parametrize("name", ["upsert_worklogs", "upsert_worklogs_keep_first", "upsert_worklogs_two_batches", "upsert_issues", "upsert_issues_touch"])
+def test_upserts_keep_one_row_per_id_before_the_shuffle(spark, name):
+    p = plan(spark, name)
+    assert "SortAggregate" not in p and "WindowGroupLimit" in p
+
+
+def test_one_pass_reports(spark):
+    """J4 and A7 read and aggregate their table once."""
+    for name, table in (("developer_day_grid", "lineitem.parquet"), ("worklogs_per_dev_week_with_average", "lineitem.parquet")):
+        assert plan(spark, name).count(table) == plan(spark, name.replace("developer_day_grid", "worklogs_per_dev_day").replace("_with_average", "")).count(table), name
+
+
+def test_user_table_runs_no_job_while_the_plan_is_built(spark):
+    from hourbook.operators import filters as FL
+
+    names = spark.range(1).selectExpr("raise_error('ran') AS name")
+    assert FL.filter_users(spark.range(3).selectExpr("'a' AS author"), names).columns == ["author"]
+
+
+@pytest.mark.parametrize("name", ["worklogs_per_weekday", "worklogs_per_dev_weekday"])
+def test_last_week_opens_its_months_only(spark, scratch, name):
+    import datetime as dt
+    import os
+
+    from hourbook.operators import aggregates as A
+
+    path = os.path.join(scratch, "worklog")
+    days = spark.sql("SELECT id, 'a' AS author, cast(date_add(DATE'1996-01-01', id) AS timestamp_ntz) AS date, 1.0D AS timeSpentHours, "
+                     "date_format(date_add(DATE'1996-01-01', id), 'EEEE') AS weekDay, date_format(date_add(DATE'1996-01-01', id), 'yyyy-MM') AS month "
+                     "FROM (SELECT cast(id AS int) AS id FROM range(400))")
+    days.write.partitionBy("month").parquet(path)
+    report = getattr(A, name)(spark.read.parquet(path), dt.datetime(1996, 6, 20))
+    p = report._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*month", p)
