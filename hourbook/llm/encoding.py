@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_PIECES = 600_000
+CACHED_PIECES = 400_000
 CUT = "\x01"
 
 
@@ -45,7 +45,7 @@ def worker_encoder(path: str, cut: str | None, end_id: int, as_text: bool = Fals
     return state[key]
 
 
-def slices(batch: pa.RecordBatch, text: int, rows: int = 1500, n_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, rows: int = 1500, n_bytes: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of a bounded number of rows and of bytes in column
     ``text`` (a longer text: a slice of its own)."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(), dtype=np.int64)
