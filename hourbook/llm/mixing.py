@@ -2,21 +2,22 @@
 
 The documents of a source, in an order fixed by a hash of their ids, form
 one stream of words that is cut into blocks of ``block_words`` (the last may be
-shorter).  Each source gets a target and so a number of block draws.  A
-pseudorandom permutation of all draws deals them over the slots of the output
-shards: the source counts of a shard are a multinomial draw, conditioned on
-the exact number of draws of each source (so the mix meets its targets and no
-block is drawn more than twice).  Draw k of a source takes the block that the
-source's index permutation gives to ``k mod blocks``; each pass over a source
-has its own permutation.  Blocks are joined to slots by (source, index).
+shorter).  Each source gets a target and so a number of block draws.  Each output
+shard draws its source counts from the multinomial distribution with these
+proportions.  The counts of a source over all shards then miss its number of draws
+by chance (by about the root of it), so its surplus draws, picked by a permutation
+from all shards alike, are handed to the sources that lack some: the mix meets its
+targets and no block is drawn more than twice.  Draw k of a source takes the block
+that the source's index permutation gives to ``k mod blocks``; each pass over a
+source has its own permutation.  Blocks are joined to slots by (source, index).
 
 Targets: weights 3, 1, 2 repeat over the sources by code point (null last)
 and share 150 % of all sizes; a target stops at 2 times its source's size and
 the excess goes to the others by weight.
 
 Sizes at scale: prefix sums come from range partitions, never from one window
-over a source; draws are made in runs of ``RUN`` and spread; the table of
-sources has one row per source.
+over a source; shards draw apart; what a shard sends on are its counts.  The
+table of sources has one row per source and is the only thing the driver holds.
 
 Defined results: a null text or one without words has size 0 and takes 0; a
 null source is a source of its own; equal rows are separate documents; an
@@ -26,6 +27,7 @@ empty table gives an empty mix.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +40,6 @@ SLOTS_PER_SHARD = 4096
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
-RUN = 10_000
 SEED = 10
 
 
@@ -60,10 +61,32 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return levels.select("source", "source_size", "rank", "weight", target.alias("target"))
 
 
+def _before(counts: list[int]) -> list[int]:
+    """The sum of all earlier counts."""
+    return [0, *accumulate(counts)][: len(counts)]
+
+
+def _list(values: list[int]) -> Column:
+    return F.array(*(F.lit(v).cast("long") for v in values)).cast("array<bigint>")
+
+
+def _last_at_most(firsts: Column, n: int, value: Column) -> Column:
+    """The place of the last of ``n`` ascending ``firsts`` that is not above
+    ``value``, by binary search."""
+    halves = F.array(*(F.lit(1 << i).cast("long") for i in reversed(range(max(1, n).bit_length())))).cast("array<bigint>")
+
+    def search(x: Column) -> Column:
+        return F.aggregate(halves, F.lit(0).cast("long"), lambda at, step: F.when(F.get(firsts, at + step) <= x, at + step).otherwise(at))
+
+    # As a lambda's variable the value is computed once.
+    return F.get(F.transform(F.array(value), search), F.lit(0))
+
+
 class Mix:
     """The parts of one mix: ``documents`` (a row per document with its place),
-    ``sources``, ``slots`` (shard, slot, rank, epoch, block) and ``pieces`` (what
-    each drawn block holds of each document)."""
+    ``sources``, ``shard_counts`` (shard, rank, n: the multinomial draws), ``slots``
+    (shard, slot, rank, epoch, block) and ``pieces`` (what each drawn block holds of
+    each document)."""
 
     def __init__(
         self, docs: DataFrame, block_words: int = BLOCK_WORDS, weights: Sequence[float] = WEIGHTS, share: float = SHARE,
@@ -104,26 +127,65 @@ class Mix:
         self.pieces = self._pieces()
 
     def _slots(self, spark) -> DataFrame:
-        total = self.sources.agg(F.sum("draws")).first()[0] or 0
-        runs = self.sources.filter("draws > 0").withColumn("_run", F.explode(F.expr(f"sequence(0L, (draws - 1) div {RUN})")))
-        k = F.explode(F.expr(f"sequence(_run * {RUN}, least((_run + 1) * {RUN}, draws) - 1)"))
-        # A run is one row: spread them before they unfold.
+        """shard, slot, rank, epoch, block.  The lists by rank have an entry per source."""
+        ranked = [r.asDict() for r in self.sources.select("rank", "draws", "blocks", "first_draw").orderBy("rank").collect()]
+        total = sum(r["draws"] for r in ranked)
+        shards = -(-total // SLOTS_PER_SHARD)
+        drawn = stored(self._shard_counts(spark, [r["first_draw"] for r in ranked], total, shards), "mix-counts")
+        self.shard_counts = drawn
+        sums = {r["rank"]: r["n"] for r in drawn.groupBy("rank").agg(F.sum("n").alias("n")).collect()}
+        got = [sums.get(r["rank"], 0) for r in ranked]
+        over = [max(0, n - r["draws"]) for n, r in zip(got, ranked)]
+        under = [max(0, r["draws"] - n) for n, r in zip(got, ranked)]
+        draws, blocks = _list([r["draws"] for r in ranked]), _list([r["blocks"] for r in ranked])
+        got_, got_first, over_first, under_first = _list(got), _list(_before(got)), _list(_before(over)), _list(_before(under))
+
+        # A source's draws are numbered shard by shard, and laid out in a shard source by source.
+        numbered, _, _ = positions(drawn, [F.col("rank"), F.col("shard")], F.col("n"))
+        numbered = numbered.select("shard", "rank", "n", (F.col("_before") - F.get(got_first, F.col("rank"))).alias("_first"))
+        # A row of counts is up to a shard's slots: spread them before they unfold.
+        numbered = numbered.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+        in_shard = Window.partitionBy("shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+        numbered = numbered.withColumn("_laid", F.coalesce(F.sum("n").over(in_shard), F.lit(0)))
+        each = numbered.withColumn("_i", F.explode(F.expr("sequence(0L, n - 1)")))
+        each = each.select("shard", "rank", (F.col("_first") + F.col("_i")).alias("_k"), (F.col("_laid") + F.col("_i")).alias("_at"))
+
+        # The permutation of a source's draws picks those that it drew too often;
+        # they go, in order, to the sources that were drawn too seldom.
+        domains = [(n, 64 * rank) for rank, n in enumerate(got) if n]
+        steps = walk_steps(spark.createDataFrame(domains, "_n long, _key long"), self.seed)
+        each = each.withColumn("_n", F.get(got_, F.col("rank"))).withColumn("_key", F.col("rank") * 64)
+        each = permute(each, "_k", "_index", self.seed, steps)
+        surplus = F.col("_index") - F.get(draws, F.col("rank"))
+        moved = F.when(surplus >= 0, F.get(over_first, F.col("rank")) + surplus)
+        each = each.withColumn("_moved", moved).withColumn("_to", F.when(F.col("_moved").isNotNull(), _last_at_most(under_first, len(ranked), F.col("_moved"))))
+        fresh = F.get(got_, F.col("_to")) + F.col("_moved") - F.get(under_first, F.col("_to"))
+        each = each.withColumn("_draw", F.coalesce(fresh, F.col("_index"))).withColumn("rank", F.coalesce("_to", "rank"))
+
+        # Draw j of a source takes a block by the permutation of its pass.
+        each = each.withColumn("_n", F.get(blocks, F.col("rank")))
+        each = each.withColumn("epoch", F.expr("_draw div _n")).withColumn("_in", F.expr("_draw % _n"))
+        passes = [(r["blocks"], 64 * r["rank"] + e + 1) for r in ranked if r["draws"] for e in range(-(-r["draws"] // r["blocks"]))]
+        steps = walk_steps(spark.createDataFrame(passes, "_n long, _key long"), self.seed)
+        each = permute(each.withColumn("_key", F.col("rank") * 64 + F.col("epoch") + 1), "_in", "block", self.seed, steps)
+
+        # Slots of a shard are shuffled.  Whole shards are a square, so only the last one walks.
+        last = total - (shards - 1) * SLOTS_PER_SHARD
+        steps = walk_steps(spark.createDataFrame([(last, shards - 1)] if total else [], "_n long, _key long"), self.seed + 1)
+        size = F.when(F.col("shard") == shards - 1, F.lit(last)).otherwise(F.lit(SLOTS_PER_SHARD)).cast("long")
+        each = permute(each.withColumn("_n", size).withColumn("_key", F.col("shard")), "_at", "slot", self.seed + 1, steps)
+        return each.select("shard", "slot", "rank", "epoch", "block")
+
+    def _shard_counts(self, spark, first_draw: list[int], total: int, shards: int) -> DataFrame:
+        """shard, rank, n: a multinomial draw for each shard.  Each of its slots
+        draws a source by the hash of (seed, shard, slot), in proportion to the
+        sources' planned draws; only the counts leave the task."""
+        slots = F.expr(f"sequence(0L, least({SLOTS_PER_SHARD}L, {total}L - shard * {SLOTS_PER_SHARD}L) - 1)")
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        draws = runs.select("rank", "blocks", "draws", "first_draw", "_run").repartition(tasks, "rank", "_run").withColumn("_k", k)
-        draws = draws.withColumn("epoch", F.expr("_k div blocks")).withColumn("_at", F.expr("_k % blocks"))
-        own = lambda epoch: (F.col("rank") * 64 + epoch + 1).alias("_key")
-        epochs = self.sources.filter("draws > 0").select(
-            F.col("blocks").alias("_n"), F.explode(F.expr("sequence(0L, (draws - 1) div blocks)")).alias("epoch"), "rank"
-        )
-        steps = walk_steps(epochs.select("_n", own(F.col("epoch"))), self.seed)
-        draws = permute(draws.withColumn("_n", F.col("blocks")).withColumn("_key", own(F.col("epoch"))), "_at", "block", self.seed, steps)
-        whole = spark.range(1).select(F.lit(total).cast("long").alias("_n"), F.lit(0).cast("long").alias("_key"))
-        steps = walk_steps(whole, self.seed) if total else 0
-        draws = draws.withColumn("_draw", F.col("first_draw") + F.col("_k")).withColumn("_n", F.lit(total).cast("long"))
-        placed = permute(draws.withColumn("_key", F.lit(0).cast("long")), "_draw", "_slot", self.seed, steps)
-        return placed.select(
-            F.expr(f"_slot div {SLOTS_PER_SHARD}").alias("shard"), F.expr(f"_slot % {SLOTS_PER_SHARD}").alias("slot"), "rank", "epoch", "block"
-        )
+        each = spark.range(0, shards, 1, tasks).select(F.col("id").alias("shard")).withColumn("_slot", F.explode(slots))
+        at = F.pmod(F.xxhash64(F.lit(self.seed).cast("long"), F.col("shard"), F.col("_slot")), F.lit(max(1, total)).cast("long"))
+        each = each.select("shard", _last_at_most(_list(first_draw), len(first_draw), at).alias("rank"))
+        return each.groupBy("shard", "rank").agg(F.count("*").alias("n"))
 
     def _pieces(self) -> DataFrame:
         """row, doc_id, text_hash, block, from_word (within the document),

@@ -3,11 +3,13 @@
 import collections
 import math
 import re
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from conftest import SF_SMALL
 from llm_fixtures import empty, messy  # noqa: F401
 from tokenizers import Tokenizer
@@ -284,6 +286,39 @@ def test_slots_fill_shards_and_no_block_is_drawn_thrice(spark):
         assert len(blocks) == s["draws"] and all(0 <= b < s["blocks"] for b in blocks)
 
 
+def test_shard_counts_are_the_replayed_multinomial_draw(spark, monkeypatch):
+    """Each slot's draw is replayed with plain hashes; then only the surplus of a
+    source changes hands, and all shards lose about the same."""
+    monkeypatch.setattr(mixing, "SLOTS_PER_SHARD", 32)
+    mix = mixing.Mix(documents(spark, SF_SMALL), block_words=16)
+    planned = {s["rank"]: s["draws"] for s in mix.sources.collect()}
+    total, owners = sum(planned.values()), [rank for rank in sorted(planned) for _ in range(planned[rank])]
+    drawn = collections.Counter()
+    for at in range(total):
+        h = 42
+        for part in (mixing.SEED, at // 32, at % 32):
+            h = xxhash.xxh64_intdigest(struct.pack("<q", part), seed=h)
+        signed = h - (1 << 64) if h >> 63 else h
+        drawn[(at // 32, owners[signed % total])] += 1
+    assert {(r["shard"], r["rank"]): r["n"] for r in mix.shard_counts.collect()} == drawn
+    final = collections.Counter((r["shard"], r["rank"]) for r in mix.slots.collect())
+    got = collections.Counter()
+    for (_, rank), n in drawn.items():
+        got[rank] += n
+    surplus = sum(max(0, got[rank] - planned[rank]) for rank in planned)
+    assert sum((final - drawn).values()) <= surplus and surplus <= 4 * total**0.5
+    # Chi-square of the draws against the proportions, with its normal bound.
+    cells = [(drawn[(shard, rank)], 32 * planned[rank] / total) for shard in range(total // 32) for rank in planned if planned[rank]]
+    free = (total // 32) * (sum(map(bool, planned.values())) - 1)
+    assert abs(sum((n - e) ** 2 / e for n, e in cells) - free) < 5 * (2 * free) ** 0.5
+
+
+def test_binary_search_skips_empty_sources(spark):
+    firsts = [0, 5, 5, 8, 8]
+    place = mixing._last_at_most(mixing._list(firsts), len(firsts), F.col("id"))
+    assert [r[0] for r in spark.range(8).select(place).collect()] == [0] * 5 + [2] * 3
+
+
 def test_equal_rows_meet_one_by_one(spark):
     """Many equal rows: as many come out as are drawn, and the join to the
     drawn runs is by their number too."""
