@@ -14,6 +14,7 @@ permutation.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +71,29 @@ def walk_steps(domains: DataFrame, seed: int) -> int:
     return steps
 
 
+def longest_walk(domains: list[tuple[int, int]], seed: int) -> int:
+    """``walk_steps`` of a short list (n, key) in plain integers, where Spark jobs
+    would cost more than the fewer than a values beyond each n."""
+    longest = 0
+    for n, key in domains:
+        a = max(1, int(np.ceil(np.sqrt(float(n)))))
+        sizes = [a, max(1, -(-n // a))]
+        left, steps = np.arange(n, a * sizes[1], dtype=np.int64), 0
+        while len(left):
+            high, low, before = left // sizes[1], left % sizes[1], len(left)
+            for k in round_keys(seed):
+                t = (low + key + k) % PRIME * STEP % PRIME
+                high, low = low, (high + (t * t + k) % PRIME * STEP % PRIME) % sizes[0]
+                sizes.reverse()
+            left = high * sizes[1] + low
+            left = left[left >= n]
+            if len(left) == before:
+                break
+            steps += 1
+        longest = max(longest, steps)
+    return longest
+
+
 def permute(df: DataFrame, value: str, out: str, seed: int, steps: int) -> DataFrame:
     """``out``: the image of ``value`` under the permutation of 0.._n-1 chosen
     by ``seed`` and the column ``_key``."""

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourbook.llm.common import fresh_name, positions, row_hash, stored, word_array
-from hourbook.llm.feistel import permute, walk_steps
+from hourbook.llm.feistel import longest_walk, permute
 
 BLOCK_WORDS = 64
 SLOTS_PER_SHARD = 4096
@@ -153,7 +153,7 @@ class Mix:
         # The permutation of a source's draws picks those that it drew too often;
         # they go, in order, to the sources that were drawn too seldom.
         domains = [(n, 64 * rank) for rank, n in enumerate(got) if n]
-        steps = walk_steps(spark.createDataFrame(domains, "_n long, _key long"), self.seed)
+        steps = longest_walk(domains, self.seed)
         each = each.withColumn("_n", F.get(got_, F.col("rank"))).withColumn("_key", F.col("rank") * 64)
         each = permute(each, "_k", "_index", self.seed, steps)
         surplus = F.col("_index") - F.get(draws, F.col("rank"))
@@ -166,15 +166,19 @@ class Mix:
         each = each.withColumn("_n", F.get(blocks, F.col("rank")))
         each = each.withColumn("epoch", F.expr("_draw div _n")).withColumn("_in", F.expr("_draw % _n"))
         passes = [(r["blocks"], 64 * r["rank"] + e + 1) for r in ranked if r["draws"] for e in range(-(-r["draws"] // r["blocks"]))]
-        steps = walk_steps(spark.createDataFrame(passes, "_n long, _key long"), self.seed)
+        steps = longest_walk(passes, self.seed)
         each = permute(each.withColumn("_key", F.col("rank") * 64 + F.col("epoch") + 1), "_in", "block", self.seed, steps)
 
         # Slots of a shard are shuffled.  Whole shards are a square, so only the last one walks.
         last = total - (shards - 1) * SLOTS_PER_SHARD
-        steps = walk_steps(spark.createDataFrame([(last, shards - 1)] if total else [], "_n long, _key long"), self.seed + 1)
+        steps = longest_walk([(last, shards - 1)] if total else [], self.seed + 1)
         size = F.when(F.col("shard") == shards - 1, F.lit(last)).otherwise(F.lit(SLOTS_PER_SHARD)).cast("long")
         each = permute(each.withColumn("_n", size).withColumn("_key", F.col("shard")), "_at", "slot", self.seed + 1, steps)
-        return each.select("shard", "slot", "rank", "epoch", "block")
+        # None of these is null.  Told so, Spark infers no null filters for the join
+        # on rank and block, which it would push below every step above and so
+        # run the permutations several times over.
+        known = (F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("rank", "epoch", "block"))
+        return each.select("shard", "slot", *known)
 
     def _shard_counts(self, spark, first_draw: list[int], total: int, shards: int) -> DataFrame:
         """shard, rank, n: a multinomial draw for each shard.  Each of its slots

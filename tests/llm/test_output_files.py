@@ -313,6 +313,21 @@ def test_shard_counts_are_the_replayed_multinomial_draw(spark, monkeypatch):
     assert abs(sum((n - e) ** 2 / e for n, e in cells) - free) < 5 * (2 * free) ** 0.5
 
 
+def test_slots_are_permuted_once(spark):
+    """No filter repeats the permutations, and their walks are counted without jobs."""
+    docs = documents(spark, SF_SMALL)
+    for plan in (mixing.Mix(docs).taken(), mixing.mixed_documents(docs)):
+        lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert not [line for line in lines if "Filter" in line and "lambda" in line]
+        assert sum(line.count(f"[{feistel.round_keys(mixing.SEED)[0]},") for line in lines) == 2
+
+
+@pytest.mark.parametrize("n", [1, 3, 12, 30, 1000, 4097, 99_991])
+def test_longest_walk(spark, n):
+    rows = [(n, key) for key in range(0, 200, 64)]
+    assert feistel.longest_walk(rows, 10) == feistel.walk_steps(spark.createDataFrame(rows, "_n long, _key long"), 10)
+
+
 def test_binary_search_skips_empty_sources(spark):
     firsts = [0, 5, 5, 8, 8]
     place = mixing._last_at_most(mixing._list(firsts), len(firsts), F.col("id"))
