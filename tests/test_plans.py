@@ -84,3 +84,11 @@ def test_last_week_opens_its_months_only(spark, scratch, name):
     report = getattr(A, name)(spark.read.parquet(path), dt.datetime(1996, 6, 20))
     p = report._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*month", p)
+
+
+@pytest.mark.parametrize("name", ("read_landed_details",))
+def test_landed_exports_are_compressed(spark, name):
+    """What a query lands is a fraction of its JSON text."""
+    files = QUERIES[name](spark, SF_SMALL).inputFiles()
+    landed = [f for f in files if "hourbook-stream" in f]
+    assert landed and all(f.endswith(".json.gz") for f in landed)
