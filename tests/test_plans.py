@@ -86,9 +86,15 @@ def test_last_week_opens_its_months_only(spark, scratch, name):
     assert re.search(r"PartitionFilters: \[[^\]]*month", p)
 
 
-@pytest.mark.parametrize("name", ("read_landed_details",))
+@pytest.mark.parametrize("name", ("read_landed_details", "read_landed_issues"))
 def test_landed_exports_are_compressed(spark, name):
     """What a query lands is a fraction of its JSON text."""
     files = QUERIES[name](spark, SF_SMALL).inputFiles()
     landed = [f for f in files if "hourbook-stream" in f]
     assert landed and all(f.endswith(".json.gz") for f in landed)
+
+
+def test_latest_snapshots_move_shown_fields_only(spark):
+    p = QUERIES["read_landed_issues"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    picked = [line for line in p.splitlines() if "max_by" in line]
+    assert picked and not any("summary" in line.split("max_by", 1)[1] for line in picked)
