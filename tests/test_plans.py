@@ -2,11 +2,13 @@
 nested-loop joins, no Python evaluation, range filters pushed to the scan,
 and no join to a dimension table the query does not read."""
 
+import glob
 import re
 
 import pytest
 
 from conftest import SF_SMALL
+from hourbook.plans import stream_queries as SQ
 from hourbook.plans.catalog import QUERIES
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
@@ -98,3 +100,19 @@ def test_latest_snapshots_move_shown_fields_only(spark):
     p = QUERIES["read_landed_issues"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     picked = [line for line in p.splitlines() if "max_by" in line]
     assert picked and not any("summary" in line.split("max_by", 1)[1] for line in picked)
+
+
+@pytest.mark.parametrize("run", (SQ.run_gaps,))
+def test_exports_with_gaps_are_compressed(spark, monkeypatch, run):
+    class Landed(Exception):
+        pass
+
+    def landed(spark, land, *args, **kw):
+        raise Landed(land)
+
+    monkeypatch.setattr(SQ, "stream_worklogs", landed)
+    with pytest.raises(Landed) as stopped:
+        run(spark, SF_SMALL)
+    for kind in ("worklogs", "issues"):
+        files = glob.glob(f"{stopped.value}/{kind}/part-*")
+        assert files and all(f.endswith(".gz") for f in files)
