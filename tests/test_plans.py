@@ -102,7 +102,7 @@ def test_latest_snapshots_move_shown_fields_only(spark):
     assert picked and not any("summary" in line.split("max_by", 1)[1] for line in picked)
 
 
-@pytest.mark.parametrize("run", (SQ.run_gaps,))
+@pytest.mark.parametrize("run", (SQ.run_gaps, SQ.run_refresh_gaps))
 def test_exports_with_gaps_are_compressed(spark, monkeypatch, run):
     class Landed(Exception):
         pass
