@@ -224,3 +224,34 @@ def test_refresh_reports_missing_snapshot_and_duplicate_keys(spark):
     assert [r.id for r in fr.without_snapshot.collect()] == [915]          # D19
     assert [(r.key, r.ids) for r in fr.duplicate_keys.collect()] == [("OPS-12", 2)]   # D26
     assert sorted(r.id for r in fr.updates.collect()) == [910, 7000]
+
+
+def odd_frames(spark):
+    """Entries that move between issues, some of which have not landed."""
+    from hourbook.functions.schemas import RAW_ISSUE, RAW_WORKLOG
+    def entry(id_, issue, second, author="a"):
+        at = f"2023-03-08T10:00:{second:02d}.000+0000"
+        return (None, (None, None, author, True, None, None), at, at, at, "1m", 60 * second, id_, issue)
+    entries = [entry("1", "10", 1), entry("1", "99", 2),                            # the later issue is missing
+               entry("2", "10", 1), entry("2", "11", 2), entry("2", "10", 3, "b"),  # there and back
+               entry("3", "99", 1), entry("3", "97", 2),                            # no issue at all
+               entry("4", "12", 1), entry("4", "12", 2),                            # its parent is missing
+               entry("5", "12", 4), entry("5", "11", 4),                            # one version twice
+               entry("6", None, 5), entry("6", "11", 4), entry("x", "10", 1), entry("7", "013", 1), entry("7", "13", 2)]
+    def issue(id_, parent=None):
+        fields = (f"text {id_}", "2023-03-01T10:00:00.000+0000", None, None, ("Bug",), ("Minor",), ("new",), parent and (parent, "K"), 5, 6)
+        return (id_, f"OPS-{id_}", fields)
+    issues = [issue("10"), issue("11", "10"), issue("12", "98"), issue("13"), issue("013")]
+    feed = spark.createDataFrame([(i, 1) for i in range(1, 9)], "worklogId long, updatedTime long")
+    return I.ingest_frames(feed, spark.createDataFrame(entries, RAW_WORKLOG), spark.createDataFrame(issues, RAW_ISSUE))
+
+
+def test_versions_chosen_before_the_lookups_are_those_chosen_after(spark):
+    fr = odd_frames(spark)
+    for policy in U.POLICIES:
+        want = U.upsert_worklogs(None, fr.worklog_rows, I.SEQ_ORDER, policy=policy)
+        chosen = U.upsert_worklogs(None, I.entry_versions(fr.entries), I.SEQ_ORDER, policy=policy, key=I.ENTRY_KEY)
+        got = I.looked_up(I.written_versions(chosen, fr.pairs, policy), fr.pairs)
+        assert sorted(r.id for r in got.collect()) == [1, 2, 4, 5, 6, 7]
+        plain = [c for c in got.columns if not c.startswith("_")]
+        assert sorted(map(str, got.where("id < 7").select(plain).collect())) == sorted(map(str, want.where("id < 7").select(plain).collect()))

@@ -58,6 +58,20 @@ def test_upserts_keep_one_row_per_id_before_the_shuffle(spark, name):
     assert "SortAggregate" not in p and "WindowGroupLimit" in p
 
 
+def _windows(node):
+    children = node.children()
+    found = [w for i in range(children.size()) for w in _windows(children.apply(i))]
+    return found + [node] if node.nodeName() == "Window" else found
+
+
+@pytest.mark.parametrize("name", ["upsert_worklogs"])
+def test_upserts_choose_among_rows_without_issue_texts(spark, name):
+    """Rows are moved by id before their issue is looked up, not after."""
+    found = _windows(QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan())
+    moved = [{w.output().apply(i).name() for i in range(w.output().size())} for w in found]
+    assert moved and not any(names & {"issueSummary", "parentIssueKey", "summary", "key"} for names in moved)
+
+
 def test_one_pass_reports(spark):
     """J4 and A7 read and aggregate their table once."""
     for name, table in (("developer_day_grid", "lineitem.parquet"), ("worklogs_per_dev_week_with_average", "lineitem.parquet")):
