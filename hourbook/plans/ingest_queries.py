@@ -126,8 +126,9 @@ def q_upsert_worklogs(spark, sf_dir):
 
 def q_upsert_worklogs_keep_first(spark, sf_dir):
     """K1 (keep_first): first version per worklog id."""
-    fr = _frames(spark, sf_dir)
-    return _public(U.upsert_worklogs(None, fr.worklog_rows, I.SEQ_ORDER, policy="keep_first"))
+    fr = _shown(spark, sf_dir)
+    chosen = U.upsert_worklogs(None, I.entry_versions(fr.entries), I.SEQ_ORDER, policy="keep_first", key=I.ENTRY_KEY)
+    return _worklogs(chosen, fr, "keep_first")
 
 
 def q_upsert_worklogs_two_batches(spark, sf_dir):
