@@ -133,11 +133,12 @@ def q_upsert_worklogs_keep_first(spark, sf_dir):
 
 def q_upsert_worklogs_two_batches(spark, sf_dir):
     """K1 in two batches: ids up to the cursor first, then the rest (replace)."""
-    fr1, cursor = _frames(spark, sf_dir), feed_cursor(spark, sf_dir)
-    first = fr1.worklog_rows.where(F.col("id") <= cursor)
-    stored = U.upsert_worklogs(None, first, I.SEQ_ORDER)
-    fr2 = _frames(spark, sf_dir, max_worklog_id=cursor)
-    return _public(U.upsert_worklogs(stored, fr2.worklog_rows, I.SEQ_ORDER))
+    fr1, cursor = _shown(spark, sf_dir), feed_cursor(spark, sf_dir)
+    first = I.entry_versions(fr1.entries).where(F.col("id") <= cursor)
+    stored = U.upsert_worklogs(None, first, I.SEQ_ORDER, key=I.ENTRY_KEY)
+    fr2 = _shown(spark, sf_dir, max_worklog_id=cursor)
+    both = U.upsert_worklogs(stored, I.entry_versions(fr2.entries), I.SEQ_ORDER, key=I.ENTRY_KEY)
+    return _worklogs(both, fr2)
 
 
 def q_upsert_issues(spark, sf_dir):
