@@ -139,6 +139,21 @@ def looked_up(versions: DataFrame, pairs: DataFrame) -> DataFrame:
     return PR.to_worklog_items(J.worklogs_with_issue(versions.withColumn("author", author), one))
 
 
+def issue_touches(entries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What K2 chooses by, one row per entry: the id of the issue that is written
+    with it, the new update date and developer."""
+    w = entries.select(X.to_id("issueId").alias("_wl_issue_id"), X.parse_wall_clock("started").alias("updateDate"),
+                       F.col("author.displayName").alias("developer"), *SEQ_ORDER)
+    rows = w.join(issue_ids(pairs), F.col("_wl_issue_id") == F.col("_issue_id"), "inner")
+    return rows.select(F.col("parentIssueId").alias("id"), "updateDate", "developer", *SEQ_ORDER)
+
+
+def touched_issues(touches: DataFrame, latest: DataFrame) -> DataFrame:
+    """P2 of the issues that K2 chose, each with its own latest snapshot."""
+    snapshots = latest.select(X.to_id("id").alias("id"), F.struct("id", "key", "fields").alias("i"))
+    return PR.to_written_issues(touches.join(U.latest_per_id(snapshots, ()), "id", "inner"))
+
+
 def cursor_frame(feed_rows: DataFrame, worklog_rows: DataFrame) -> DataFrame:
     """K4 as one row: the max written worklog id, the max page ``until`` (or
     update time) of the admitted feed rows, and how many were admitted.

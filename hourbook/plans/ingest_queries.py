@@ -143,8 +143,9 @@ def q_upsert_worklogs_two_batches(spark, sf_dir):
 
 def q_upsert_issues(spark, sf_dir):
     """K2: issue table after ingesting every entry version."""
-    fr = _frames(spark, sf_dir)
-    return _public(U.upsert_issues(None, fr.issue_rows, I.SEQ_ORDER))
+    fr = _shown(spark, sf_dir)
+    chosen = U.upsert_issues(None, I.issue_touches(fr.entries, fr.pairs), I.SEQ_ORDER)
+    return _public(I.touched_issues(chosen, fr.latest))
 
 
 def q_upsert_issues_touch(spark, sf_dir):

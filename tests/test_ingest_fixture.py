@@ -255,3 +255,17 @@ def test_versions_chosen_before_the_lookups_are_those_chosen_after(spark):
         assert sorted(r.id for r in got.collect()) == [1, 2, 4, 5, 6, 7]
         plain = [c for c in got.columns if not c.startswith("_")]
         assert sorted(map(str, got.where("id < 7").select(plain).collect())) == sorted(map(str, want.where("id < 7").select(plain).collect()))
+
+
+def test_issues_chosen_before_their_snapshots_are_those_chosen_after(spark):
+    fr = odd_frames(spark)
+    touches = I.issue_touches(fr.entries, fr.pairs)
+
+    def tables(rows):
+        first = U.upsert_issues(None, rows.where("_seq_id <= 1"), I.SEQ_ORDER)
+        return first, U.upsert_issues(first, rows.where("_seq_id > 1"), I.SEQ_ORDER, policy="touch"), U.upsert_issues(None, rows, I.SEQ_ORDER)
+    for got, want in zip(tables(touches), tables(fr.issue_rows)):
+        got = I.touched_issues(got, fr.latest)
+        plain = [c for c in got.columns if not c.startswith("_")]
+        assert got.count() == want.count() == got.select("id").distinct().count()
+        assert sorted(map(str, got.where("id <> 13").select(plain).collect())) == sorted(map(str, want.where("id <> 13").select(plain).collect()))

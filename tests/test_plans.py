@@ -64,7 +64,7 @@ def _windows(node):
     return found + [node] if node.nodeName() == "Window" else found
 
 
-@pytest.mark.parametrize("name", ["upsert_worklogs", "upsert_worklogs_keep_first", "upsert_worklogs_two_batches"])
+@pytest.mark.parametrize("name", ["upsert_worklogs", "upsert_worklogs_keep_first", "upsert_worklogs_two_batches", "upsert_issues"])
 def test_upserts_choose_among_rows_without_issue_texts(spark, name):
     """Rows are moved by id before their issue is looked up, not after."""
     found = _windows(QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan())
