@@ -151,10 +151,11 @@ def q_upsert_issues(spark, sf_dir):
 def q_upsert_issues_touch(spark, sf_dir):
     """K2 (touch) in two batches: an issue that is stored only gets the new
     update date."""
-    rows, cursor = _frames(spark, sf_dir).issue_rows, feed_cursor(spark, sf_dir)
+    fr, cursor = _shown(spark, sf_dir), feed_cursor(spark, sf_dir)
+    rows = I.issue_touches(fr.entries, fr.pairs)
     stored = U.upsert_issues(None, rows.where(F.col("_seq_id") <= cursor), I.SEQ_ORDER)
     later = rows.where(F.col("_seq_id") > cursor)
-    return _public(U.upsert_issues(stored, later, I.SEQ_ORDER, policy="touch"))
+    return _public(I.touched_issues(U.upsert_issues(stored, later, I.SEQ_ORDER, policy="touch"), fr.latest))
 
 
 def q_filter_users_ingest(spark, sf_dir):
