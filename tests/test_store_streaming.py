@@ -515,3 +515,24 @@ def test_bad_ids_are_rejects(spark, land_copy, scratch):
     assert out["rejects"] == {"bad id": 1}
     listed = spark.read.parquet(f"{store.root}/_rejects").collect()
     assert [(r.reason, r.id, r.issue) for r in listed] == [("bad id", "x3", "915")]
+
+
+def test_lines_parsed_once_are_those_of_each_kind(spark):
+    """``parsed_lines`` gives the records and broken lines of the readers, and the
+    jobs of a micro-batch find them parsed."""
+    from pyspark.sql import functions as F
+
+    from hourbook.sources import tracker_json as T
+    lines = spark.createDataFrame([
+        ("feed", '{"values": [{"worklogId": 1, "updatedTime": 5}, {"worklogId": 2}], "until": 9}'), ("feed", '{"values"'), ("feed", "{}"),
+        ("worklogs", '[{"id": "1", "issueId": "10"}, {"id": "2"}]'), ("worklogs", '{"id": "3"}'), ("worklogs", "[]"), ("worklogs", '[{"id": "4"}, {}]'),
+        ("issues", '{"id": "10", "key": "K"}'), ("issues", '{"id": "11", "ke'), ("issues", "  "), ("issues", '{"worklogId": 1}')], "kind string, value string")
+    lines = lines.select("kind", "value", F.lit(None).cast("timestamp").alias("_file_ts"), F.lit("f").alias("_file"))
+    rows = T.parsed_lines(lines)
+    broken = []
+    for kind in T.KINDS:
+        own = lines.where(F.col("kind") == kind)
+        got, want = T.records_of(rows, kind), T.parsed(own, kind)
+        assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        broken += T.malformed(own, kind).collect()
+    assert broken and sorted(map(str, T.broken_of(rows).collect())) == sorted(map(str, broken))
