@@ -130,3 +130,24 @@ def test_exports_with_gaps_are_compressed(spark, monkeypatch, run):
     for kind in ("worklogs", "issues"):
         files = glob.glob(f"{stopped.value}/{kind}/part-*")
         assert files and all(f.endswith(".gz") for f in files)
+
+
+@pytest.mark.parametrize("refresh", (False, True))
+def test_streams_land_compressed_files_for_every_core(spark, monkeypatch, refresh):
+    """All cores write and read each micro-batch, and there are three of them."""
+    class Landed(Exception):
+        pass
+
+    def landed(spark, land, *args, **kw):
+        raise Landed(land, kw.get("max_files_per_trigger"))
+
+    monkeypatch.setattr(SQ, "stream_worklogs", landed)
+    monkeypatch.setattr(SQ, "refresh_resolutions", lambda *args: None)
+    with pytest.raises(Landed) as stopped:
+        SQ.run_streams(spark, SF_SMALL, refresh)
+    land, at_once = stopped.value.args
+    assert at_once == spark.sparkContext.defaultParallelism
+    for kind in ("worklogs", "issues"):
+        files = glob.glob(f"{land}/{kind}/part-*")
+        assert all(f.endswith(".gz") for f in files) and len(files) == SQ.MICRO_BATCHES * at_once
+    assert len(glob.glob(f"{land}/feed/part-*.gz")) >= min(SQ.MICRO_BATCHES, at_once)
