@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hourbook.plans import jobs as JB
-from hourbook.sources.store import SnapshotStore, write_report
+from hourbook.sources.store import FREE_SHUFFLES, SnapshotStore, write_report
 from hourbook.sources.tracker_json import read_issues, read_worklog_details, read_worklog_updates
 from hourbook.streaming.jobs import finish, refresh_resolutions, run_tracker, stream_worklogs
 from hourbook.operators import aggregates as A
@@ -536,3 +536,45 @@ def test_lines_parsed_once_are_those_of_each_kind(spark):
         assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
         broken += T.malformed(own, kind).collect()
     assert broken and sorted(map(str, T.broken_of(rows).collect())) == sorted(map(str, broken))
+
+
+def test_a_batch_leaves_no_frames_and_no_shuffle_files(spark, land_copy, scratch, monkeypatch):
+    """Shuffle files go with the query that wrote them, work frames with their step."""
+    root, seen, keep = os.path.join(scratch, "store"), {}, JB.Batch.keep
+
+    def kept(batch, name, df, *step):
+        seen[name] = (batch.store.spark.conf.get(FREE_SHUFFLES), df.columns)
+        return keep(batch, name, df, *step)
+
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    monkeypatch.setattr(JB.Batch, "keep", kept)
+    JB.run_ingest(SnapshotStore(spark, root), *_inputs(spark, land_copy), batch_id=0)
+    assert {"entries", "linked", "chosen", "rows"} <= set(seen) and all(freed == "true" for freed, _ in seen.values())
+    assert spark.conf.get(FREE_SHUFFLES, None) == before
+    assert [f for _, dirs, _ in os.walk(os.path.join(root, "_work")) for f in dirs] == []
+
+
+def test_a_batch_chooses_before_it_looks_up(spark, land_copy, scratch, monkeypatch):
+    """No text of an issue is moved with versions that are not written."""
+    seen, keep = {}, JB.Batch.keep
+
+    def kept(batch, name, df, *step):
+        seen[name] = set(df.columns)
+        return keep(batch, name, df, *step)
+
+    monkeypatch.setattr(JB.Batch, "keep", kept)
+    store = SnapshotStore(spark, os.path.join(scratch, "store"))
+    JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=0)
+    assert not (seen["linked"] | seen["chosen"] | seen["touches"]) & {"i", "p", "issueKey", "issueSummary", "key", "summary"}
+    assert "stored" not in seen     # nothing was stored, so no stored row is met
+    JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=1, admit_edits=True)
+    assert {"stored", "again"} <= set(seen) and len(_table(store, "worklog")) == 4
+
+
+def test_undated_entries_in_the_first_batch(spark, land_copy, scratch):
+    """Their weekday is null, and the files say so."""
+    store = SnapshotStore(spark, os.path.join(scratch, "store"))
+    _land_undated(land_copy, "new", 950, None, "2023-04-04T09:00:00.000+0200")
+    JB.run_ingest(store, *_inputs(spark, land_copy), batch_id=0)
+    rows = _table(store, "worklog")
+    assert sorted(rows) == [501, 502, 503, 504, 950] and rows[950].weekDay is None and rows[501].weekDay
